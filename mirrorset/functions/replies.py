@@ -92,11 +92,47 @@ def _extract(col: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(group))
 
 
-def _zip_pairs(sentences: Column, phrases: Column) -> Column:
-    return _complete(
-        F.zip_with(sentences, phrases, lambda s, p: _pair(strip(s), split_phrases(strip(p))))
+# Noncharacters that mark the groups of a match in a rewritten text.
+_OPEN, _MIDDLE, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _two_groups(col: Column, pattern: str, groups: tuple[str, str]) -> Column:
+    """All matches as pairs of two groups, by one pass of the pattern.
+
+    The pass rewrites each match to its groups between marks, and the marks are
+    then split; a group written ``$1$3`` is whichever of both took part. A text
+    that holds a mark itself is read group by group instead.
+    """
+    first, second = groups
+    marked = F.regexp_replace(
+        col, F.lit(pattern), F.lit(f"{_OPEN}{first}{_MIDDLE}{second}{_CLOSE}")
+    )
+    pieces = F.split(marked, _OPEN, -1)
+    found = F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, _CLOSE, 1)
+    )
+    fast = F.transform(
+        found,
+        lambda p: _pair(
+            strip(F.substring_index(p, _MIDDLE, 1)),
+            split_phrases(strip(F.substring_index(p, _MIDDLE, -1))),
+        ),
     )
 
+    def group(written: str) -> Column:
+        parts = [_extract(col, pattern, int(g)) for g in written.split("$")[1:]]
+        if len(parts) == 1:
+            return parts[0]
+        return F.zip_with(parts[0], parts[1], lambda x, y: F.when(x != "", x).otherwise(y))
+
+    slow = F.zip_with(
+        group(first), group(second), lambda s, p: _pair(strip(s), split_phrases(strip(p)))
+    )
+    has_mark = F.lit(False)
+    for mark in (_OPEN, _MIDDLE, _CLOSE):
+        has_mark = has_mark | col.contains(mark)
+    return _complete(F.when(has_mark, slow).otherwise(fast))
+
 
 def parse_natural(col: Column, strict: bool = False) -> Column:
     """Three loose spellings of sentence and phrases; all hits are kept.
@@ -106,23 +142,16 @@ def parse_natural(col: Column, strict: bool = False) -> Column:
     """
     if strict:
         col = F.regexp_replace(col, r"(?dm)^\s*-{3,}\s*$", "")
-
-    def labelled(pattern: str) -> Column:
-        to_break = F.zip_with(_extract(col, pattern, 1), _extract(col, pattern, 3), _either)
-        rest = F.zip_with(_extract(col, pattern, 2), _extract(col, pattern, 4), _either)
-        return _zip_pairs(to_break, rest)
-
-    return F.concat(
-        labelled(NATURAL_LABELLED),
-        labelled(NATURAL_KEYWORD),
-        _zip_pairs(_extract(col, NATURAL_DASH, 1), _extract(col, NATURAL_DASH, 2)),
+    return let(
+        col,
+        lambda text: F.concat(
+            _two_groups(text, NATURAL_LABELLED, ("$1$3", "$2$4")),
+            _two_groups(text, NATURAL_KEYWORD, ("$1$3", "$2$4")),
+            _two_groups(text, NATURAL_DASH, ("$1", "$2")),
+        ),
     )
 
 
-def _either(first: Column, second: Column) -> Column:
-    return F.when(first != "", first).otherwise(second)
-
-
 def parse_fallback(col: Column) -> Column:
     """All ``SENTENCE:`` and ``PHRASES:`` hits, zipped to the shorter length."""
     sentences = _extract(col, rf"(?dU)SENTENCE:{WS_CLASS}*(.+)", 1)
@@ -217,17 +246,18 @@ def parse_cascade(col: Column, bullets: Column | None = None) -> Column:
     def pick(strategy: str, pairs: Column) -> Column:
         return F.struct(F.lit(strategy).alias("strategy"), pairs.alias("pairs"))
 
-    steps = [("structured", parse_structured(col)), ("natural", parse_natural(col))]
+    steps = [("structured", parse_structured), ("natural", parse_natural)]
     if bullets is not None:
-        steps.append(("bullet", bullets))
-    steps.append(("fallback", parse_fallback(col)))
+        steps.append(("bullet", lambda _: bullets))
+    steps.append(("fallback", parse_fallback))
 
-    def first_of(rest: list[tuple[str, Column]]) -> Column:
+    def first_of(text: Column, rest: list) -> Column:
         if not rest:
             return pick("none", F.array().cast(PAIRS))
-        strategy, pairs = rest[0]
+        strategy, parser = rest[0]
         return let(
-            pairs, lambda p: F.when(F.size(p) > 0, pick(strategy, p)).otherwise(first_of(rest[1:]))
+            parser(text),
+            lambda p: F.when(F.size(p) > 0, pick(strategy, p)).otherwise(first_of(text, rest[1:])),
         )
 
-    return first_of(steps)
+    return let(col, lambda text: first_of(text, steps))

@@ -87,28 +87,38 @@ def fan_out_targets(
     patterns: DataFrame,
     labels: DataFrame,
     label: str = "ori_label",
-    row_keys: Sequence[str] = ("id", "phrase_no"),
+    row_keys: Sequence[str] = ("id", "pair_no", "phrase_no"),
 ) -> DataFrame:
-    """Each (example, phrase) with every label other than its own.
+    """Each (pattern row, phrase) with every label other than its own.
 
-    A label list of proven size becomes an array in the plan, so the pairing needs
-    no join. A longer one is repeated once per salt and joined on the salt of the
-    row: an equi-join whose keys stay even however the source labels are skewed.
+    ``labels`` are rows of :func:`label_domain`; ``target_no`` numbers them by
+    first use. A label list of proven size becomes an array in the plan, so the
+    pairing needs no join. A longer one is repeated once per salt and joined on
+    the salt of the row: an equi-join whose keys stay even however the source
+    labels are skewed.
     """
     phrases = patterns.select(
         *[c for c in patterns.columns if c != "phrases"],
         F.posexplode("phrases").alias("phrase_no", "matched_phrase"),
     )
-    rows = bounded_rows(labels.select("label"), INLINE_LABELS)
+    rows = bounded_rows(labels.select("first_ord", "label"), INLINE_LABELS)
     if rows is not None:
-        targets = F.array(*(F.lit(r["label"]) for r in rows)).cast("array<string>")
-        others = F.filter(targets, lambda t: t != F.col(label))
-        return phrases.withColumn("target_label", F.explode(others))
+        targets = F.array(
+            *(
+                F.struct(F.lit(i).alias("target_no"), F.lit(r["label"]).alias("target_label"))
+                for i, r in enumerate(sorted(rows))
+            )
+        )
+        others = F.filter(targets, lambda t: t["target_label"] != F.col(label))
+        return phrases.select("*", F.inline(others))
 
     salts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = phrases.withColumn("_salt", F.pmod(F.xxhash64(*row_keys), F.lit(salts)))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    targets = labels.select(F.col("label").alias("target_label"), F.explode(every).alias("_salt"))
+    place = F.row_number().over(Window.orderBy("first_ord", "label")) - 1
+    targets = labels.select(
+        place.alias("target_no"), F.col("label").alias("target_label")
+    ).withColumn("_salt", F.explode(every))
     return (
         salted.join(targets, "_salt")
         .filter(F.col("target_label") != F.col(label))

@@ -99,14 +99,15 @@ def match_rows(parsed: DataFrame) -> DataFrame:
 
 
 def match_sentences(matched: DataFrame) -> DataFrame:
-    """One pattern row per matched pair; ``idx`` is its place in the reply."""
+    """One pattern row per matched pair; ``pair_no`` is its place in the reply."""
+    # An outer explode: the plain one adds a size filter that would parse and match twice.
     exploded = matched.select(
-        "label", "batch_no", "strategy", F.posexplode("matches").alias("idx", "_m")
+        "label", "batch_no", "strategy", F.posexplode_outer("matches").alias("pair_no", "_m")
     ).filter(F.col("_m.match").isNotNull())
     return exploded.select(
         "batch_no",
         "strategy",
-        "idx",
+        "pair_no",
         "_m.match",
         "_m.id",
         "_m.ori_text",

@@ -38,6 +38,16 @@ def pinned(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than there are cores.
+
+    A small file is one split, so text work on it would run in one task. Inputs
+    with enough splits, as every large table has, come back untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_key(seed: int | Column, row_id: Column) -> Column:
     """Repeatable pseudo-random order: md5 of seed and id."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)

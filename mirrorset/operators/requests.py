@@ -11,7 +11,13 @@ from ..functions import messages as m
 from .labels import mask_labels
 from .sampling import batch_text, topn_per_id
 
-ROW_KEYS = ("id", "phrase_no", "target_label")
+# A row of the later stages: the matched pair, its phrase and the target label.
+ROW_KEYS = ("id", "pair_no", "phrase_no", "target_label")
+
+
+def row_order() -> Column:
+    """Input order of those rows: example, pair, phrase, then first use of the target."""
+    return F.struct("ord", "pair_no", "phrase_no", "target_no")
 
 
 def request_params(df: DataFrame, stage: str | Column, model: str | Column) -> DataFrame:

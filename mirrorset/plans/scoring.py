@@ -21,7 +21,8 @@ def build_contexts(
 ) -> DataFrame:
     """Contexts per (seed, shots) out of the filtered table."""
     rows = filtered.select(
-        "id", "ori_text", "ori_label", "target_label", "counterfactual", "ord",
+        "id", "ori_text", "ori_label", "target_label", "counterfactual",
+        requests.row_order().alias("ord"),
         "heuristic_filtered", "matched_pattern", "is_ori", "is_target",
     )
     unique = sampling.first_per_id(rows.select("id", "ori_text", "ori_label", "ord"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_null
+from ..functions.text import canonical_null, let, strip
 
 # The CSV dialect (doubled quotes, fields that span lines).
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -72,6 +72,18 @@ def number_rows(df: DataFrame, by_index: bool) -> DataFrame:
     )
 
 
+# Escapes in list text, and private-use characters (which such text never holds
+# itself) that keep them apart while the quotes are matched.
+_ESCAPES = [
+    ("\\\\", "\ue000", "\\"),
+    ("\\'", "\ue001", "'"),
+    ('\\"', "\ue002", '"'),
+    ("\\n", "\ue003", "\n"),
+    ("\\t", "\ue004", "\t"),
+    ("\\r", "\ue005", "\r"),
+]
+
+
 def parse_repr_list(col: Column) -> Column:
     """List text such as ``[[['a']], [["b's"]]]`` as ``ARRAY<STRING>``.
 
@@ -79,14 +91,23 @@ def parse_repr_list(col: Column) -> Column:
     apostrophe; a backslash escapes the next character. Null when the text is
     no list at all.
     """
-    quoted = r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""
-    single = F.regexp_extract_all(col, F.lit(quoted), F.lit(1))
-    double = F.regexp_extract_all(col, F.lit(quoted), F.lit(2))
-    unescape = r"\\(['\"\\])"
-    items = F.zip_with(
-        single, double, lambda s, d: F.regexp_replace(F.when(s != "", s).otherwise(d), unescape, "$1")
-    )
-    return F.when(F.trim(col).rlike(r"(?s)^\[.*\]$"), items)
+    marked = col
+    for escaped, mark, _ in _ESCAPES:
+        marked = F.replace(marked, F.lit(escaped), F.lit(mark))
+
+    def plain(item: Column) -> Column:
+        for _, mark, char in _ESCAPES:
+            item = F.replace(item, F.lit(mark), F.lit(char))
+        return item
+
+    def items(text: Column) -> Column:
+        quoted = F.lit("'([^']*)'|\"([^\"]*)\"")
+        single = F.regexp_extract_all(text, quoted, F.lit(1))
+        double = F.regexp_extract_all(text, quoted, F.lit(2))
+        return F.zip_with(single, double, lambda s, d: plain(F.when(s != "", s).otherwise(d)))
+
+    trimmed = strip(col)
+    return F.when(trimmed.startswith("[") & trimmed.endswith("]"), let(marked, items))
 
 
 def import_patterns(df: DataFrame) -> DataFrame:
