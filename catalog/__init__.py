@@ -1,6 +1,12 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from . import parse_queries, scan_queries  # noqa: F401
+from . import (  # noqa: F401
+    parse_queries,
+    request_queries,
+    sample_queries,
+    scan_queries,
+    score_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -43,5 +43,5 @@ def assemble(sql: str, uses: str) -> str:
         if name not in needed:
             needed.add(name)
             todo += USES[name]
-    parts = [f"{name} AS ({body})" for name, body in CTES.items() if name in needed]
+    parts = [f"{name} AS MATERIALIZED ({body})" for name, body in CTES.items() if name in needed]
     return (f"WITH {', '.join(parts)} " if parts else "") + sql.strip()
