@@ -43,7 +43,7 @@ _ROW_ID = ("id", "pair_no", "phrase_no", "target_label")
 
 def _request_sql(stage: str, keys: tuple[str, ...], text: str, source: str, keep: str) -> str:
     return f"""
-      SELECT {_request_id(stage, *keys)} AS request_id, {keep}, md5(t) AS messages_md5, length(t) AS n_chars
+      SELECT {_request_id(stage, *keys)} AS request_id, {keep}, md5(t) AS messages_md5, CAST(length(t) AS INTEGER) AS n_chars
       FROM (SELECT *, {text} AS t FROM {source})
     """
 
@@ -174,7 +174,7 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT seed, shots, n_examples, md5(rendered) AS messages_md5, length(rendered) AS n_chars FROM contexts",
+    "SELECT seed, shots, n_examples, md5(rendered) AS messages_md5, CAST(length(rendered) AS INTEGER) AS n_chars FROM contexts",
     "contexts",
 )
 def few_shot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def few_shot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     SELECT {_request_id('scoring', 'seed', 'shots', 'test_id')} AS request_id, seed, shots, test_id,
-      md5(rendered || chr(10) || 'user: ' || text) AS messages_md5, length(rendered) + 7 + length(text) AS n_chars
+      md5(rendered || chr(10) || 'user: ' || text) AS messages_md5, CAST(length(rendered) + 7 + length(text) AS INTEGER) AS n_chars
     FROM (SELECT id AS test_id, text FROM examples WHERE label <> 'es'), contexts WHERE shots < 30
     """,
     "contexts",
@@ -245,7 +245,7 @@ _MODELS = ["gpt-5-nano", "GPT-4o-mini", "qwen:7b-chat"]
 @query(
     f"""
     SELECT stage, model, count(*) AS n_requests,
-      CASE WHEN fixed THEN 1.0 ELSE CASE stage WHEN 'scoring' THEN 0.0 ELSE 1.0 END END AS temperature,
+      CAST(CASE WHEN fixed THEN 1.0 ELSE CASE stage WHEN 'scoring' THEN 0.0 ELSE 1.0 END END AS DOUBLE) AS temperature,
       CASE stage WHEN 'pattern' THEN 4096 WHEN 'candidates' THEN 2048 WHEN 'generation' THEN 1024
         WHEN 'semantic' THEN 512 WHEN 'discriminator' THEN 256 ELSE 4096 END AS max_tokens,
       CASE WHEN NOT fixed AND stage IN ('generation', 'scoring') THEN chr(10) END AS stop,

@@ -78,7 +78,7 @@ def first_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     SELECT id, target_label, phrase_no, counterfactual, sub FROM (
-      SELECT *, row_number() OVER (PARTITION BY id ORDER BY {v.ROW_ORDER_SQL}) AS sub
+      SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY {v.ROW_ORDER_SQL}) AS INTEGER) AS sub
       FROM filtered WHERE {v.ACCEPTED_SQL})
     WHERE sub <= 2
     """,

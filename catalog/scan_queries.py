@@ -141,7 +141,7 @@ def unmask_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seed", "shots", "test_id", "y_pred", "label_pred")
 
 
-@query("SELECT id, label, length(text) AS n_chars FROM examples WHERE label <> 'es'", "examples")
+@query("SELECT id, label, CAST(length(text) AS INTEGER) AS n_chars FROM examples WHERE label <> 'es'", "examples")
 def eval_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookup = v.label_map(spark, sf_dir, ("es",))
     known = labels.known_labels(v.examples(spark, sf_dir), lookup)
@@ -150,7 +150,7 @@ def eval_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT id, phrase_no, target_label, matched_phrase, target_no, length(ori_text) AS n_chars FROM fan_out
+    SELECT id, phrase_no, target_label, matched_phrase, target_no, CAST(length(ori_text) AS INTEGER) AS n_chars FROM fan_out
     """,
     "fan_out",
 )

@@ -69,7 +69,7 @@ def verdict_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT ori_label, count(*) AS n_rows, count_if(heuristic_filtered) AS n_heuristic, count_if(matched_pattern) AS n_matched,
+    SELECT ori_label, count(*) AS n_rows, CAST(count_if(heuristic_filtered) AS BIGINT) AS n_heuristic, CAST(count_if(matched_pattern) AS BIGINT) AS n_matched,
       round(count_if(heuristic_filtered) / count(*), 6) AS heuristic_rate,
       round(CASE WHEN count_if(heuristic_filtered) > 0 THEN count_if(matched_pattern) / count_if(heuristic_filtered) ELSE 0 END, 6) AS matched_rate
     FROM filtered GROUP BY ori_label
@@ -84,8 +84,8 @@ def gate_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT *, round(CASE WHEN n_reached > 0 THEN n_not_ori / n_reached ELSE 0 END, 6) AS not_ori_rate,
       round(CASE WHEN n_reached > 0 THEN n_target / n_reached ELSE 0 END, 6) AS target_rate
-    FROM (SELECT target_label, count_if(heuristic_filtered AND matched_pattern) AS n_reached, count_if(NOT is_ori) AS n_not_ori,
-      count_if(is_target) AS n_target, count_if(NOT is_ori AND is_target) AS n_both FROM filtered GROUP BY target_label)
+    FROM (SELECT target_label, CAST(count_if(heuristic_filtered AND matched_pattern) AS BIGINT) AS n_reached, CAST(count_if(NOT is_ori) AS BIGINT) AS n_not_ori,
+      CAST(count_if(is_target) AS BIGINT) AS n_target, CAST(count_if(NOT is_ori AND is_target) AS BIGINT) AS n_both FROM filtered GROUP BY target_label)
     """,
     "filtered",
 )
@@ -130,7 +130,7 @@ def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT seed, shots, count(*) AS n, count_if(y_pred NOT IN (SELECT masked FROM label_map)) AS n_unknown
+    SELECT seed, shots, count(*) AS n, CAST(count_if(y_pred NOT IN (SELECT masked FROM label_map)) AS BIGINT) AS n_unknown
     FROM predictions GROUP BY seed, shots
     """,
     "predictions",

@@ -294,7 +294,7 @@ view(
 )
 view(
     "domain",
-    "SELECT label, min(ord) AS first_ord, row_number() OVER (ORDER BY min(ord)) - 1 AS target_no FROM examples GROUP BY label",
+    "SELECT label, min(ord) AS first_ord, CAST(row_number() OVER (ORDER BY min(ord)) - 1 AS INTEGER) AS target_no FROM examples GROUP BY label",
     "examples",
 )
 view(
@@ -303,7 +303,7 @@ view(
     SELECT p.id, p.pair_no, p.ori_text, p.ori_label, p.pattern, p.ord, p.phrase_no, p.matched_phrase,
       d.label AS target_label, d.target_no
     FROM (SELECT id, pair_no, ori_text, ori_label, array_to_string(phrases, ', ') AS pattern, ord,
-            generate_subscripts(phrases, 1) - 1 AS phrase_no, unnest(phrases) AS matched_phrase FROM patterns) p
+            CAST(generate_subscripts(phrases, 1) - 1 AS INTEGER) AS phrase_no, unnest(phrases) AS matched_phrase FROM patterns) p
     JOIN domain d ON d.label <> p.ori_label
     """,
     "patterns domain",
