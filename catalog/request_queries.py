@@ -167,9 +167,7 @@ view(
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts out of the filtered table, written once as a stage since two steps read it."""
-    root = stages.shared_folder(spark)
-    stages.write_stage(v.filtered(spark, sf_dir), root, "filtered", 42, "double", "documents")
-    rows = stages.read_stage(spark, root, "filtered", 42, "double", "documents")
+    rows = v.staged(v.filtered(spark, sf_dir), "filtered")
     return scoring.build_contexts(rows, v.label_map(spark, sf_dir), _SHOTS, (42,))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorset.operators import evaluation, gates
+from mirrorset.plans import augmentation
+from mirrorset.plans.run import Run
+from mirrorset.sources import stages
 
 from . import doubles as d
 from . import views as v
@@ -33,6 +36,19 @@ def fine_tune_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.export_fine_tune(v.filtered(spark, sf_dir))
 
 
+@query(
+    f"""
+    SELECT id, ori_text, ori_label, pattern, counterfactual AS counter_text, target_label AS counter_label
+    FROM run_filtered WHERE {v.ACCEPTED_SQL}
+    """,
+    "run_filtered",
+)
+def augment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over every sentence: batches, patterns, candidates, rewrites, gates, export."""
+    run = Run(spark, stages.shared_folder(spark), "double", "documents", v.respond, v.SEED)
+    return augmentation.augment(run, v.sentences(spark, sf_dir), None, token_limit=None)
+
+
 @query(
     f"""
     SELECT origin, label, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT id) AS n_ids FROM (

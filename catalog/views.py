@@ -12,6 +12,7 @@ from mirrorset.operators.evaluation import macro_prf
 from mirrorset.operators.order import spread
 from mirrorset.operators.runcontrol import apply_failure_default
 from mirrorset.plans import augmentation, scoring
+from mirrorset.sources import stages
 
 from . import doubles as d
 from .registry import view
@@ -27,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def staged(df: DataFrame, stage: str) -> DataFrame:
+    """Write a stage and read it back, as every model step does."""
+    spark, run = df.sparkSession, (SEED, "double", "documents")
+    root = stages.shared_folder(spark)
+    stages.write_stage(df, root, stage, *run)
+    return stages.read_stage(spark, root, stage, *run)
+
+
 # --- labelled examples -------------------------------------------------------
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,19 +306,6 @@ view(
     "SELECT label, min(ord) AS first_ord, CAST(row_number() OVER (ORDER BY min(ord)) - 1 AS INTEGER) AS target_no FROM examples GROUP BY label",
     "examples",
 )
-view(
-    "fan_out",
-    """
-    SELECT p.id, p.pair_no, p.ori_text, p.ori_label, p.pattern, p.ord, p.phrase_no, p.matched_phrase,
-      d.label AS target_label, d.target_no
-    FROM (SELECT id, pair_no, ori_text, ori_label, array_to_string(phrases, ', ') AS pattern, ord,
-            CAST(generate_subscripts(phrases, 1) - 1 AS INTEGER) AS phrase_no, unnest(phrases) AS matched_phrase FROM patterns) p
-    JOIN domain d ON d.label <> p.ori_label
-    """,
-    "patterns domain",
-)
-
-
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.fan_out_targets(
         patterns(spark, sf_dir), labels.label_domain(examples(spark, sf_dir))
@@ -347,38 +343,15 @@ def candidates_sql(reply: str) -> str:
     """
 
 
-view(
-    "candidate_replies",
-    f"""
-    SELECT * EXCLUDE (d), {d.CANDIDATE_REPLY_SQL} AS reply
-    FROM (SELECT *, {d.digit_sql('cand', 'id', 'phrase_no', 'target_label')} AS d FROM fan_out)
-    """,
-    "fan_out",
-)
-view(
-    "candidates",
-    f"SELECT * EXCLUDE (reply) FROM ({candidates_sql('candidate_replies')}) WHERE reply IS NOT NULL",
-    "candidate_replies",
-)
 
 
 def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = candidates(spark, sf_dir).withColumn("_d", d.digit("gen", "id", "phrase_no", "target_label"))
     reply = lambda x: d.generation_reply(x, F.col("candidate_phrases"), F.col("ori_text"))
     made = _answered(asked, reply, "timeout").withColumn("counterfactual", clean_generated(F.col("text")))
-    return apply_failure_default(made, "generation").drop("text")
+    return staged(apply_failure_default(made, "generation").drop("text"), "counterfactuals")
 
 
-view(
-    "counterfactuals",
-    f"""
-    SELECT * EXCLUDE (d, reply), CASE WHEN reply IS NULL THEN '' ELSE trim(trim(reply, {WS}), {QUOTE_CHARS}) END AS counterfactual,
-      CASE WHEN reply IS NULL THEN 'timeout' END AS error
-    FROM (SELECT *, {d.GENERATION_REPLY_SQL} AS reply
-      FROM (SELECT *, {d.digit_sql('gen', 'id', 'phrase_no', 'target_label')} AS d FROM candidates))
-    """,
-    "candidates",
-)
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,36 +383,106 @@ def two_answers_sql(reply: str) -> str:
     return words
 
 
+
+
+def define_chain(prefix: str, patterns_view: str) -> None:
+    """SQL views from pattern rows to the filtered table, named with a prefix."""
+    fan, cand, made = f"{prefix}fan_out", f"{prefix}candidates", f"{prefix}counterfactuals"
+    ruled, gated = f"{prefix}ruled", f"{prefix}gated"
+    view(
+        fan,
+        f"""
+        SELECT p.id, p.pair_no, p.ori_text, p.ori_label, p.pattern, p.ord, p.phrase_no, p.matched_phrase,
+          d.label AS target_label, d.target_no
+        FROM (SELECT id, pair_no, ori_text, ori_label, array_to_string(phrases, ', ') AS pattern, ord,
+                CAST(generate_subscripts(phrases, 1) - 1 AS INTEGER) AS phrase_no, unnest(phrases) AS matched_phrase
+              FROM {patterns_view}) p
+        JOIN domain d ON d.label <> p.ori_label
+        """,
+        f"{patterns_view} domain",
+    )
+    view(
+        f"{prefix}candidate_replies",
+        f"""
+        SELECT * EXCLUDE (d), {d.CANDIDATE_REPLY_SQL} AS reply
+        FROM (SELECT *, {d.digit_sql('cand', 'id', 'phrase_no', 'target_label')} AS d FROM {fan})
+        """,
+        fan,
+    )
+    view(
+        cand,
+        f"SELECT * EXCLUDE (reply) FROM ({candidates_sql(f'{prefix}candidate_replies')}) WHERE reply IS NOT NULL",
+        f"{prefix}candidate_replies",
+    )
+    view(
+        made,
+        f"""
+        SELECT * EXCLUDE (d, reply), CASE WHEN reply IS NULL THEN '' ELSE trim(trim(reply, {WS}), {QUOTE_CHARS}) END AS counterfactual,
+          CASE WHEN reply IS NULL THEN 'timeout' END AS error
+        FROM (SELECT *, {d.GENERATION_REPLY_SQL} AS reply
+          FROM (SELECT *, {d.digit_sql('gen', 'id', 'phrase_no', 'target_label')} AS d FROM {cand}))
+        """,
+        cand,
+    )
+    view(
+        ruled,
+        f"""
+        SELECT * EXCLUDE (error), counterfactual <> '' AND NOT (contains(lower(counterfactual), 'given the constraints')
+          AND contains(lower(counterfactual), 'the assistant')) AS heuristic_filtered FROM {made}
+        """,
+        made,
+    )
+    view(
+        gated,
+        f"""
+        SELECT * EXCLUDE (d, reply),
+          CASE WHEN heuristic_filtered THEN coalesce(contains(upper(trim(reply, {WS})), 'YES'), false) END AS matched_pattern
+        FROM (SELECT *, {d.SEMANTIC_REPLY_SQL} AS reply
+          FROM (SELECT *, {d.digit_sql('sem', 'id', 'phrase_no', 'target_label')} AS d FROM {ruled}))
+        """,
+        ruled,
+    )
+    reached = "heuristic_filtered AND matched_pattern"
+    view(
+        f"{prefix}filtered",
+        f"""
+        SELECT * EXCLUDE (d, reply, words),
+          CASE WHEN {reached} THEN CASE WHEN len(words) >= 2 THEN contains(words[1], 'YES') ELSE true END END AS is_ori,
+          CASE WHEN {reached} THEN CASE WHEN len(words) >= 2 THEN contains(words[-1], 'YES') ELSE false END END AS is_target
+        FROM (SELECT *, {two_answers_sql('reply')} AS words FROM (SELECT *, {d.DISCRIMINATOR_REPLY_SQL} AS reply
+          FROM (SELECT *, {d.digit_sql('disc', 'id', 'phrase_no', 'target_label')} AS d FROM {gated})))
+        """,
+        gated,
+    )
+
+
+define_chain("", "patterns")
 view(
-    "ruled",
-    """
-    SELECT * EXCLUDE (error), counterfactual <> '' AND NOT (contains(lower(counterfactual), 'given the constraints')
-      AND contains(lower(counterfactual), 'the assistant')) AS heuristic_filtered FROM counterfactuals
-    """,
-    "counterfactuals",
-)
-view(
-    "gated",
-    f"""
-    SELECT * EXCLUDE (d, reply), CASE WHEN heuristic_filtered THEN coalesce(contains(upper(trim(reply, {WS})), 'YES'), false) END AS matched_pattern
-    FROM (SELECT *, {d.SEMANTIC_REPLY_SQL} AS reply
-      FROM (SELECT *, {d.digit_sql('sem', 'id', 'phrase_no', 'target_label')} AS d FROM ruled))
-    """,
-    "ruled",
-)
-view(
-    "filtered",
-    f"""
-    SELECT * EXCLUDE (d, reply, words),
-      CASE WHEN heuristic_filtered AND matched_pattern
-        THEN CASE WHEN len(words) >= 2 THEN contains(words[1], 'YES') ELSE true END END AS is_ori,
-      CASE WHEN heuristic_filtered AND matched_pattern
-        THEN CASE WHEN len(words) >= 2 THEN contains(words[-1], 'YES') ELSE false END END AS is_target
-    FROM (SELECT *, {two_answers_sql('reply')} AS words FROM (SELECT *, {d.DISCRIMINATOR_REPLY_SQL} AS reply
-      FROM (SELECT *, {d.digit_sql('disc', 'id', 'phrase_no', 'target_label')} AS d FROM gated)))
-    """,
-    "gated",
+    "run_patterns",
+    "SELECT m.id, m.pair_no, m.ori_text, m.label AS ori_label, m.phrases, e.ord FROM matched m JOIN examples e ON e.id = m.id",
+    "matched examples",
 )
+define_chain("run_", "run_patterns")
+
+
+def respond(asked: DataFrame, stage: str) -> DataFrame:
+    """Model step of a whole run by test doubles."""
+    key = ["id", "phrase_no", "target_label"]
+    if stage == "pattern":
+        failed = d.digit("call", "label", "batch_no") == "f"
+        text = F.when(~failed, d.pattern_reply(F.col("rows"), F.col("label"), F.col("batch_no")))
+    elif stage == "candidates":
+        text = d.candidate_reply(d.digit("cand", *key), F.col("matched_phrase"))
+    elif stage == "generation":
+        text = d.generation_reply(d.digit("gen", *key), F.col("candidate_phrases"), F.col("ori_text"))
+    elif stage == "semantic":
+        text = d.semantic_reply(d.digit("sem", *key))
+    else:
+        text = d.discriminator_reply(d.digit("disc", *key))
+    answered = asked.select("request_id", text.alias("text"))
+    return answered.withColumn("error", d.failure(F.col("text")))
+
+
 ACCEPTED_SQL = "heuristic_filtered AND matched_pattern AND NOT is_ori AND is_target"
 ROW_ORDER_SQL = "ord, pair_no, phrase_no, target_no"
 

@@ -74,7 +74,7 @@ def find_candidates(
     patterns: DataFrame,
     examples: DataFrame,
     exclude: Sequence[str] = (),
-    token_limit: int = runcontrol.DEFAULT_TOKEN_LIMIT,
+    token_limit: int | None = runcontrol.DEFAULT_TOKEN_LIMIT,
 ) -> DataFrame:
     places = examples.select("id", "ord").groupBy("id").agg(F.min("ord").alias("ord"))
     ordered = patterns.join(places, "id")
@@ -113,7 +113,7 @@ def augment(
     examples: DataFrame,
     per_label: int | None = 50,
     exclude: Sequence[str] = (),
-    token_limit: int = runcontrol.DEFAULT_TOKEN_LIMIT,
+    token_limit: int | None = runcontrol.DEFAULT_TOKEN_LIMIT,
 ) -> DataFrame:
     """All stages from labelled examples to the training export."""
     patterns = find_patterns(run, examples, per_label, exclude)

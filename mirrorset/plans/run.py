@@ -13,17 +13,29 @@ from ..operators.runcontrol import pending
 from ..sources import stages
 
 
+# Requests and their stage to (request_id, text, error) rows.
+Responder = Callable[[DataFrame, str], DataFrame]
+
+
+def client_responder(make_client: Callable[[], Client], partitions: int | None = None) -> Responder:
+    """Answer requests by a Python callable, ``partitions`` callers at a time."""
+    return lambda requests, stage: apply_model(requests, make_client, partitions)
+
+
 @dataclass(frozen=True)
 class Run:
-    """Stage tables under ``root``, keyed by seed, model and data set."""
+    """Stage tables under ``root``, keyed by seed, model and data set.
+
+    ``respond`` is the model step: :func:`client_responder`, or any function that
+    looks answers up, such as in the result table of a batch-inference job.
+    """
 
     spark: SparkSession
     root: str
     model: str
     dataset: str
-    make_client: Callable[[], Client]
+    respond: Responder
     seed: int = 42
-    partitions: int | None = None
     attempt: int = 0
 
     def save(self, df: DataFrame, stage: str) -> DataFrame:
@@ -49,8 +61,7 @@ class Run:
             done = stages.read_results(self.spark, self.root, log)
             todo = pending(requests, done, retry_failed)
         asked = request_params(todo, stage, self.model)
-        new = apply_model(asked, self.make_client, self.partitions)
-        stages.append_results(new, self.root, log, self.attempt)
+        stages.append_results(self.respond(asked, stage), self.root, log, self.attempt)
         return join_responses(requests, stages.read_results(self.spark, self.root, log))
 
 
