@@ -9,8 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FIRST_WORD = r"([^\s,.|]+)"
-LAST_WORD = r"([^\s,.|]+)[\s,.|]*$"
+WORD = r"([^\s,.|]+)"
+
+
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(text, WORD, 1)
+
+
+def last_word(text: Column) -> Column:
+    return F.reverse(F.regexp_extract(F.reverse(text), WORD, 1))
+
+
+FIRST_WORD_SQL = f"regexp_extract(text, '{WORD}', 1)"
+LAST_WORD_SQL = f"reverse(regexp_extract(reverse(text), '{WORD}', 1))"
 
 
 def digit(tag: str, *keys: str | Column) -> Column:
@@ -25,14 +36,10 @@ def digit_sql(tag: str, *keys: str) -> str:
 
 def words(text: Column) -> Column:
     """First and last word of a text, without empty ones."""
-    both = F.array(F.regexp_extract(text, FIRST_WORD, 1), F.regexp_extract(text, LAST_WORD, 1))
-    return F.filter(both, lambda w: w != "")
+    return F.filter(F.array(first_word(text), last_word(text)), lambda w: w != "")
 
 
-WORDS_SQL = (
-    rf"list_filter([regexp_extract(text, '{FIRST_WORD}', 1), "
-    rf"regexp_extract(text, '{LAST_WORD}', 1)], lambda w: w <> '')"
-)
+WORDS_SQL = f"list_filter([{FIRST_WORD_SQL}, {LAST_WORD_SQL}], lambda w: w <> '')"
 
 
 # --- pattern replies ---------------------------------------------------------

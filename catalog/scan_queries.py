@@ -34,7 +34,7 @@ def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     SELECT id, array_to_string(phrases, ' | ') AS phrases, len(phrases) AS n_phrases FROM (
-      SELECT id, list_filter([regexp_extract(text, '{d.FIRST_WORD}', 1), 'it''s ' || regexp_extract(text, '{d.LAST_WORD}', 1), text],
+      SELECT id, list_filter([{d.FIRST_WORD_SQL}, 'it''s ' || {d.LAST_WORD_SQL}, text],
         lambda p: NOT contains(p, chr(34))) AS phrases FROM examples)
     """,
     "examples",
@@ -43,8 +43,8 @@ def import_repr_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List text of whole documents and of phrases with an apostrophe, parsed back."""
     phrases = F.filter(
         F.array(
-            F.regexp_extract("text", d.FIRST_WORD, 1),
-            F.concat(F.lit("it's "), F.regexp_extract("text", d.LAST_WORD, 1)),
+            d.first_word(F.col("text")),
+            F.concat(F.lit("it's "), d.last_word(F.col("text"))),
             F.col("text"),
         ),
         lambda p: ~p.contains('"'),

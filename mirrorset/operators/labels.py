@@ -99,8 +99,8 @@ def fan_out_targets(
     """
     phrases = patterns.select(
         *[c for c in patterns.columns if c != "phrases"],
-        F.posexplode("phrases").alias("phrase_no", "matched_phrase"),
-    )
+        F.posexplode_outer("phrases").alias("phrase_no", "matched_phrase"),
+    ).filter(F.col("matched_phrase").isNotNull())
     rows = bounded_rows(labels.select("first_ord", "label"), INLINE_LABELS)
     if rows is not None:
         targets = F.array(

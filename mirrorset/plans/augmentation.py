@@ -66,7 +66,7 @@ def plan_candidates(
 def candidate_rows(answered: DataFrame) -> DataFrame:
     kept = runcontrol.apply_failure_default(answered, "candidates")
     parsed = kept.withColumn("candidate_phrases", parse_candidates(F.col("text")))
-    return parsed.drop("request_id", "messages", "text", "error")
+    return parsed.drop("request_id", "text", "error")
 
 
 def find_candidates(
@@ -86,7 +86,7 @@ def find_candidates(
 def counterfactual_rows(answered: DataFrame) -> DataFrame:
     made = answered.withColumn("counterfactual", t.clean_generated(F.col("text")))
     stored = runcontrol.apply_failure_default(made, "generation")
-    return stored.drop("request_id", "messages", "text")
+    return stored.drop("request_id", "text")
 
 
 def generate(run: Run, candidates: DataFrame) -> DataFrame:
@@ -95,17 +95,24 @@ def generate(run: Run, candidates: DataFrame) -> DataFrame:
 
 
 def screen(run: Run, counterfactuals: DataFrame) -> DataFrame:
-    """The three gates; each model gate only sees what the gates before let through."""
+    """The three gates; each model gate only sees what the gates before let through.
+
+    The verdict stages hold keys and verdicts only, so the texts are shuffled and
+    written again just once, for the filtered table. A semantic stage already
+    written is taken as it is.
+    """
+    ruled = gates.heuristic_gate(counterfactuals)
     if run.has("semantic"):
-        gated = run.load("semantic")
+        semantic = run.load("semantic")
     else:
-        ruled = run.save(gates.heuristic_gate(counterfactuals), "heuristic")
-        answered = run.answers(requests.semantic_requests(ruled), "semantic")
-        said = gates.semantic_verdicts(answered)
-        gated = run.save(gates.overlay(ruled, said, ["matched_pattern"]), "semantic")
-    answered = run.answers(requests.discriminator_requests(gated), "discriminator")
-    said = gates.discriminator_verdicts(answered)
-    return run.save(gates.overlay(gated, said, ["is_ori", "is_target"]), "filtered")
+        said = gates.semantic_verdicts(run.answers(requests.semantic_requests(ruled), "semantic"))
+        semantic = run.save(said.select(*requests.ROW_KEYS, "matched_pattern"), "semantic")
+    gated = gates.overlay(ruled, semantic, ["matched_pattern"])
+    said = gates.discriminator_verdicts(
+        run.answers(requests.discriminator_requests(gated), "discriminator")
+    )
+    verdicts = run.save(said.select(*requests.ROW_KEYS, "is_ori", "is_target"), "discriminator")
+    return run.save(gates.overlay(gated, verdicts, ["is_ori", "is_target"]), "filtered")
 
 
 def augment(

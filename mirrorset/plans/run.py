@@ -52,7 +52,8 @@ class Run:
     def answers(self, requests: DataFrame, stage: str, retry_failed: bool = False) -> DataFrame:
         """Requests with stored answers; only requests without one reach the model.
 
-        The answers are appended to a progress table and read back from it. A
+        Messages are built for the model step alone: the result, which joins the
+        other columns with the answers, leaves them out. The answers are appended to a progress table and read back from it. A
         run that was cut short goes on where the table ends.
         """
         log = f"answers_{stage}_{self.seed}_{_slug(self.model)}_{_slug(self.dataset)}"
@@ -62,7 +63,9 @@ class Run:
             todo = pending(requests, done, retry_failed)
         asked = request_params(todo, stage, self.model)
         stages.append_results(self.respond(asked, stage), self.root, log, self.attempt)
-        return join_responses(requests, stages.read_results(self.spark, self.root, log))
+        return join_responses(
+            requests.drop("messages"), stages.read_results(self.spark, self.root, log)
+        )
 
 
 def _slug(name: str) -> str:

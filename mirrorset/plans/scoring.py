@@ -57,5 +57,5 @@ def score(
     )
     asked = requests.scoring_requests(labels.known_labels(test, lookup), shots, seeds)
     answered = run.answers(requests.attach_context(asked, contexts), "scoring")
-    scored = run.save(predictions(answered.drop("messages"), lookup), "predictions")
+    scored = run.save(predictions(answered, lookup), "predictions")
     return run.save(evaluation.macro_prf(scored), "metrics")
