@@ -19,7 +19,7 @@ def apply_model(
 ) -> DataFrame:
     """Call a model once per request: (request_id, text, error).
 
-    ``make_client`` runs once per task and returns
+    ``make_client`` runs once per task that has requests and returns
     ``client(messages, temperature, max_tokens, stop) -> text``; messages are
     ``{role, content}`` dicts. An exception becomes the ``error`` of its row and
     never fails the task. ``partitions`` sets how many callers run at once.
@@ -33,8 +33,10 @@ def apply_model(
         slim = slim.repartition(partitions)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
+        client = None
         for batch in batches:
+            if client is None and len(batch):
+                client = make_client()
             rows = []
             for row in batch.to_dict("records"):
                 messages = [{"role": m["role"], "content": m["content"]} for m in row["messages"]]

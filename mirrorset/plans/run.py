@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.model import Client, apply_model, join_responses
 from ..operators.requests import request_params
@@ -28,6 +29,8 @@ class Run:
 
     ``respond`` is the model step: :func:`client_responder`, or any function that
     looks answers up, such as in the result table of a batch-inference job.
+    ``chunks`` cuts each model step into that many jobs of even size, so that a
+    run that dies keeps the answers of the jobs before.
     """
 
     spark: SparkSession
@@ -37,6 +40,7 @@ class Run:
     respond: Responder
     seed: int = 42
     attempt: int = 0
+    chunks: int = 1
 
     def save(self, df: DataFrame, stage: str) -> DataFrame:
         """Write a stage and read it back, so later steps never recompute it."""
@@ -62,7 +66,10 @@ class Run:
             done = stages.read_results(self.spark, self.root, log)
             todo = pending(requests, done, retry_failed)
         asked = request_params(todo, stage, self.model)
-        stages.append_results(self.respond(asked, stage), self.root, log, self.attempt)
+        chunk = F.pmod(F.xxhash64("request_id"), F.lit(self.chunks))
+        for number in range(self.chunks):
+            part = asked if self.chunks == 1 else asked.filter(chunk == number)
+            stages.append_results(self.respond(part, stage), self.root, log, self.attempt)
         return join_responses(
             requests.drop("messages"), stages.read_results(self.spark, self.root, log)
         )

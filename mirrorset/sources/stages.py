@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import slug
 from ..operators.runcontrol import one_answer
 
-RUN = ("seed", "model", "dataset")
+# Partition columns; prefixed, as tables of scores have a seed column of their own.
+RUN = ("run_seed", "run_model", "run_dataset")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +31,9 @@ def _path(root: str, stage: str) -> str:
 def write_stage(df: DataFrame, root: str, stage: str, seed: int, model: str, dataset: str) -> None:
     """Replace one run of a stage; other runs of the table stay."""
     (
-        df.withColumn("seed", F.lit(seed))
-        .withColumn("model", slug(F.lit(model)))
-        .withColumn("dataset", slug(F.lit(dataset)))
+        df.withColumn("run_seed", F.lit(seed))
+        .withColumn("run_model", slug(F.lit(model)))
+        .withColumn("run_dataset", slug(F.lit(dataset)))
         .write.partitionBy(*RUN)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -46,9 +47,9 @@ def read_stage(
     """One run of a stage table, by partition pruning; fails when the stage is absent."""
     df = spark.read.parquet(_path(root, stage))
     run = (
-        (F.col("seed") == seed)
-        & (F.col("model") == slug(F.lit(model)))
-        & (F.col("dataset") == slug(F.lit(dataset)))
+        (F.col("run_seed") == seed)
+        & (F.col("run_model") == slug(F.lit(model)))
+        & (F.col("run_dataset") == slug(F.lit(dataset)))
     )
     return df.filter(run).drop(*RUN)
 
