@@ -191,7 +191,8 @@ def scoring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every known test row with the contexts of two shot sizes."""
     known = v.examples(spark, sf_dir).filter(F.col("label") != "es")
     asked = requests.scoring_requests(known, (5, 10), (42,))
-    full = requests.attach_context(asked, _contexts(spark, sf_dir))
+    contexts = v.staged(_contexts(spark, sf_dir), "contexts")
+    full = requests.attach_context(asked, contexts)
     return v.message_hash(full, "request_id", "seed", "shots", "test_id")
 
 

@@ -61,18 +61,19 @@ def shuffled_rank(
     keys: Sequence[str] = (),
     limit: int | None = None,
     out: str = "rn",
+    digits: int = HASH_DIGITS,
 ) -> DataFrame:
     """1-based rank of each row in the seeded shuffle, per ``keys``.
 
-    The first digits of the shuffle key spread any group evenly over 65,536
-    buckets, also one key that holds most rows. A first pass over ids counts
+    The first hex digits of the shuffle key spread any group evenly over 65,536
+    buckets (more with more ``digits``), also one key that holds most rows. A first pass over ids counts
     rows per bucket; the second ranks inside buckets. With ``limit``, only the
     leading buckets of a group reach the shuffle at all. ``keys`` must not be
     null, and (``row_id``) must be unique in a group.
     """
     keys = list(keys)
     hashed = df.withColumn("_key", shuffle_key(seed, F.col(row_id))).withColumn(
-        "_bucket", F.substring("_key", 1, HASH_DIGITS)
+        "_bucket", F.substring("_key", 1, digits)
     )
     counts = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = (

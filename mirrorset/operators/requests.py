@@ -11,6 +11,9 @@ from ..functions import messages as m
 from .labels import mask_labels
 from .sampling import batch_text, topn_per_id
 
+# Texts up to this length are sent to every executor.
+BROADCAST_CHARS = 8_000_000
+
 # A row of the later stages: the matched pair, its phrase and the target label.
 ROW_KEYS = ("id", "pair_no", "phrase_no", "target_label")
 
@@ -171,13 +174,27 @@ def scoring_requests(
     )
 
 
-def attach_context(requests: DataFrame, contexts: DataFrame) -> DataFrame:
+def attach_context(
+    requests: DataFrame, contexts: DataFrame, broadcast_chars: int = BROADCAST_CHARS
+) -> DataFrame:
     """Append the query of each request to the context of its (seed, shots).
 
-    No hint: a few short contexts are broadcast by size, long ones meet the
-    requests in a sort-merge join, where adaptive execution splits the few hot keys.
+    There are few contexts, so few and hot join keys. Contexts whose texts are
+    short enough, which is checked, are broadcast. Longer ones are repeated once
+    per salt and meet evenly salted requests in a shuffle join.
     """
-    joined = requests.join(contexts.select("seed", "shots", "messages"), ["seed", "shots"])
+    keys = ["seed", "shots"]
+    contexts = contexts.select(*keys, "messages")
+    chars = F.aggregate("messages", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t["content"]))
+    total = contexts.agg(F.sum(chars)).first()[0] or 0
+    if total <= broadcast_chars:
+        joined = requests.join(F.broadcast(contexts), keys)
+    else:
+        salts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+        salted = requests.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)))
+        copies = contexts.withColumn("_salt", F.explode(every))
+        joined = salted.join(copies, [*keys, "_salt"]).drop("_salt")
     query = F.array(m.message("user", F.col("query")))
     return joined.withColumn("messages", F.concat("messages", query))
 

@@ -168,6 +168,27 @@ def test_large_lookup_is_not_broadcast(spark):
     assert order.pinned(df, 10) is df
 
 
+def test_long_contexts_meet_requests_by_salt(spark):
+    from mirrorset.operators.requests import attach_context
+
+    asked = spark.createDataFrame(
+        [(f"r{i}", 42, n, f"q{i}") for i in range(50) for n in (5, 10)],
+        "request_id string, seed int, shots int, query string",
+    )
+    contexts = spark.createDataFrame(
+        [(42, n, [("system", f"s{n}")]) for n in (5, 10)],
+        "seed int, shots int, messages array<struct<role:string,content:string>>",
+    )
+
+    def rows(**options):
+        full = attach_context(asked, contexts, **options)
+        return sorted((r["request_id"], r["shots"], [tuple(t) for t in r["messages"]]) for r in full.collect())
+
+    sent, salted = rows(), rows(broadcast_chars=0)
+    assert sent == salted and len(sent) == 100
+    assert sent[0] == ("r0", 5, [("system", "s5"), ("user", "q0")])
+
+
 def test_request_ids_keep_keys_apart(spark):
     from mirrorset.functions.messages import request_id
 
