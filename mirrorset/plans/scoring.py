@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import parse_label
 from ..operators import evaluation, gates, labels, requests, runcontrol, sampling
+from ..operators.order import pinned
 from .run import Run
 
 
@@ -19,14 +20,23 @@ def build_contexts(
     seeds: Sequence[int] = (42,),
     max_counterfactuals: int = 4,
 ) -> DataFrame:
-    """Contexts per (seed, shots) out of the filtered table."""
-    rows = filtered.select(
-        "id", "ori_text", "ori_label", "target_label", "counterfactual",
-        requests.row_order().alias("ord"),
-        "heuristic_filtered", "matched_pattern", "is_ori", "is_target",
+    """Contexts per (seed, shots) out of the filtered table.
+
+    Examples are chosen by id alone; texts are read for the chosen ids only, at
+    most the largest shot size per seed.
+    """
+    ids = filtered.select("id").distinct()
+    places = pinned(sampling.shot_prefixes(ids, shots, seeds), sum(shots) * len(seeds))
+    rows = (
+        filtered.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
+        .select(
+            "id", "ori_text", "ori_label", "target_label", "counterfactual",
+            requests.row_order().alias("ord"),
+            "heuristic_filtered", "matched_pattern", "is_ori", "is_target",
+        )
     )
-    unique = sampling.first_per_id(rows.select("id", "ori_text", "ori_label", "ord"))
-    chosen = sampling.shot_prefixes(unique, shots, seeds)
+    first = sampling.first_per_id(rows.select("id", "ori_text", "ori_label", "ord"))
+    chosen = places.join(first.drop("ord"), "id")
     accepted = rows.filter(gates.accepted())
     examples = requests.attach_counterfactuals(chosen, accepted, max_counterfactuals)
     return requests.few_shot_context(examples, lookup)
