@@ -142,12 +142,21 @@ def parse_natural(col: Column, strict: bool = False) -> Column:
     """
     if strict:
         col = F.regexp_replace(col, r"(?dm)^\s*-{3,}\s*$", "")
+    def spelling(text: Column, signs: str, pattern: str, groups: tuple[str, str]) -> Column:
+        """Matches of one spelling, looked for only in texts with one of its signs."""
+        has_sign = F.lit(False)
+        for sign in signs:
+            has_sign = has_sign | text.contains(sign)
+        return F.when(has_sign, _two_groups(text, pattern, groups)).otherwise(
+            F.when(text.isNotNull(), F.array().cast(PAIRS))
+        )
+
     return let(
         col,
         lambda text: F.concat(
-            _two_groups(text, NATURAL_LABELLED, ("$1$3", "$2$4")),
-            _two_groups(text, NATURAL_KEYWORD, ("$1$3", "$2$4")),
-            _two_groups(text, NATURAL_DASH, ("$1", "$2")),
+            spelling(text, ":", NATURAL_LABELLED, ("$1$3", "$2$4")),
+            spelling(text, ":", NATURAL_KEYWORD, ("$1$3", "$2$4")),
+            spelling(text, "-–—", NATURAL_DASH, ("$1", "$2")),
         ),
     )
 

@@ -108,13 +108,17 @@ def earlier(
     ``values`` maps an output column to ``(how, expression)``. By default the
     row itself is left out, so the first row gets null. ``ord_col`` is a long,
     unique per ``keys`` and dense enough that a range of ``bucket_rows`` values
-    holds a fair share of rows.
+    holds a fair share of rows. Keys must not be null.
     """
     keys = list(keys)
     how = {"sum": F.sum, "max": F.max}
     base = df.withColumn("_bucket", F.floor(F.col(ord_col) / bucket_rows))
     for name, (_, expr) in values.items():
         base = base.withColumn(f"_v_{name}", expr)
+    # The join below drops null keys; saying so here keeps both uses of the rows
+    # alike, so that Spark computes and shuffles their common part once.
+    for key in [*keys, "_bucket"]:
+        base = base.filter(F.col(key).isNotNull())
     totals = base.groupBy(*keys, "_bucket").agg(
         *(how[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in values.items())
     )

@@ -57,10 +57,11 @@ class Run:
         """Requests with stored answers; only requests without one reach the model.
 
         Messages are built for the model step alone: the result, which joins the
-        other columns with the answers, leaves them out. The answers are appended to a progress table and read back from it. A
-        run that was cut short goes on where the table ends.
+        other columns with the answers, leaves them out. The answers are appended
+        to a progress table and read back from it, so a run that was cut short
+        goes on where the table ends.
         """
-        log = f"answers_{stage}_{self.seed}_{_slug(self.model)}_{_slug(self.dataset)}"
+        log = f"answers_{stage}_{self.seed}_{stages.slug_name(self.model)}_{stages.slug_name(self.dataset)}"
         todo = requests
         if stages.has_results(self.spark, self.root, log):
             done = stages.read_results(self.spark, self.root, log)
@@ -73,9 +74,3 @@ class Run:
         return join_responses(
             requests.drop("messages"), stages.read_results(self.spark, self.root, log)
         )
-
-
-def _slug(name: str) -> str:
-    for sign in ":/.-":
-        name = name.replace(sign, "_")
-    return name

@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
 from ..operators.runcontrol import one_answer
 
 # Partition columns; prefixed, as tables of scores have a seed column of their own.
@@ -28,38 +27,44 @@ def _path(root: str, stage: str) -> str:
     return f"{root.rstrip('/')}/{stage}"
 
 
+def slug_name(name: str) -> str:
+    """The run-key rule of ``functions.text.slug`` for a plain string."""
+    return "".join("_" if sign in ":/.-" else sign for sign in name)
+
+
+def _run_path(root: str, stage: str, seed: int, model: str, dataset: str) -> str:
+    values = zip(RUN, (seed, slug_name(model), slug_name(dataset)))
+    return "/".join([_path(root, stage), *(f"{column}={value}" for column, value in values)])
+
+
 def write_stage(df: DataFrame, root: str, stage: str, seed: int, model: str, dataset: str) -> None:
-    """Replace one run of a stage; other runs of the table stay."""
-    (
-        df.withColumn("run_seed", F.lit(seed))
-        .withColumn("run_model", slug(F.lit(model)))
-        .withColumn("run_dataset", slug(F.lit(dataset)))
-        .write.partitionBy(*RUN)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(_path(root, stage))
-    )
+    """Replace one run of a stage; other runs of the table stay.
+
+    The run is written to its partition folder as a whole, so an empty result
+    keeps its schema and leaves no older rows behind.
+    """
+    df.write.mode("overwrite").parquet(_run_path(root, stage, seed, model, dataset))
 
 
 def read_stage(
     spark: SparkSession, root: str, stage: str, seed: int, model: str, dataset: str
 ) -> DataFrame:
-    """One run of a stage table, by partition pruning; fails when the stage is absent."""
-    df = spark.read.parquet(_path(root, stage))
-    run = (
-        (F.col("run_seed") == seed)
-        & (F.col("run_model") == slug(F.lit(model)))
-        & (F.col("run_dataset") == slug(F.lit(dataset)))
-    )
-    return df.filter(run).drop(*RUN)
+    """One run of a stage table; fails when that run was never written."""
+    return spark.read.parquet(_run_path(root, stage, seed, model, dataset))
+
+
+def read_runs(spark: SparkSession, root: str, stage: str) -> DataFrame:
+    """All runs of a stage, told apart by the partition columns in ``RUN``."""
+    return spark.read.parquet(_path(root, stage))
 
 
 def has_stage(spark: SparkSession, root: str, stage: str, seed: int, model: str, dataset: str) -> bool:
     """Whether a run of a stage was written."""
     try:
-        return not read_stage(spark, root, stage, seed, model, dataset).isEmpty()
+        read_stage(spark, root, stage, seed, model, dataset)
     except AnalysisException:
         return False
+    return True
 
 
 def append_results(answers: DataFrame, root: str, stage: str, run: int = 0) -> None:

@@ -1,6 +1,7 @@
 """File scans, list text, stage tables."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from mirrorset.sources import examples, stages
@@ -70,8 +71,22 @@ def test_stage_runs_stay_apart(spark, tmp_path):
     assert stages.has_stage(spark, root, "s", 42, "qwen:7b", "d.csv")
     assert not stages.has_stage(spark, root, "s", 9, "qwen:7b", "d.csv")
     assert not stages.has_stage(spark, root, "missing", 42, "qwen:7b", "d.csv")
-    plan = stages.read_stage(spark, root, "s", 42, "qwen:7b", "d.csv")._jdf.queryExecution().toString()
+    runs = stages.read_runs(spark, root, "s")
+    assert sorted((r["run_seed"], r["run_model"], r["n"]) for r in runs.collect()) == [(1, "qwen_7b", 2), (42, "qwen_7b", 3)]
+    plan = runs.filter("run_seed = 42")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(run_seed" in plan
+    with pytest.raises(AnalysisException):
+        stages.read_stage(spark, root, "s", 9, "qwen:7b", "d.csv")
+
+
+def test_empty_stage_keeps_its_schema_and_drops_old_rows(spark, tmp_path):
+    key = (str(tmp_path), "s", 42, "m", "d")
+    one = spark.createDataFrame([("a", 1)], "id string, n int")
+    stages.write_stage(one, *key)
+    stages.write_stage(one.filter("n > 1"), *key)
+    df = stages.read_stage(spark, *key)
+    assert df.columns == ["id", "n"] and df.count() == 0
+    assert stages.has_stage(spark, *key)
 
 
 def test_answers_are_merged_by_request(spark, tmp_path):
