@@ -149,3 +149,24 @@ def earlier(
             total = F.greatest(local, offset)
         joined = joined.withColumn(name, total)
     return joined.select(*[c for c in df.columns if c not in values], *values)
+
+
+def dense_order(
+    df: DataFrame,
+    group: str,
+    within: Sequence[str],
+    out: str = "place",
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """0-based running number along (``group``, ``within``) without gaps.
+
+    Rows before each group come from a running sum over groups; a group, such as
+    the rows of one example, is small and is numbered on its own.
+    """
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    starts = earlier(counts, group, {"_start": ("sum", F.col("_n"))}, bucket_rows=bucket_rows)
+    inside = F.row_number().over(Window.partitionBy(group).orderBy(*within)) - 1
+    placed = df.join(starts.drop("_n"), group).withColumn(
+        out, F.coalesce("_start", F.lit(0)).cast("bigint") + inside
+    )
+    return placed.drop("_start")

@@ -15,6 +15,7 @@ from ..functions import text as t
 from ..functions.replies import parse_candidates
 from ..operators import gates, matching, requests, runcontrol, sampling
 from ..operators.labels import fan_out_targets, label_domain
+from ..operators.order import dense_order
 from .run import Run
 
 
@@ -89,8 +90,17 @@ def counterfactual_rows(answered: DataFrame) -> DataFrame:
     return stored.drop("request_id", "text")
 
 
-def generate(run: Run, candidates: DataFrame) -> DataFrame:
+def generate(run: Run, candidates: DataFrame, max_consecutive: int | None = None) -> DataFrame:
+    """One rewrite per candidate row.
+
+    With ``max_consecutive`` the stage ends where a caller working in input
+    order would have stopped: at that many failures in a row, or at a quota error.
+    """
     answered = run.answers(requests.generation_requests(candidates), "generation")
+    if max_consecutive is not None:
+        within = ["pair_no", "phrase_no", "target_no"]
+        placed = dense_order(answered, "ord", within)
+        answered = runcontrol.stop_on_failures(placed, max_consecutive, "place").drop("place")
     return run.save(counterfactual_rows(answered), "counterfactuals")
 
 

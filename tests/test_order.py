@@ -77,6 +77,14 @@ def test_earlier_sum_and_max_per_key(spark):
             assert r["m"] == max((x[1] for x in before if x[2] > 7), default=None)
 
 
+def test_dense_order(spark):
+    rng = random.Random(9)
+    rows = [(o, k) for o in rng.sample(range(10_000), 120) for k in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "ord bigint, k int").repartition(5)
+    got = sorted(map(tuple, order.dense_order(df, "ord", ["k"], bucket_rows=100).collect()))
+    assert got == [(o, k, i) for i, (o, k) in enumerate(sorted(rows))]
+
+
 def test_budget_keeps_the_crossing_example(spark):
     calls = spark.createDataFrame(
         [(0, 3), (0, 3), (1, 4), (2, 1), (3, 1)], "ord bigint, tokens bigint"

@@ -118,6 +118,28 @@ def test_cut_run_goes_on_by_key(setup, spark, tmp_path):
     assert spark.read.parquet(f"{cut.root}/answers_generation_42_m_d").count() == 10
 
 
+def test_generation_stops_where_a_caller_would(setup, spark, tmp_path):
+    run, _, _ = setup
+    candidates = run.load("candidates").cache()
+
+    def picky():
+        def client(messages, **_):
+            if "'price'" in messages[-1]["content"]:
+                raise RuntimeError("timeout")
+            return "fine"
+
+        return client
+
+    other = Run(spark, str(tmp_path), "m", "d", client_responder(lambda: picky()))
+    order = ["ord", "pair_no", "phrase_no", "target_no"]
+    rows = [r["target_label"] for r in candidates.orderBy(order).collect()]
+    failed = ["price" in (r["target_label"], r["ori_label"]) for r in candidates.orderBy(order).collect()]
+    want = next(i for i in range(len(rows)) if i and failed[i] and failed[i - 1])
+    kept = augmentation.generate(other, candidates, max_consecutive=2).orderBy(order).collect()
+    assert [r["target_label"] for r in kept] == rows[:want]
+    assert [r["counterfactual"] for r in kept] == ["" if f else "fine" for f in failed[:want]]
+
+
 def test_failed_calls_are_asked_again_on_demand(setup):
     run, _, _ = setup
     from mirrorset.operators import requests
