@@ -53,7 +53,11 @@ def plan_candidates(
     token_limit: int | None = None,
     ord_col: str = "ord",
 ) -> DataFrame:
-    """Candidate requests within the token budget, estimated from the prompts."""
+    """Candidate requests within the token budget, estimated from the prompts.
+
+    Examples within the budget are the first ones in order, so a bound on the
+    order keeps them, and the texts need no join.
+    """
     asked = requests.candidate_requests(fan_out_targets(patterns, labels))
     if token_limit is None:
         return asked
@@ -61,7 +65,9 @@ def plan_candidates(
         ord_col, runcontrol.call_tokens(F.col("messages"), F.lit("")).alias("tokens")
     )
     kept = runcontrol.within_budget(calls, limit=token_limit, example=ord_col)
-    return asked.join(kept.select(ord_col), ord_col, "left_semi")
+    last = kept.agg(F.max(ord_col).alias("last")).scalar()
+    within = patterns.filter(F.col(ord_col) <= last)
+    return requests.candidate_requests(fan_out_targets(within, labels))
 
 
 def candidate_rows(answered: DataFrame) -> DataFrame:
