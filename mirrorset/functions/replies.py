@@ -108,8 +108,10 @@ def _two_groups(col: Column, pattern: str, groups: tuple[str, str]) -> Column:
         col, F.lit(pattern), F.lit(f"{_OPEN}{first}{_MIDDLE}{second}{_CLOSE}")
     )
     pieces = F.split(marked, _OPEN, -1)
+    # The first piece lies before the first match. Dropping it by index names the
+    # split once; each mention of it would run the pattern again.
     found = F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, _CLOSE, 1)
+        F.filter(pieces, lambda _, i: i > 0), lambda p: F.substring_index(p, _CLOSE, 1)
     )
     fast = F.transform(
         found,

@@ -73,9 +73,11 @@ def clean_response(col: Column) -> Column:
     """
 
     def unfence(text: Column) -> Column:
-        lines = F.split(text, "\n", -1)
-        inner = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")
-        body = F.when(F.size(lines) > 2, inner).otherwise(text)
+        def inner(lines: Column) -> Column:
+            kept = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")
+            return F.when(F.size(lines) > 2, kept).otherwise(text)
+
+        body = let(F.split(text, "\n", -1), inner)
         return strip(F.replace(body, F.lit("```"), F.lit("")))
 
     return let(strip(col), lambda text: F.when(text.startswith("```"), unfence(text)).otherwise(text))
