@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, packing, secrets, sharding
+from . import idstore, packing, secrets, sharding, suffixes
 from .staging import new_path
 
 
@@ -29,6 +29,28 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.id_digest(idstore.read_documents(idstore.open_store(spark, path)))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that earlier text already holds in a match of 100, removed from all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
+
+    def slim(rows: DataFrame) -> DataFrame:
+        calm = F.col("__firsts").isNull()
+        whole = F.when(calm & F.col("__copy").isNotNull(), F.sha2(F.lit(""), 256)).otherwise(F.sha2("text", 256))
+        return rows.withColumns({"kept_sha256": F.when(calm, whole), "text": F.when(~calm, F.col("text"))})
+
+    marked = suffixes.mark_repeats(docs, slim)
+    kept = suffixes.kept_bytes(F.col("text"), F.col("__spans"))
+    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    return marked.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("__spans").cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", F.sha2(kept, 256)).alias("kept_sha256"),
+    )
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All base spans and the linked weak spans of every document."""
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -74,5 +96,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_secrets, op8_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_suffixes, op4_secrets, op8_packing, op9_sharding)}
 ORACLES: dict[str, str] = {}
