@@ -15,35 +15,85 @@ from tokenizers import Tokenizer
 
 SPACES_MEET = re.compile(r"\s\s|^\s|\s$")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
 LONGEST_KEPT = 48
 
 
 class WordEncoder:
     """``spaces`` says what the tokenizer does with a space: "lead" joins it to the next word, "drop" loses it.
 
-    ``kept`` bounds the words that one worker remembers.
+    ``kept`` bounds the words of each kind that one worker remembers as new; as many older ones are still found.
     """
 
-    def __init__(self, path: str, spaces: str, kept: int = 300_000) -> None:
+    def __init__(self, path: str, spaces: str, kept: int = 250_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.spaces, self.kept = spaces, kept
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = self.leads.copy()
+        for token, i in vocabulary.items():
+            self.leads[i] = token.startswith("\u0120")  # how a space is written in these files
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
         self.known_led: dict[str, bytes] = {}
+        self.older: dict[int, dict[str, bytes]] = {0: {}, 1: {}}
 
-    def _learn(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            encoded = self.tokenizer.encode_batch([lead + w for w in part], add_special_tokens=False)
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _together(self, words: list[str], tokens: list[int], led: bool) -> list[bytes] | None:
+        """Ids of words encoded as one text, cut where the tokenizer cut it; None if the cuts cannot be told.
+
+        ``tokens``: how many words the tokenizer makes of each.
+        """
+        if led:
+            ids = self._ids(" " + " ".join(words))
+            cuts = np.append(np.flatnonzero(self.leads[ids]), len(ids))
+            if len(cuts) != len(words) + 1 or cuts[0]:
+                return None
+        else:
+            ids = self._ids(" ".join(words))
+            wanted = np.cumsum(tokens)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != wanted[-1] or ends[-1] != len(ids):
+                return None
+            cuts = np.append(0, ends[wanted - 1])
+        data, places = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(places, places[1:])]  # noqa: B905
+
+    def _learn(self, words: set[str], known: dict[str, bytes], led: bool) -> None:
+        older, latin = self.older[led], LATIN_WORD.fullmatch
+        able = led or self.spaces == "drop"
+        joint, tokens, alone = [], [], []
+        for w in words.difference(known):
+            if w in older:
+                known[w] = older[w]
+            elif able and (m := latin(w)):
+                joint.append(w)
+                tokens.append(1 if m.end() == m.start(1) else 2)
+            else:
+                alone.append(w)
+        for i in range(0, len(joint), 4096):
+            part = joint[i : i + 4096]
+            encoded = self._together(part, tokens[i : i + 4096], led)
+            if encoded is None:
+                alone += part
+            else:
+                known.update(zip(part, encoded, strict=True))
+        for i in range(0, len(alone), 4096):
+            part = alone[i : i + 4096]
+            encoded = self.tokenizer.encode_batch([" " * led + w for w in part], add_special_tokens=False)
             known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, encoded, strict=True))
 
     def _forget(self) -> None:
-        for known in (self.known, self.known_led):
+        """Age the known words once there are too many; very long ones are never kept."""
+        for led, known in enumerate((self.known, self.known_led)):
+            for w in self.long:
+                known.pop(w, None)
             if len(known) > self.kept:
+                self.older[led] = dict(known)
                 known.clear()
-            for w in [w for w in known if len(w) > LONGEST_KEPT]:
-                del known[w]
 
     def _lines(self, text: str) -> list[list[str]]:
         """Words by line; a text where white space meets white space is one line, cut at lone spaces only."""
@@ -65,8 +115,9 @@ class WordEncoder:
                 else:
                     first.add(words[0])
                     led.update(words[1:])
-        self._learn(first, self.known, "")
-        self._learn(led, self.known_led, " ")
+        self.long = [w for w in (*first, *led) if len(w) > LONGEST_KEPT]
+        self._learn(first, self.known, led=False)
+        self._learn(led, self.known_led, led=True)
         one, other = self.known.__getitem__, self.known_led.__getitem__
         if self.spaces == "drop":
             out = [b"".join(map(one, lines[0])) for lines in cut]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, packing, secrets, sharding, suffixes
+from . import idstore, jaccard, packing, secrets, sharding, suffixes
 from .staging import new_path
 
 
@@ -69,6 +69,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are alike by 0.75 or more."""
+    near = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = near.select(F.col("__doc").alias("__label"), F.col("doc_id").alias("component_id"))
+    return near.select("doc_id", "n_shingles", "__label").join(names, "__label").select("doc_id", "n_shingles", "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,5 +103,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_suffixes, op4_secrets, op8_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_suffixes, op4_secrets, op5_near_duplicates, op8_packing, op9_sharding)}
 ORACLES: dict[str, str] = {}

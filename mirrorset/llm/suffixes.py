@@ -32,12 +32,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import MATCH, anchor_runs
-from .staging import chunks, staged, utf8
+from .staging import chunks, numbered, planes, staged, unplaned, utf8
 
 #: Anchors sorted at a time in a task, rows of a bucket, surroundings of a key.
 BLOCK, BUCKET, HOT = 2_000_000, 4096, 4096
@@ -49,33 +48,6 @@ LEVEL_ROW = "bucket int, text binary, suffixes binary"
 SCAN_ROW = "kind int, bucket int, doc long, begin long, end long, text binary, suffixes binary"
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Bytes by significance, so that equal high bytes lie side by side and compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def unplaned(data: bytes, dtype: str) -> np.ndarray:
-    kind = np.dtype(dtype)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """Add ``__doc``: unique numbers in order of doc_id. It is doc_id itself unless that repeats or is null."""
-    counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if counts["rows"] == counts["ids"]:
-        return docs.withColumn("__doc", F.col("doc_id").cast("long"))
-    schema = docs.schema.add("__doc", "long")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, "__doc"])
-            at += batch.num_rows
-
-    ordered = docs.withColumn("__tie", F.xxhash64("text")).repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
-    return staged(ordered.mapInArrow(number, schema), "numbered")
-
-
 def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     """(doc, first) of the anchor runs whose key occurs more than once, as arrays by document."""
 
