@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, jaccard, packing, secrets, sharding, suffixes
+from . import idstore, jaccard, neighbours, packing, secrets, sharding, sketches, suffixes, transducer
 from .staging import new_path
 
 
@@ -29,6 +29,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.id_digest(idstore.read_documents(idstore.open_store(spark, path)))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sketches.with_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), ranges)
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that earlier text already holds in a match of 100, removed from all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -36,8 +42,7 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def slim(rows: DataFrame) -> DataFrame:
         calm = F.col("__firsts").isNull()
-        whole = F.when(calm & F.col("__copy").isNotNull(), F.sha2(F.lit(""), 256)).otherwise(F.sha2("text", 256))
-        return rows.withColumns({"kept_sha256": F.when(calm, whole), "text": F.when(~calm, F.col("text"))})
+        return rows.withColumns({"kept_sha256": F.when(calm, F.sha2("text", 256)), "text": F.when(~calm, F.col("text"))})
 
     marked = suffixes.mark_repeats(docs, slim)
     kept = suffixes.kept_bytes(F.col("text"), F.col("__spans"))
@@ -76,6 +81,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "n_shingles", "__label").join(names, "__label").select("doc_id", "n_shingles", "component_id")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,5 +113,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_suffixes, op4_secrets, op5_near_duplicates, op8_packing, op9_sharding)}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, and the texts decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = transducer.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return transducer.piece_digest(transducer.decode_pieces(encoded, model))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_fingerprints, op3_suffixes, op4_secrets, op5_near_duplicates, op7_neighbours, op8_packing, op9_sharding, op10_pieces)}
 ORACLES: dict[str, str] = {}
