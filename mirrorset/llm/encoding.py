@@ -9,122 +9,92 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 SPACES_MEET = re.compile(r"\s\s|^\s|\s$")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 LONGEST_KEPT = 48
 
 
-class WordEncoder:
-    """``spaces`` says what the tokenizer does with a space: "lead" joins it to the next word, "drop" loses it.
+class Words(dict):
+    """Packed ids by word; a new word is encoded when it is looked up.
 
-    ``kept`` bounds the words of each kind that one worker remembers as new; as many older ones are still found.
+    Letters and the punctuation after them are words of their own to the tokenizer, so they are put together
+    from what is known. ``kept`` bounds the new words; as many older ones are still found.
     """
 
-    def __init__(self, path: str, spaces: str, kept: int = 250_000) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
-        self.spaces, self.kept = spaces, kept
-        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends = self.leads.copy()
-        for token, i in vocabulary.items():
-            self.leads[i] = token.startswith("\u0120")  # how a space is written in these files
-            self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.known_led: dict[str, bytes] = {}
-        self.older: dict[int, dict[str, bytes]] = {0: {}, 1: {}}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _together(self, words: list[str], tokens: list[int], led: bool) -> list[bytes] | None:
-        """Ids of words encoded as one text, cut where the tokenizer cut it; None if the cuts cannot be told.
-
-        ``tokens``: how many words the tokenizer makes of each.
-        """
-        if led:
-            ids = self._ids(" " + " ".join(words))
-            cuts = np.append(np.flatnonzero(self.leads[ids]), len(ids))
-            if len(cuts) != len(words) + 1 or cuts[0]:
-                return None
-        else:
-            ids = self._ids(" ".join(words))
-            wanted = np.cumsum(tokens)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != wanted[-1] or ends[-1] != len(ids):
-                return None
-            cuts = np.append(0, ends[wanted - 1])
-        data, places = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-        return [data[a:b] for a, b in zip(places, places[1:])]  # noqa: B905
-
-    def _learn(self, words: set[str], known: dict[str, bytes], led: bool) -> None:
-        older, latin = self.older[led], LATIN_WORD.fullmatch
-        able = led or self.spaces == "drop"
-        joint, tokens, alone = [], [], []
-        for w in words.difference(known):
-            if w in older:
-                known[w] = older[w]
-            elif able and (m := latin(w)):
-                joint.append(w)
-                tokens.append(1 if m.end() == m.start(1) else 2)
-            else:
-                alone.append(w)
-        for i in range(0, len(joint), 4096):
-            part = joint[i : i + 4096]
-            encoded = self._together(part, tokens[i : i + 4096], led)
-            if encoded is None:
-                alone += part
+    def __init__(self, tokenizer: Tokenizer, lead: str, lower: bool, code: str, kept: int) -> None:
+        self.tokenizer, self.lead, self.lower, self.code, self.kept = tokenizer, lead, lower, code, kept
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.long: list[str] = []
+
+    def _encode(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            if len(text) > 8:
+                return self._encode(text)
+            self.marks[text] = self._encode(text)
+        return self.marks[text]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            parts = LATIN_WORD.fullmatch(word)
+            if parts is None:
+                ids = self._encode(self.lead + word)
             else:
-                known.update(zip(part, encoded, strict=True))
-        for i in range(0, len(alone), 4096):
-            part = alone[i : i + 4096]
-            encoded = self.tokenizer.encode_batch([" " * led + w for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, encoded, strict=True))
-
-    def _forget(self) -> None:
-        """Age the known words once there are too many; very long ones are never kept."""
-        for led, known in enumerate((self.known, self.known_led)):
-            for w in self.long:
-                known.pop(w, None)
-            if len(known) > self.kept:
-                self.older[led] = dict(known)
-                known.clear()
-
-    def _lines(self, text: str) -> list[list[str]]:
-        """Words by line; a text where white space meets white space is one line, cut at lone spaces only."""
+                letters, marks = parts.groups()
+                if self.lower:
+                    letters = letters.lower()
+                ids = self._encode(self.lead + letters) if letters == word else self[letters] + self._mark(marks)
+        self[word] = ids
+        if len(word) > LONGEST_KEPT:
+            self.long.append(word)
+        return ids
+
+    def age(self) -> None:
+        """Forget very long words, and the older ones once there are too many."""
+        for word in self.long:
+            self.pop(word, None)
+        self.long.clear()
+        if len(self) > self.kept:
+            self.older = dict(self)
+            self.clear()
+
+
+class WordEncoder:
+    """``spaces`` says what the tokenizer does with a space: "lead" joins it to the next word, "drop" loses it."""
+
+    def __init__(self, path: str, spaces: str, kept: int = 300_000) -> None:
+        tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.spaces = spaces
+        self.words = Words(tokenizer, "", spaces == "drop", code, kept)
+        self.led = Words(tokenizer, " ", False, code, kept)
+
+    def _one(self, text: str) -> bytes:
+        word, led = self.words.__getitem__, self.led.__getitem__
         if self.spaces == "drop":
-            return [text.replace("\n", " ").replace("\t", " ").split(" ")]
-        if SPACES_MEET.search(text):
-            return [LONE_SPACE.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
+            return b"".join(map(word, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        # a text where white space meets white space is one line, cut at lone spaces only
+        lines = [LONE_SPACE.split(text)] if SPACES_MEET.search(text) else [line.split(" ") for line in text.split("\n")]
+        return word("\n").join([b"".join([word(words[0]), *map(led, words[1:])]) for words in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian numbers of ``dtype``."""
-        cut = [self._lines(t) for t in texts]
-        first: set[str] = {"\n"}
-        led: set[str] = set()
-        for lines in cut:
-            for words in lines:
-                if self.spaces == "drop":
-                    first.update(words)
-                else:
-                    first.add(words[0])
-                    led.update(words[1:])
-        self.long = [w for w in (*first, *led) if len(w) > LONGEST_KEPT]
-        self._learn(first, self.known, led=False)
-        self._learn(led, self.known_led, led=True)
-        one, other = self.known.__getitem__, self.known_led.__getitem__
-        if self.spaces == "drop":
-            out = [b"".join(map(one, lines[0])) for lines in cut]
-        else:
-            newline = self.known["\n"]
-            out = [newline.join([one(words[0]) + b"".join(map(other, words[1:])) for words in lines]) for lines in cut]
-        self._forget()
+        out = []
+        for text in texts:
+            out.append(self._one(text))
+            self.words.age()
+            self.led.age()
         return out
 
 
