@@ -83,12 +83,13 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _TABLES: list[np.ndarray] = []
 
 
-def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, first, count, key) of every anchor, in parts.
+def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, first, count, key, digest) of every anchor, in parts.
 
     The anchor of a window of ``MATCH`` bytes is the string of ``GRAM`` bytes in it with the smallest hash, the
     leftmost of equal ones. It depends on the window's bytes alone, so equal windows have equal keys. Consecutive
-    windows that share an anchor make one run: windows first, first + 1, ... (count of them).
+    windows that share an anchor make one run: windows first, first + 1, ... (count of them, at most ``WINDOW``).
+    The digest hashes all bytes of the run.
     """
     if not _TABLES:
         _TABLES.extend([powers(BASE, LONGEST + 1), powers(INVERSE, LONGEST + 1)])
@@ -102,7 +103,7 @@ def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
             held.append(piece)
 
 
-def _runs(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     forth, back = _TABLES
     buffer = np.frombuffer(b"".join(x[2] for x in pieces), np.uint8)
     sizes = np.array([len(x[2]) for x in pieces])
@@ -132,4 +133,5 @@ def _runs(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray,
     counts = breaks[np.searchsorted(breaks, heads, "right")] - heads
     piece = np.searchsorted(starts, heads, "right") - 1
     number, offset = np.array([x[0] for x in pieces]), np.array([x[1] for x in pieces])
-    return number[piece], heads - starts[piece] + offset[piece], counts, grams[anchor[heads]]
+    digest = mixed((sums[heads + counts + MATCH - 1] - sums[heads]) * back[heads] + counts.astype(np.uint64))
+    return number[piece], heads - starts[piece] + offset[piece], counts, grams[anchor[heads]], digest

@@ -5,21 +5,21 @@ in a smaller document, or in the same one further left.
 
 1. Every window of ``MATCH`` bytes has an anchor that depends on its bytes alone
    (``bytesets.anchor_runs``). Sorted blocks of anchor keys are merged by key range: only
-   windows whose key occurs twice can repeat. Keys that occur twice in a block are sent on
-   once, so a key held by a third of all documents gives a merge one entry a block.
-2. Those windows, with their bytes, are dealt out by key to buckets of bounded size. A key
-   with more than ``HOT`` different surroundings is dealt out window by window instead, by
+   windows whose key occurs twice can repeat. Of runs with equal bytes (64 bits of key
+   and 48 of a digest) the first goes on and the others are marked, in each block and then in
+   each range, so a passage held by a third of all documents gives a merge one entry a block.
+2. Runs whose key has several surroundings, with their bytes, are dealt out by key to
+   buckets of bounded size. A key with more than ``HOT`` different surroundings is dealt out window by window instead, by
    the hash of the window, after equal windows were reduced to the first.
 3. ``SuffixFamily`` takes the windows in batches of ascending documents. In each bucket a
    batch gets its suffix array (window starts in order of their ``MATCH`` bytes), which is
    merge-scanned against the suffix arrays of the levels: an equal neighbour starts earlier.
    What is new becomes a level; levels of equal size merge.
 
-Bytes are compared as they are, so nothing rests on hashes being different: keys only
-decide which windows meet. Levels, batches and stages are written tables.
+In the family bytes are compared as they are. Levels, batches and stages are written tables.
 
-Null text is empty and nothing repeats in it, texts under ``MATCH`` bytes keep all, an
-exact copy of an earlier text of at least ``MATCH`` bytes goes whole, rows of one doc_id
+Null text is empty and nothing repeats in it, texts under ``MATCH`` bytes keep all, a
+copy of an earlier text of at least ``MATCH`` bytes goes whole, rows of one doc_id
 are different documents in order of a text hash, null doc_id comes first, an empty table
 gives an empty result. Other columns are carried along.
 """
@@ -43,58 +43,60 @@ BLOCK, BUCKET, HOT = 2_000_000, 4096, 4096
 BATCHES = 4
 #: Bytes of surroundings that a task remembers.
 KEPT_BYTES = 64 << 20
-BLOCK_ROW = "part int, known boolean, n long, keys binary, counts binary, docs binary, firsts binary"
+BLOCK_ROW = "part int, known boolean, keys binary, digests binary, docs binary, firsts binary, counts binary"
 LEVEL_ROW = "bucket int, text binary, suffixes binary"
 SCAN_ROW = "kind int, bucket int, doc long, begin long, end long, text binary, suffixes binary"
 
 
 def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc, first) of the anchor runs whose key occurs more than once, as arrays by document."""
+    """By document: ``__firsts``, the runs whose key other bytes have too; ``__marks``, runs (first * 128 + count) of known bytes.
+
+    Of equal runs only the first is looked at further: all windows of the others repeat it.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            docs_, firsts, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            order = np.argsort(keys, kind="stable")
-            keys, docs_, firsts = keys[order], docs_[order], firsts[order]
-            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            counts = np.diff(np.append(new, len(keys)))
-            rest = np.ones(len(keys), bool)
-            rest[new] = False
-            heads = keys[new]
-            part = (heads >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            columns, new = in_order(columns)
+            keys = columns[0][new]
+            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
-            rows = []
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    at = new[a:b]
-                    rows.append((p, False, b - a, planes(heads[a:b]), planes(np.minimum(counts[a:b], 2).astype(np.uint8)), planes(docs_[at]), planes(firsts[at])))
-            docs_, firsts = docs_[rest], firsts[rest]
-            for i, a in enumerate(range(0, len(docs_), 50_000)):
-                b = min(a + 50_000, len(docs_))
-                rows.append((int(new[0] + i) % parts, True, b - a, b"", b"", planes(docs_[a:b]), planes(firsts[a:b])))
+            rows = [(p, False, *(planes(c[new[a:b]]) for c in columns)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            known = np.delete(np.arange(len(columns[0])), new)
+            for a in range(0, len(known), 50_000):
+                at = known[a : a + 50_000]
+                rows.append((int(columns[0][at[0]] % np.uint64(parts)), True, b"", b"", *(planes(c[at]) for c in columns[2:])))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows[i : i + 64], columns=[c.split()[0] for c in BLOCK_ROW.split(", ")]).astype({"part": "int32"}), preserve_index=False)
 
         for batch in batches:
             for piece in chunks(batch):
                 ids = piece.column("__doc").to_numpy()
-                for number, first, _, keys in anchor_runs(utf8(piece.column("text"))):
-                    held.append((ids[number], first.astype(np.uint32), keys))
+                for number, first, count, keys, digest in anchor_runs(utf8(piece.column("text"))):
+                    held.append((keys, digest >> np.uint64(16), ids[number], first.astype(np.uint32), count.astype(np.uint8)))
                 if sum(len(x[0]) for x in held) >= BLOCK:
                     yield from close()
         if held:
             yield from close()
 
+    def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Sorted by key, digest, document and place; where a new run of bytes begins."""
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        keys, digests = columns[:2]
+        return columns, np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])]))
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task takes several key ranges one after the other: rows come sorted by range
         now, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["known"]:
-                    yield by_document(unplaned(row["docs"], "<i8"), unplaned(row["firsts"], "<u4"))
+                    docs_, firsts, counts = (unplaned(row[c], kind) for c, kind in (("docs", "<i8"), ("firsts", "<u4"), ("counts", "<u1")))
+                    yield by_document(docs_, firsts.astype(np.int64) * 128 + counts, "__marks")
                     continue
                 if row["part"] != now and held:
                     yield from matched(held)
@@ -105,29 +107,31 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             yield from matched(held)
 
     def matched(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([unplaned(r["keys"], "<u8") for r in rows])
-        counts = np.concatenate([unplaned(r["counts"], "<u1") for r in rows])
-        docs_ = np.concatenate([unplaned(r["docs"], "<i8") for r in rows])
-        firsts = np.concatenate([unplaned(r["firsts"], "<u4") for r in rows])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        again = counts[order] > 1
-        again[1:] |= same
-        again[:-1] |= same
-        if again.any():
-            yield by_document(docs_[order][again], firsts[order][again])
-
-    def by_document(docs_: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((firsts, docs_))
-        docs_, firsts = docs_[order], firsts[order]
+        kinds = {"keys": "<u8", "digests": "<u8", "docs": "<i8", "firsts": "<u4", "counts": "<u1"}
+        (keys, _, docs_, firsts, counts), new = in_order([np.concatenate([unplaned(r[c], kind) for r in rows]) for c, kind in kinds.items()])
+        firsts = firsts.astype(np.int64)
+        known = np.ones(len(keys), bool)
+        known[new] = False
+        if known.any():
+            yield by_document(docs_[known], firsts[known] * 128 + counts[known], "__marks")
+        heads = keys[new]
+        same = heads[1:] == heads[:-1]
+        several = new[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        if len(several):
+            yield by_document(docs_[several], firsts[several], "__firsts")
+
+    def by_document(docs_: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
+        order = np.lexsort((values, docs_))
+        docs_, values = docs_[order], values[order]
         new = np.flatnonzero(np.concatenate([[True], docs_[1:] != docs_[:-1]]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(docs_)), pa.int32()), pa.array(firsts.astype(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(docs_[new]), lists], ["__doc", "firsts"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(docs_)), pa.int32()), pa.array(values))
+        none = pa.nulls(len(new), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(docs_[new]), *(lists if c == name else none for c in ("__firsts", "__marks"))], ["__doc", "__firsts", "__marks"])
 
     sent = docs.select("__doc", F.col("text").cast("string").alias("text")).mapInArrow(blocks, BLOCK_ROW)
     meet = sent.repartition(parts, "part").sortWithinPartitions("part")
-    return meet.mapInArrow(merged, "__doc long, firsts array<bigint>").groupBy("__doc").agg(F.flatten(F.collect_list("firsts")).alias("__firsts"))
+    lists = meet.mapInArrow(merged, "__doc long, __firsts array<bigint>, __marks array<bigint>")
+    return lists.groupBy("__doc").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("__firsts", "__marks")))
 
 
 RUN_ROW = "kind int, key long, doc long, begin long, n long, end long, text binary"
@@ -157,31 +161,35 @@ class _Firsts:
             self.held = 0
 
     def rows(self) -> pa.RecordBatch:
-        types = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-        columns = list(zip(*self.out, strict=True)) or [()] * 7
-        self.out = []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in RUN_ROW.split(", ")])
+        out, self.out = self.out, []
+        return run_rows(out)
+
+
+def run_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in RUN_ROW.split(", ")])
 
 
 def surroundings(suspects: DataFrame) -> DataFrame:
-    """The bytes of each repeated anchor run. kind 0: key, doc, begin, n (windows), text; kind 1: a marked span [begin, end)."""
+    """The bytes of each run in ``__firsts``: kind 0, key, doc, begin, n (windows), text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts_ = _Firsts()
         for batch in batches:
             for piece in chunks(batch):
                 texts, ids = utf8(piece.column("text")), piece.column("__doc").to_pylist()
                 wanted = [np.array(x, np.int64) for x in piece.column("__firsts").to_pylist()]
-                for numbers, firsts, counts, keys in anchor_runs(texts):
+                out = []
+                for numbers, firsts, counts, keys, _ in anchor_runs(texts):
                     for i in np.unique(numbers).tolist():
                         own = np.arange(*np.searchsorted(numbers, [i, i + 1]))
                         own = own[np.isin(firsts[own], wanted[i])]
                         text, doc = texts[i], ids[i]
                         for a, n, key in zip(firsts[own].tolist(), counts[own].tolist(), keys[own].view(np.int64).tolist(), strict=True):
-                            firsts_.add(key, doc, a, n, text[a : a + n + MATCH - 1])
-                yield firsts_.rows()
+                            out.append((0, key, doc, a, n, None, text[a : a + n + MATCH - 1]))
+                yield run_rows(out)
 
-    return suspects.select("__doc", "text", "__firsts").mapInArrow(rows, RUN_ROW)
+    return suspects.where(F.size("__firsts") > 0).select("__doc", "text", "__firsts").mapInArrow(rows, RUN_ROW)
 
 
 def single_windows(runs: DataFrame) -> DataFrame:
@@ -209,7 +217,7 @@ def without_hot_keys(rows: DataFrame) -> DataFrame:
         return rows
     marked = rows.join(F.broadcast(hot) if n <= 100_000 else hot, "key", "left")
     columns = [c.split()[0] for c in RUN_ROW.split(", ")]
-    return marked.where("__hot is null").select(columns).unionByName(single_windows(marked.where("__hot").select(columns)))
+    return staged(marked.where("__hot is null").select(columns).unionByName(single_windows(marked.where("__hot").select(columns))), "dealt-runs")
 
 
 def suffix_keys(text: bytes, begins: np.ndarray) -> np.ndarray:
@@ -316,13 +324,15 @@ class SuffixFamily:
 
 
 def repeated_spans(suspects: DataFrame) -> DataFrame:
-    """(doc, spans): the merged spans of each suspect document (``__doc``, text, ``__firsts``) that repeat earlier bytes."""
-    rows = staged(without_hot_keys(staged(surroundings(suspects), "runs")), "dealt-runs")
+    """(doc, spans): the merged spans of each suspect document (``__doc``, text, ``__firsts``, ``__marks``) that repeat earlier bytes."""
+    rows = without_hot_keys(staged(surroundings(suspects), "runs"))
     facts = rows.where("kind = 0").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc", [i / BATCHES for i in range(1, BATCHES)]).alias("cuts")).first()
     buckets = max(1, -(-facts["n"] // BUCKET))
     family = SuffixFamily(suspects.sparkSession, buckets)
     runs = rows.where("kind = 0").withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    spans = rows.where("kind = 1").select("doc", "begin", "end")
+    known = suspects.select(F.col("__doc").alias("doc"), F.explode("__marks").alias("m"))
+    known = known.select("doc", F.expr("m div 128").alias("begin"), F.expr(f"m div 128 + m % 128 + {MATCH - 1}").alias("end"))
+    spans = known.unionByName(rows.where("kind = 1").select("doc", "begin", "end"))
     cuts = sorted(set(facts["cuts"] or []))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = runs
@@ -347,22 +357,14 @@ def mark_repeats(docs: DataFrame, slim: Callable[[DataFrame], DataFrame] = lambd
     ``slim`` may shorten the rows of documents without ``__firsts`` before the table is staged.
     """
     docs = numbered(docs)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bytes_ = F.octet_length(text)
     parts = max(8, 2 * docs.select("text").rdd.getNumPartitions())
-    found = repeated_anchors(docs, parts)
-    facts = docs.where(bytes_ >= MATCH).select("__doc", F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), bytes_.alias("c"))
-    same = facts.groupBy("a", "b", "c").agg(F.min("__doc").alias("first"), F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > 1)
-    copies = facts.join(same, ["a", "b", "c"]).where(F.col("__doc") != F.col("first")).select("__doc", F.lit(None).cast("array<bigint>").alias("__firsts"), F.lit(True).alias("__copy"))
-    known = found.withColumn("__copy", F.lit(False)).unionByName(copies).groupBy("__doc").agg(F.max("__firsts").alias("__firsts"), F.max("__copy").alias("__copy"))
-    joined = docs.join(known, "__doc", "left").withColumn("__firsts", F.when(~F.col("__copy"), F.col("__firsts")))
-    table = staged(slim(joined.withColumn("__bytes", bytes_.cast("long"))), "suspects")
+    joined = docs.join(repeated_anchors(docs, parts), "__doc", "left")
+    table = staged(slim(joined), "suspects")
     suspects = table.where("__firsts is not null")
     spans = repeated_spans(suspects).withColumnRenamed("doc", "__doc").withColumnRenamed("spans", "__spans")
-    whole = F.when(F.col("__copy"), F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("__bytes").alias("end"))))
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    calm = table.where("__firsts is null").withColumn("__spans", F.coalesce(whole, none))
-    return suspects.join(spans, "__doc", "left").withColumn("__spans", F.coalesce("__spans", none)).unionByName(calm).drop("__firsts", "__bytes")
+    calm = table.where("__firsts is null").withColumn("__spans", none)
+    return suspects.join(spans, "__doc", "left").withColumn("__spans", F.coalesce("__spans", none)).unionByName(calm).drop("__firsts", "__marks")
 
 
 def kept_bytes(text, spans):
@@ -372,3 +374,36 @@ def kept_bytes(text, spans):
     ends = F.concat(F.transform(spans, lambda x: x["begin"]), F.array(F.octet_length(data).cast("long")))
     gaps = F.zip_with(begins, ends, lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int")))
     return F.aggregate(gaps, F.lit(b""), lambda out, x: F.concat(out, x))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated bytes cut out of their texts, as far as these are whole characters; n_chars follows.
+
+    Null text stays null. Columns that begin with two underscores are used in between.
+    """
+    names = docs.columns
+    marked = mark_repeats(docs.withColumn("text", F.col("text").cast("string")))
+    schema = marked.select(*names).schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                if text is not None and spans:
+                    data, out, at = text.encode(), [], 0
+                    for span in spans:
+                        begin, end = span["begin"], span["end"]
+                        while begin < end and data[begin] & 0xC0 == 0x80:
+                            begin += 1
+                        while begin < end < len(data) and data[end] & 0xC0 == 0x80:
+                            end -= 1
+                        out.append(data[at:begin])
+                        at = end
+                    text = b"".join([*out, data[at:]]).decode()
+                texts.append(text)
+            columns = {n: batch.column(n) for n in names}
+            columns["text"] = pa.array(texts, batch.schema.field("text").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    out = marked.mapInArrow(cut, schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
