@@ -260,8 +260,8 @@ def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 def _passing(pairs: DataFrame, column: str, test) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("size_a", "size_b", f"{column}_a", f"{column}_b")]
-            good = pa.array([test(*x) for x in zip(*columns, strict=True)], pa.bool_())
+            columns = [batch.column(c) for c in ("size_a", "size_b", f"{column}_a", f"{column}_b")]
+            good = pa.array([test(*(x.as_py() for x in row)) for row in zip(*columns, strict=True)], pa.bool_())
             yield batch.select(["a", "b", "n"]).filter(good)
 
     return pairs.select("a", "b", "n", "size_a", "size_b", f"{column}_a", f"{column}_b").mapInArrow(rows, "a long, b long, n long")
@@ -289,8 +289,7 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Add ``__doc``, ``n_shingles`` and ``__label`` (the smallest ``__doc`` of the component) to each document."""
-    docs = numbered(docs)
+    """__doc, n_shingles and __label (the smallest ``__doc`` of its component) of documents that ``numbered`` has numbered."""
     parts = max(8, 2 * docs.select("text").rdd.getNumPartitions())
     known = staged(facts(docs), "shingle-facts")
     often = known.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -320,7 +319,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = F.coalesce("label", "first", F.col("__doc"))
     seeds = sets.select(F.col("doc").alias("__doc"), F.col("n").alias("n_shingles")).join(copies.withColumnRenamed("doc", "__doc"), "__doc", "left")
     seeds = seeds.withColumn("doc", F.coalesce("first", "__doc")).join(labels, "doc", "left").select("__doc", "n_shingles", label.alias("__label"))
-    return docs.join(staged(seeds, "near-labels"), "__doc")
+    return staged(seeds, "near-labels")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without those that have a smaller one in their component; other columns stay as they are."""
+    ordered = numbered(docs)
+    others = near_duplicates(ordered).where("__doc <> __label").select(F.col("__doc").alias("doc"))
+    return only(ordered, others, "doc", "left_anti").drop("__doc")
 
 
 def apart_groups(members: DataFrame, labels: DataFrame) -> DataFrame:

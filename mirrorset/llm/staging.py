@@ -12,6 +12,7 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Bytes of text that a numpy step works on at a time.
 CHUNK_BYTES = 2 << 20
@@ -36,11 +37,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{stage_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(frame: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which also cuts its lineage."""
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def staged(frame: DataFrame, label: str, batch_bytes: int = 16 << 20) -> DataFrame:
+    """Write a table to the shared folder and read it back, which also cuts its lineage.
+
+    Meanwhile Python workers get batches of at most ``batch_bytes``.
+    """
     spark = frame.sparkSession
     path = new_path(spark, label)
-    frame.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(batch_bytes))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -77,7 +89,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     counts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if counts["rows"] == counts["ids"]:
         return docs.withColumn("__doc", F.col("doc_id").cast("long"))
-    schema = docs.schema.add("__doc", "long")
+    schema = StructType([*docs.schema.fields, StructField("__doc", LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
