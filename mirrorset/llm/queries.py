@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, jaccard, neighbours, packing, secrets, sharding, sketches, suffixes, transducer
-from .staging import new_path
+from . import idstore, jaccard, language, neighbours, packing, secrets, sharding, sketches, suffixes, transducer
+from .staging import new_path, numbered
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -76,9 +76,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets are alike by 0.75 or more."""
-    near = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = near.select(F.col("__doc").alias("__label"), F.col("doc_id").alias("component_id"))
-    return near.select("doc_id", "n_shingles", "__label").join(names, "__label").select("doc_id", "n_shingles", "component_id")
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = docs.select("__doc", "doc_id")
+    labels = jaccard.near_duplicates(docs).join(names, "__doc")
+    first = names.select(F.col("__doc").alias("__label"), F.col("doc_id").alias("component_id"))
+    return labels.join(first, "__label").select("doc_id", "n_shingles", "component_id")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.trained_on(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +129,19 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.piece_digest(transducer.decode_pieces(encoded, model))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_fingerprints, op3_suffixes, op4_secrets, op5_near_duplicates, op7_neighbours, op8_packing, op9_sharding, op10_pieces)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_fingerprints,
+        op3_suffixes,
+        op4_secrets,
+        op5_near_duplicates,
+        op6_language,
+        op7_neighbours,
+        op8_packing,
+        op9_sharding,
+        op10_pieces,
+    )
+}
 ORACLES: dict[str, str] = {}

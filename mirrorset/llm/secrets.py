@@ -136,7 +136,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every span with ``[SECRET]``; overlapping spans become one. Null text stays null."""
+    """Replace every span with ``[SECRET]``; overlapping spans become one, n_chars follows. Null text stays null."""
     scanned = scan_secrets(docs, text)
 
     def merge(state: Column, x: Column) -> Column:
@@ -151,4 +151,5 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cleaned = F.aggregate(runs, start, put, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).drop("base_spans", "spans")
+    out = scanned.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).select(docs.columns)
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
