@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorset.functions import messages as m
-from mirrorset.operators import model, requests, runcontrol
+from mirrorset.operators import labels, model, requests, runcontrol
 from mirrorset.plans import scoring
 from mirrorset.sources import stages
 
@@ -38,7 +38,7 @@ def _request_id(stage: str, *keys: str) -> str:
     return f"md5(concat_ws(':', '{stage}', {parts}))"
 
 
-_ROW_ID = ("id", "pair_no", "phrase_no", "target_label")
+_ROW_ID = ("ord", "pair_no", "phrase_no", "target_label")
 
 
 def _request_sql(stage: str, keys: tuple[str, ...], text: str, source: str, keep: str) -> str:
@@ -183,14 +183,14 @@ def few_shot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     SELECT {_request_id('scoring', 'seed', 'shots', 'test_id')} AS request_id, seed, shots, test_id,
       md5(rendered || chr(10) || 'user: ' || text) AS messages_md5, CAST(length(rendered) + 7 + length(text) AS INTEGER) AS n_chars
-    FROM (SELECT id AS test_id, text FROM examples WHERE label <> 'es'), contexts WHERE shots < 30
+    FROM (SELECT id AS test_id, text FROM examples WHERE label <> 'es'), contexts
     """,
     "contexts",
 )
 def scoring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every known test row with the contexts of two shot sizes."""
-    known = v.examples(spark, sf_dir).filter(F.col("label") != "es")
-    asked = requests.scoring_requests(known, (5, 10), (42,))
+    """Every known test row with the contexts of all shot sizes."""
+    known = labels.known_labels(v.examples(spark, sf_dir), v.label_map(spark, sf_dir, ("es",)))
+    asked = requests.scoring_requests(known, _SHOTS, (42,))
     contexts = v.staged(_contexts(spark, sf_dir), "contexts")
     full = requests.attach_context(asked, contexts)
     return v.message_hash(full, "request_id", "seed", "shots", "test_id")

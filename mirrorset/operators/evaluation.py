@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import BUCKET_ROWS, earlier
+from .order import BUCKET_ROWS, earlier, pinned
 
 RUN_KEYS = ("seed", "shots")
+NO_CLASS = "\x00no prediction"
 
 
 def confusion(predictions: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
@@ -68,7 +69,7 @@ def out_of_domain(
 ) -> DataFrame:
     """Share of predictions that name no known label."""
     known = masked_labels.select(F.col("masked").alias("y_pred"), F.lit(True).alias("_known"))
-    joined = predictions.join(known, "y_pred", "left")
+    joined = predictions.join(pinned(known), "y_pred", "left")
     return joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_known").isNull()).alias("n_unknown")
     )
@@ -91,7 +92,8 @@ def prefix_metrics(
     """
     keys = list(keys)
     numbered = predictions.withColumn("chunk", F.floor(F.col(ord_col) / every))
-    events = class_counts(numbered, [*keys, "chunk"])
+    # no prediction is a class of its own, as in macro_prf; keys of a running sum must not be null
+    events = class_counts(numbered, [*keys, "chunk"]).withColumn("class", F.coalesce("class", F.lit(NO_CLASS)))
     before = earlier(
         events,
         "chunk",

@@ -11,6 +11,7 @@ from ..functions.text import canonical_label
 from .order import bounded_rows, pinned
 
 INLINE_LABELS = 1_000
+NAME_LETTERS = 14  # letters of a masked name at most, more than a long counts
 
 
 def label_domain(
@@ -39,19 +40,19 @@ def label_map(labels: DataFrame) -> DataFrame:
     """
     i = F.row_number().over(Window.orderBy("label")) - 1
 
-    def letter(n):
-        return F.char(F.lit(65) + n % 26)
-
-    def quotient(n):
-        return F.floor(n / 26) - 1
+    def step(state, _):
+        n, name = state["n"], state["name"]
+        longer = F.concat(F.char(F.lit(65) + n % 26), name)
+        rest = F.floor(n / 26).cast("bigint") - 1
+        return F.struct(
+            F.when(n >= 0, rest).otherwise(n).alias("n"), F.when(n >= 0, longer).otherwise(name).alias("name")
+        )
 
-    one, two = quotient(i), quotient(quotient(i))
-    name = (
-        F.when(i < 26, letter(i))
-        .when(i < 26 + 26**2, F.concat(letter(one), letter(i)))
-        .otherwise(F.concat(letter(two), letter(one), letter(i)))
-    )
-    return labels.select("label", F.concat(F.lit("concept "), name).alias("masked"))
+    rounds = F.sequence(F.lit(1), F.lit(NAME_LETTERS))
+    numbered = labels.select("label", i.cast("bigint").alias("_i"))
+    start = F.struct(F.col("_i").alias("n"), F.lit("").alias("name"))
+    name = F.aggregate(rounds, start, step, lambda s: s["name"])
+    return numbered.select("label", F.concat(F.lit("concept "), name).alias("masked"))
 
 
 def _renamed(label_map_df: DataFrame, column: str, out: str) -> DataFrame:
@@ -87,7 +88,7 @@ def fan_out_targets(
     patterns: DataFrame,
     labels: DataFrame,
     label: str = "ori_label",
-    row_keys: Sequence[str] = ("id", "pair_no", "phrase_no"),
+    row_keys: Sequence[str] = ("ord", "pair_no", "phrase_no"),
 ) -> DataFrame:
     """Each (pattern row, phrase) with every label other than its own.
 
@@ -101,14 +102,17 @@ def fan_out_targets(
         *[c for c in patterns.columns if c != "phrases"],
         F.posexplode_outer("phrases").alias("phrase_no", "matched_phrase"),
     ).filter(F.col("matched_phrase").isNotNull())
+    def first_use(row):
+        return row["first_ord"] is not None, row["first_ord"] or 0, row["label"]
+
     rows = bounded_rows(labels.select("first_ord", "label"), INLINE_LABELS)
     if rows is not None:
         targets = F.array(
             *(
                 F.struct(F.lit(i).alias("target_no"), F.lit(r["label"]).alias("target_label"))
-                for i, r in enumerate(sorted(rows))
+                for i, r in enumerate(sorted(rows, key=first_use))
             )
-        )
+        ).cast("array<struct<target_no:int,target_label:string>>")
         others = F.filter(targets, lambda t: t["target_label"] != F.col(label))
         return phrases.select("*", F.inline(others))
 

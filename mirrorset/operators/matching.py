@@ -79,6 +79,7 @@ def match_rows(parsed: DataFrame) -> DataFrame:
                 F.when(row.isNotNull(), F.lit(kind)).alias("match"),
                 row["id"].alias("id"),
                 row["text"].alias("ori_text"),
+                row["ord"].alias("ord"),
             )
 
         return let(
@@ -91,7 +92,10 @@ def match_rows(parsed: DataFrame) -> DataFrame:
     with_norm = F.transform(
         F.col("rows"),
         lambda r: F.struct(
-            r["id"].alias("id"), r["text"].alias("text"), normalize_text(r["text"]).alias("norm")
+            r["id"].alias("id"),
+            r["text"].alias("text"),
+            r["ord"].alias("ord"),
+            normalize_text(r["text"]).alias("norm"),
         ),
     )
     matches = let(with_norm, lambda rows: F.transform("pairs", lambda p: match(p, rows)))
@@ -111,6 +115,7 @@ def match_sentences(matched: DataFrame) -> DataFrame:
         "_m.match",
         "_m.id",
         "_m.ori_text",
+        "_m.ord",
         F.col("label").alias("ori_label"),
         "_m.phrases",
         F.array_join("_m.phrases", ", ").alias("pattern"),

@@ -8,27 +8,49 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .requests import BROADCAST_CHARS, attach_context, context_chars
+
 RESPONSES = "request_id string, text string, error string"
 SETTINGS = ["temperature", "max_tokens", "stop"]
 
 Client = Callable[..., str]
 
 
+EMPTY_REPLY = "empty reply"
+
+
 def apply_model(
-    requests: DataFrame, make_client: Callable[[], Client], partitions: int | None = None
+    requests: DataFrame,
+    make_client: Callable[[], Client],
+    partitions: int | None = None,
+    contexts: DataFrame | None = None,
 ) -> DataFrame:
     """Call a model once per request: (request_id, text, error).
 
     ``make_client`` runs once per task that has requests and returns
     ``client(messages, temperature, max_tokens, stop) -> text``; messages are
     ``{role, content}`` dicts. An exception becomes the ``error`` of its row and
-    never fails the task. ``partitions`` sets how many callers run at once.
+    never fails the task, and no reply at all is the error ``empty reply``.
+    ``partitions`` sets how many callers run at once.
+
+    With ``contexts`` (seed, shots, messages) a request holds its ``query`` instead of
+    messages: the few contexts go to each executor once. If they are too long for
+    that, which is checked, they are joined to the requests.
 
     A model may answer differently when called again: write the result to a
-    stage table and go on from there (see ``plans.steps.run_model``).
+    stage table and go on from there (see ``plans.run.Run.answers``).
     """
     settings = [c for c in SETTINGS if c in requests.columns]
-    slim = requests.select("request_id", "messages", *settings)
+    shared = None
+    if contexts is not None:
+        if context_chars(contexts) <= BROADCAST_CHARS:
+            rows = contexts.select("seed", "shots", "messages").collect()
+            told = {(r["seed"], r["shots"]): [m.asDict() for m in r["messages"]] for r in rows}
+            shared = requests.sparkSession.sparkContext.broadcast(told)
+        else:
+            requests = attach_context(requests, contexts)
+    said = ["messages"] if shared is None else ["seed", "shots", "query"]
+    slim = requests.select("request_id", *said, *settings)
     if partitions is not None:
         slim = slim.repartition(partitions)
 
@@ -39,7 +61,11 @@ def apply_model(
                 client = make_client()
             rows = []
             for row in batch.to_dict("records"):
-                messages = [{"role": m["role"], "content": m["content"]} for m in row["messages"]]
+                if shared is None:
+                    messages = [{"role": m["role"], "content": m["content"]} for m in row["messages"]]
+                else:
+                    context = shared.value[row["seed"], row["shots"]]
+                    messages = [*map(dict, context), {"role": "user", "content": row["query"]}]
                 stop = row.get("stop")
                 options = {k: row[k] for k in settings if k != "stop"}
                 if "stop" in settings:
@@ -49,6 +75,8 @@ def apply_model(
                     text = client(messages, **options)
                 except Exception as failure:  # the row carries the failure
                     error = f"{type(failure).__name__}: {failure}"
+                if text is None and error is None:
+                    error = EMPTY_REPLY
                 rows.append((row["request_id"], text, error))
             yield pd.DataFrame(rows, columns=["request_id", "text", "error"])
 
@@ -58,9 +86,12 @@ def apply_model(
 def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests with their answers from a batch-inference table.
 
-    A request without an answer carries the error ``no response``.
+    A request without an answer carries the error ``no response``, an answer
+    without a text the error ``empty reply``.
     """
     answers = responses.select("request_id", "text", "error", F.lit(True).alias("_seen"))
     joined = requests.join(answers, "request_id", "left")
-    missing = F.when(F.col("_seen").isNull(), F.lit("no response"))
+    missing = F.when(F.col("_seen").isNull(), F.lit("no response")).when(
+        F.col("text").isNull(), F.lit(EMPTY_REPLY)
+    )
     return joined.withColumn("error", F.coalesce("error", missing)).drop("_seen")

@@ -69,7 +69,8 @@ def shuffled_rank(
     buckets (more with more ``digits``), also one key that holds most rows. A first pass over ids counts
     rows per bucket; the second ranks inside buckets. With ``limit``, only the
     leading buckets of a group reach the shuffle at all. ``keys`` must not be
-    null, and (``row_id``) must be unique in a group.
+    null. Rows of one ``row_id`` are ordered by ``ord`` where there is such a column; without
+    one, ``row_id`` must be unique in a group.
     """
     keys = list(keys)
     hashed = df.withColumn("_key", shuffle_key(seed, F.col(row_id))).withColumn(
@@ -86,7 +87,8 @@ def shuffled_rank(
     )
     if limit is not None:
         starts = pinned(starts.filter(F.col("_before") < limit))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_key", row_id)
+    ties = ["ord"] if "ord" in df.columns and row_id != "ord" else []
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_key", row_id, *ties)
     ranked = hashed.join(starts, [*keys, "_bucket"]).withColumn(
         out, (F.col("_before") + F.row_number().over(inside)).cast("bigint")
     )

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as m
 from .labels import mask_labels
+from .order import pinned
 from .sampling import batch_text, topn_per_id
 
 # Texts up to this length are sent to every executor.
 BROADCAST_CHARS = 8_000_000
 
-# A row of the later stages: the matched pair, its phrase and the target label.
-ROW_KEYS = ("id", "pair_no", "phrase_no", "target_label")
+# A row of the later stages: the example by its place, the matched pair, its phrase and the
+# target label. Places are unique where ids may repeat; the id is data.
+ROW_KEYS = ("ord", "pair_no", "phrase_no", "target_label")
+
+# What a model step is told besides the messages.
+PARAMS = ("temperature", "max_tokens", "stop", "token_field", "reasoning_effort")
 
 
 def row_order() -> Column:
@@ -53,6 +58,18 @@ def request_params(df: DataFrame, stage: str | Column, model: str | Column) -> D
     )
 
 
+def content_ids(asked: DataFrame) -> DataFrame:
+    """Request ids that also depend on what is asked: messages (or context and query) and settings.
+
+    A request with another text, prompt, context or setting is another request, so
+    stored answers are never taken for it.
+    """
+    said = ["messages"] if "messages" in asked.columns else ["context_id", "query"]
+    settings = [c for c in PARAMS if c in asked.columns]
+    content = F.md5(F.to_json(F.struct(*said, *settings)))
+    return asked.withColumn("request_id", F.md5(F.concat_ws(":", "request_id", content)))
+
+
 def pattern_requests(batches: DataFrame) -> DataFrame:
     """One request per batch of ``collect_batches``; the batch rides along in ``rows``."""
     return batches.select(
@@ -90,6 +107,7 @@ def semantic_requests(counterfactuals: DataFrame) -> DataFrame:
     """Requests of the semantic gate, for rows the rule gate let through."""
     return counterfactuals.filter("heuristic_filtered").select(
         m.request_id("semantic", *(F.col(k) for k in ROW_KEYS)).alias("request_id"),
+        "id",
         *ROW_KEYS,
         m.semantic_messages(
             F.col("ori_text"), F.col("matched_phrase"), F.col("candidate_phrases"), F.col("counterfactual")
@@ -101,6 +119,7 @@ def discriminator_requests(gated: DataFrame) -> DataFrame:
     """Requests of the label gate, for rows both earlier gates let through."""
     return gated.filter("heuristic_filtered AND matched_pattern").select(
         m.request_id("discriminator", *(F.col(k) for k in ROW_KEYS)).alias("request_id"),
+        "id",
         *ROW_KEYS,
         m.discriminator_messages(
             F.col("counterfactual"), F.col("ori_label"), F.col("target_label")
@@ -117,7 +136,7 @@ def attach_counterfactuals(
     accepted rows are first cut to the chosen ids, a set no larger than the
     largest shot size per seed.
     """
-    chosen = F.broadcast(shots.select("id").distinct())
+    chosen = pinned(shots.select("id").distinct())
     few = topn_per_id(accepted.join(chosen, "id", "left_semi"), max_counterfactuals).select(
         "id", "sub", F.col("counterfactual").alias("text"), F.col("target_label").alias("label")
     )
@@ -160,8 +179,9 @@ def scoring_requests(
 ) -> DataFrame:
     """Every test row with every seed and shot size, by key.
 
-    The context itself is not copied into each row; :func:`attach_context`
-    adds it right before the model step.
+    The context itself is not copied into each row: the model step gets the few
+    contexts beside the requests. :func:`attach_context` makes whole messages where
+    a table of them is wanted.
     """
     every_seed = F.explode(F.array(*(F.lit(s) for s in seeds)))
     every_size = F.explode(F.array(*(F.lit(s) for s in shots)))
@@ -174,6 +194,18 @@ def scoring_requests(
     )
 
 
+def with_context_id(requests: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The digest of the context that each request is asked with; requests without a context go."""
+    digest = F.md5(F.to_json(F.struct("messages"))).alias("context_id")
+    return requests.join(pinned(contexts.select("seed", "shots", digest)), ["seed", "shots"])
+
+
+def context_chars(contexts: DataFrame) -> int:
+    """Characters of all contexts together."""
+    chars = F.aggregate("messages", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t["content"]))
+    return contexts.agg(F.sum(chars)).first()[0] or 0
+
+
 def attach_context(
     requests: DataFrame, contexts: DataFrame, broadcast_chars: int = BROADCAST_CHARS
 ) -> DataFrame:
@@ -185,9 +217,7 @@ def attach_context(
     """
     keys = ["seed", "shots"]
     contexts = contexts.select(*keys, "messages")
-    chars = F.aggregate("messages", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t["content"]))
-    total = contexts.agg(F.sum(chars)).first()[0] or 0
-    if total <= broadcast_chars:
+    if context_chars(contexts) <= broadcast_chars:
         joined = requests.join(F.broadcast(contexts), keys)
     else:
         salts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,13 +11,11 @@ from ..functions.messages import is_quota_error
 from ..functions.text import token_estimate
 from .order import BUCKET_ROWS, earlier
 
-DEFAULT_TOKEN_LIMIT = 20_000_000
-
-
 def within_budget(
     calls: DataFrame,
     tokens: str = "tokens",
-    limit: int = DEFAULT_TOKEN_LIMIT,
+    *,
+    limit: int,
     example: str = "ord",
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
@@ -32,6 +30,15 @@ def within_budget(
     return spent.filter(F.col("spent") <= limit)
 
 
+def left_out(calls: DataFrame, kept: DataFrame, example: str = "ord") -> DataFrame:
+    """How many examples a budget keeps and how many it leaves out: one row."""
+    within = kept.select(example, F.lit(True).alias("_kept"))
+    each = calls.select(example).distinct().join(within, example, "left")
+    return each.agg(
+        F.count_if(F.col("_kept")).alias("n_kept"), F.count_if(F.col("_kept").isNull()).alias("n_left_out")
+    )
+
+
 def stop_on_failures(
     results: DataFrame,
     max_consecutive: int = 5,

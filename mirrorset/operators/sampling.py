@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import shuffled_rank
+from .order import shuffle_key, shuffled_rank
 
+# Shot sizes.
 DEFAULT_SHOTS = (10, 15, 30, 50, 70, 90, 120)
 
 
@@ -32,7 +33,7 @@ def assign_batches(df: DataFrame, size: int = 20, rank: str = "rn") -> DataFrame
 
 def collect_batches(batched: DataFrame, label: str = "label") -> DataFrame:
     """One row per batch with its examples in order, ``rows``; at most ``size`` each."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "id", "text")))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "id", "text", "ord")))
     return batched.groupBy(label, "batch_no").agg(rows.alias("rows"))
 
 
@@ -77,10 +78,14 @@ def shot_prefixes(
     (seed, shots, example) with its rank, so the result has at most
     ``sum(shots) * len(seeds)`` rows.
     """
-    parts = [
-        shuffled_rank(examples, seed, row_id, limit=max(shots)).withColumn("seed", F.lit(seed))
-        for seed in seeds
-    ]
+    def first(seed: int) -> DataFrame:
+        # a top-k per partition; only the leading rows meet in the small window
+        key = shuffle_key(seed, F.col(row_id))
+        top = examples.withColumn("_key", key).orderBy("_key", row_id).limit(max(shots))
+        rank = F.row_number().over(Window.orderBy("_key", row_id)).cast("bigint")
+        return top.withColumn("rn", rank).drop("_key").withColumn("seed", F.lit(seed))
+
+    parts = [first(seed) for seed in seeds]
     ranked = parts[0]
     for part in parts[1:]:
         ranked = ranked.unionByName(part)

@@ -38,12 +38,17 @@ def parse_pattern_replies(answered: DataFrame) -> DataFrame:
 
 
 def find_patterns(
-    run: Run, examples: DataFrame, per_label: int | None = 50, exclude: Sequence[str] = ()
+    run: Run,
+    examples: DataFrame,
+    per_label: int | None = 50,
+    exclude: Sequence[str] = (),
+    retry_failed: bool = False,
 ) -> DataFrame:
+    """Pattern rows of ``per_label`` examples of each label (all with None)."""
     batches = run.save(
         build_batches(with_labels(examples, exclude), per_label, run.seed), "batches"
     )
-    answered = run.answers(requests.pattern_requests(batches), "pattern")
+    answered = run.answers(requests.pattern_requests(batches), "pattern", retry_failed)
     return run.save(matching.match_sentences(parse_pattern_replies(answered)), "patterns")
 
 
@@ -81,13 +86,18 @@ def find_candidates(
     patterns: DataFrame,
     examples: DataFrame,
     exclude: Sequence[str] = (),
-    token_limit: int | None = runcontrol.DEFAULT_TOKEN_LIMIT,
+    token_limit: int | None = None,
+    retry_failed: bool = False,
 ) -> DataFrame:
-    places = examples.select("id", "ord").groupBy("id").agg(F.min("ord").alias("ord"))
-    ordered = patterns.join(places, "id")
+    """Candidate phrases of every pattern row, phrase and other label.
+
+    With ``token_limit`` the stage ``budget`` says how many examples it keeps and leaves out.
+    """
     labels = run.save(label_domain(examples, exclude), "labels")
-    planned = plan_candidates(ordered, labels, token_limit)
-    return run.save(candidate_rows(run.answers(planned, "candidates")), "candidates")
+    planned = plan_candidates(patterns, labels, token_limit)
+    if token_limit is not None:
+        run.save(runcontrol.left_out(patterns, planned.select("ord").distinct()), "budget")
+    return run.save(candidate_rows(run.answers(planned, "candidates", retry_failed)), "candidates")
 
 
 def counterfactual_rows(answered: DataFrame) -> DataFrame:
@@ -96,36 +106,36 @@ def counterfactual_rows(answered: DataFrame) -> DataFrame:
     return stored.drop("request_id", "text")
 
 
-def generate(run: Run, candidates: DataFrame, max_consecutive: int | None = None) -> DataFrame:
+def generate(
+    run: Run, candidates: DataFrame, max_consecutive: int | None = None, retry_failed: bool = False
+) -> DataFrame:
     """One rewrite per candidate row.
 
-    With ``max_consecutive`` the stage ends where a caller working in input
-    order would have stopped: at that many failures in a row, or at a quota error.
+    With ``max_consecutive`` the stage ends where a caller working in input order stops: at that many
+    failures in a row, or at a quota error. A later run goes on from there.
     """
-    answered = run.answers(requests.generation_requests(candidates), "generation")
-    if max_consecutive is not None:
-        within = ["pair_no", "phrase_no", "target_no"]
-        placed = dense_order(answered, "ord", within)
-        answered = runcontrol.stop_on_failures(placed, max_consecutive, "place").drop("place")
+    asked = requests.generation_requests(candidates)
+    if max_consecutive is None:
+        answered = run.answers(asked, "generation", retry_failed)
+    else:
+        placed = dense_order(asked, "ord", ["pair_no", "phrase_no", "target_no"])
+        answered = run.answers_until(placed, "generation", max_consecutive, "place", retry_failed).drop("place")
     return run.save(counterfactual_rows(answered), "counterfactuals")
 
 
-def screen(run: Run, counterfactuals: DataFrame) -> DataFrame:
+def screen(run: Run, counterfactuals: DataFrame, retry_failed: bool = False) -> DataFrame:
     """The three gates; each model gate only sees what the gates before let through.
 
     The verdict stages hold keys and verdicts only, so the texts are shuffled and
-    written again just once, for the filtered table. A semantic stage already
-    written is taken as it is.
+    written again just once, for the filtered table. Gates that were asked about the
+    same texts before are not asked again.
     """
     ruled = gates.heuristic_gate(counterfactuals)
-    if run.has("semantic"):
-        semantic = run.load("semantic")
-    else:
-        said = gates.semantic_verdicts(run.answers(requests.semantic_requests(ruled), "semantic"))
-        semantic = run.save(said.select(*requests.ROW_KEYS, "matched_pattern"), "semantic")
+    said = gates.semantic_verdicts(run.answers(requests.semantic_requests(ruled), "semantic", retry_failed))
+    semantic = run.save(said.select(*requests.ROW_KEYS, "matched_pattern"), "semantic")
     gated = gates.overlay(ruled, semantic, ["matched_pattern"])
     said = gates.discriminator_verdicts(
-        run.answers(requests.discriminator_requests(gated), "discriminator")
+        run.answers(requests.discriminator_requests(gated), "discriminator", retry_failed)
     )
     verdicts = run.save(said.select(*requests.ROW_KEYS, "is_ori", "is_target"), "discriminator")
     return run.save(gates.overlay(gated, verdicts, ["is_ori", "is_target"]), "filtered")
@@ -136,10 +146,16 @@ def augment(
     examples: DataFrame,
     per_label: int | None = 50,
     exclude: Sequence[str] = (),
-    token_limit: int | None = runcontrol.DEFAULT_TOKEN_LIMIT,
+    token_limit: int | None = None,
+    max_consecutive: int | None = None,
+    retry_failed: bool = False,
 ) -> DataFrame:
-    """All stages from labelled examples to the training export."""
-    patterns = find_patterns(run, examples, per_label, exclude)
-    candidates = find_candidates(run, patterns, examples, exclude, token_limit)
-    filtered = screen(run, generate(run, candidates))
+    """All stages from labelled examples to the training export.
+
+    ``per_label`` (50, as in the original task; None takes all) and batches of 20 are features. ``token_limit``
+    and ``max_consecutive`` cut a run, and a later run goes on; ``retry_failed`` asks failed calls again.
+    """
+    patterns = find_patterns(run, examples, per_label, exclude, retry_failed)
+    candidates = find_candidates(run, patterns, examples, exclude, token_limit, retry_failed)
+    filtered = screen(run, generate(run, candidates, max_consecutive, retry_failed), retry_failed)
     return run.save(gates.export_fine_tune(filtered), "fine_tune")

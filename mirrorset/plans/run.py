@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.model import Client, apply_model, join_responses
-from ..operators.requests import request_params
-from ..operators.runcontrol import pending
+from ..operators.order import dense_order
+from ..operators.requests import PARAMS, content_ids, request_params
+from ..operators.runcontrol import pending, stop_on_failures
 from ..sources import stages
 
 
-# Requests and their stage to (request_id, text, error) rows.
-Responder = Callable[[DataFrame, str], DataFrame]
+# Jobs of a stage that stops on failures, at least.
+STOP_CHUNKS = 16
+
+# Requests and their stage to (request_id, text, error) rows. Scoring requests hold a query in
+# place of messages, and the contexts (seed, shots, messages) come as a third argument.
+Responder = Callable[..., DataFrame]
 
 
 def client_responder(make_client: Callable[[], Client], partitions: int | None = None) -> Responder:
     """Answer requests by a Python callable, ``partitions`` callers at a time."""
-    return lambda requests, stage: apply_model(requests, make_client, partitions)
+    return lambda requests, stage, contexts=None: apply_model(requests, make_client, partitions, contexts)
 
 
 @dataclass(frozen=True)
@@ -30,7 +35,8 @@ class Run:
     ``respond`` is the model step: :func:`client_responder`, or any function that
     looks answers up, such as in the result table of a batch-inference job.
     ``chunks`` cuts each model step into that many jobs of even size, so that a
-    run that dies keeps the answers of the jobs before.
+    run that dies keeps the answers of the jobs before. A stage whose failures stop
+    it takes at least ``STOP_CHUNKS``, as its requests go out in input order.
     """
 
     spark: SparkSession
@@ -53,24 +59,64 @@ class Run:
     def has(self, stage: str) -> bool:
         return stages.has_stage(self.spark, self.root, stage, self.seed, self.model, self.dataset)
 
-    def answers(self, requests: DataFrame, stage: str, retry_failed: bool = False) -> DataFrame:
+    def _log(self, stage: str) -> str:
+        return f"answers_{stage}_{self.seed}_{stages.slug_name(self.model)}_{stages.slug_name(self.dataset)}"
+
+    def _keyed(self, requests: DataFrame, stage: str) -> DataFrame:
+        return content_ids(request_params(requests, stage, self.model))
+
+    def _todo(self, keyed: DataFrame, stage: str, retry_failed: bool) -> DataFrame:
+        if not stages.has_results(self.spark, self.root, self._log(stage)):
+            return keyed
+        return pending(keyed, stages.read_results(self.spark, self.root, self._log(stage)), retry_failed)
+
+    def answers(
+        self, requests: DataFrame, stage: str, retry_failed: bool = False, contexts: DataFrame | None = None
+    ) -> DataFrame:
         """Requests with stored answers; only requests without one reach the model.
 
-        Messages are built for the model step alone: the result, which joins the
-        other columns with the answers, leaves them out. The answers are appended
-        to a progress table and read back from it, so a run that was cut short
-        goes on where the table ends.
+        Ids depend on the messages and settings, so answers to other texts or prompts
+        are never taken. The answers are appended to a progress table and read back
+        from it, so a run that was cut short goes on where the table ends.
         """
-        log = f"answers_{stage}_{self.seed}_{stages.slug_name(self.model)}_{stages.slug_name(self.dataset)}"
-        todo = requests
-        if stages.has_results(self.spark, self.root, log):
-            done = stages.read_results(self.spark, self.root, log)
-            todo = pending(requests, done, retry_failed)
-        asked = request_params(todo, stage, self.model)
+        keyed = self._keyed(requests, stage)
+        asked = self._todo(keyed, stage, retry_failed)
+        told = () if contexts is None else (contexts,)
         chunk = F.pmod(F.xxhash64("request_id"), F.lit(self.chunks))
         for number in range(self.chunks):
             part = asked if self.chunks == 1 else asked.filter(chunk == number)
-            stages.append_results(self.respond(part, stage), self.root, log, self.attempt)
-        return join_responses(
-            requests.drop("messages"), stages.read_results(self.spark, self.root, log)
-        )
+            stages.append_results(self.respond(part, stage, *told), self.root, self._log(stage), self.attempt)
+        stored = stages.read_results(self.spark, self.root, self._log(stage))
+        return join_responses(keyed.drop("messages", *PARAMS), stored)
+
+    def answers_until(
+        self, requests: DataFrame, stage: str, max_consecutive: int, place: str, retry_failed: bool = False
+    ) -> DataFrame:
+        """Like :meth:`answers`, in order of ``place`` (dense, from 0), until calls fail too often in a row.
+
+        Requests go out in chunks of the order. The stage stops at the ``max_consecutive``-th failure
+        in a row of this run, or at a quota error: that call and later ones are not stored, so the
+        next run asks them again and goes on. Only rows with a stored answer are returned.
+        """
+        keyed = self._keyed(requests, stage)
+        todo = self.save(self._todo(keyed, stage, retry_failed).select("request_id", place), f"todo_{stage}")
+        bounds = todo.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
+        chunks = max(self.chunks, STOP_CHUNKS)
+        if bounds["low"] is not None:
+            # numbered anew: places of this run's calls alone, so that a streak has no gaps
+            numbered = dense_order(todo, place, ["request_id"], "_call")
+            size = -(-(bounds["high"] - bounds["low"] + 1) // chunks)
+            walked = None
+            for start in range(bounds["low"], bounds["high"] + 1, size):
+                calls = numbered.filter(F.col(place).between(start, start + size - 1)).drop(place)
+                part = self.respond(keyed.join(calls.select("request_id"), "request_id", "left_semi"), stage)
+                said = self.save(part.join(calls, "request_id"), f"said_{stage}_{start}")
+                walked = said if walked is None else walked.unionByName(said)
+                kept = stop_on_failures(walked.select("request_id", "error", "_call"), max_consecutive, "_call")
+                within = said.join(kept.select("request_id"), "request_id", "left_semi")
+                stages.append_results(within, self.root, self._log(stage), self.attempt)
+                if kept.count() < walked.count():
+                    break
+        stored = stages.read_results(self.spark, self.root, self._log(stage))
+        answered = keyed.drop("messages", *PARAMS).join(stored.select("request_id"), "request_id", "left_semi")
+        return join_responses(answered, stored)

@@ -28,7 +28,7 @@ def build_contexts(
     ids = filtered.select("id").distinct()
     places = pinned(sampling.shot_prefixes(ids, shots, seeds), sum(shots) * len(seeds))
     rows = (
-        filtered.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
+        filtered.join(pinned(places.select("id").distinct(), sum(shots) * len(seeds)), "id", "left_semi")
         .select(
             "id", "ori_text", "ori_label", "target_label", "counterfactual",
             requests.row_order().alias("ord"),
@@ -60,12 +60,12 @@ def score(
     exclude: Sequence[str] = (),
     max_counterfactuals: int = 4,
 ) -> DataFrame:
-    """Macro scores per (seed, shots) over the whole test table."""
+    """Macro scores per (seed, shots) over the whole test table; 4 counterfactuals a shot are a feature."""
     lookup = run.save(labels.label_map(labels.all_labels(filtered, exclude)), "label_map")
     contexts = run.save(
         build_contexts(filtered, lookup, shots, seeds, max_counterfactuals), "contexts"
     )
     asked = requests.scoring_requests(labels.known_labels(test, lookup), shots, seeds)
-    answered = run.answers(requests.attach_context(asked, contexts), "scoring")
+    answered = run.answers(requests.with_context_id(asked, contexts), "scoring", contexts=contexts)
     scored = run.save(predictions(answered, lookup), "predictions")
     return run.save(evaluation.macro_prf(scored), "metrics")

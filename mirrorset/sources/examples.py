@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_null, let, strip
+from ..operators.order import pinned
 
 # The CSV dialect (doubled quotes, fields that span lines).
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file in the dialect above (by suffix), else parquet."""
+def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file in the dialect above (by suffix), else parquet.
+
+    Without ``multi_line`` fields must not span lines, and large CSV files are split.
+    """
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        return spark.read.options(**CSV_OPTIONS).csv(path)
+        return spark.read.options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
     return spark.read.parquet(path)
 
 
 def read_examples(
-    spark: SparkSession, path: str, id: str, text: str, label: str, ord: str | None = None
+    spark: SparkSession,
+    path: str,
+    id: str,
+    text: str,
+    label: str,
+    ord: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """``(id, text, label, ord)`` out of a file whose columns have other names.
 
@@ -27,7 +37,7 @@ def read_examples(
     numbered from 0 in file order: by row index for parquet, by task order
     inside each file block for CSV.
     """
-    df = read_table(spark, path)
+    df = read_table(spark, path, multi_line)
     missing = [c for c in (id, text, label) if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
@@ -66,7 +76,7 @@ def number_rows(df: DataFrame, by_index: bool) -> DataFrame:
         "_file", "_block", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
     return (
-        placed.join(starts, ["_file", "_block"])
+        placed.join(pinned(starts, 1_000_000), ["_file", "_block"])
         .withColumn("_ord", F.col("_start") + F.col("_place") - F.col("_low"))
         .drop("_file", "_block", "_place", "_low", "_start")
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ RUN = ("run_seed", "run_model", "run_dataset")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a local master, whose executors are the driver, gets a folder
+    that goes when Python ends; any other master gets an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return tempfile.mkdtemp(prefix="mirrorset-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="mirrorset-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/mirrorset-{uuid.uuid4().hex}"
 
 
@@ -59,12 +68,14 @@ def read_runs(spark: SparkSession, root: str, stage: str) -> DataFrame:
 
 
 def has_stage(spark: SparkSession, root: str, stage: str, seed: int, model: str, dataset: str) -> bool:
-    """Whether a run of a stage was written."""
-    try:
-        read_stage(spark, root, stage, seed, model, dataset)
-    except AnalysisException:
-        return False
-    return True
+    """Whether a run of a stage was written to its end."""
+    return _finished(spark, _run_path(root, stage, seed, model, dataset))
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder came to its end, by the mark that it leaves."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def append_results(answers: DataFrame, root: str, stage: str, run: int = 0) -> None:
@@ -75,15 +86,17 @@ def append_results(answers: DataFrame, root: str, stage: str, run: int = 0) -> N
 
 
 def has_results(spark: SparkSession, root: str, stage: str) -> bool:
-    try:
-        return not spark.read.parquet(_path(root, stage)).isEmpty()
-    except AnalysisException:
-        return False
+    """Whether answers were appended; folders without a finished append count as none."""
+    return _finished(spark, _path(root, stage))
 
 
 def read_results(spark: SparkSession, root: str, stage: str) -> DataFrame:
-    """Stored answers, one per request however often it was written."""
+    """Stored answers, one per request however often it was written.
+
+    Texts are grouped only if some request has several answers; that is found out from the ids alone.
+    """
     stored = spark.read.parquet(_path(root, stage))
-    return one_answer(stored, "run")
+    several = stored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return one_answer(stored, "run") if several.take(1) else stored.select("request_id", "text", "error")
 
 
