@@ -89,7 +89,7 @@ def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     The anchor of a window of ``MATCH`` bytes is the string of ``GRAM`` bytes in it with the smallest hash, the
     leftmost of equal ones. It depends on the window's bytes alone, so equal windows have equal keys. Consecutive
     windows that share an anchor make one run: windows first, first + 1, ... (count of them, at most ``WINDOW``).
-    The digest hashes all bytes of the run.
+    The digest hashes all bytes of the run. Smallest hashes are not spread evenly, so keys are hashed once more.
     """
     if not _TABLES:
         _TABLES.extend([powers(BASE, LONGEST + 1), powers(INVERSE, LONGEST + 1)])
@@ -134,4 +134,4 @@ def _runs(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     piece = np.searchsorted(starts, heads, "right") - 1
     number, offset = np.array([x[0] for x in pieces]), np.array([x[1] for x in pieces])
     digest = mixed((sums[heads + counts + MATCH - 1] - sums[heads]) * back[heads] + counts.astype(np.uint64))
-    return number[piece], heads - starts[piece] + offset[piece], counts, grams[anchor[heads]], digest
+    return number[piece], heads - starts[piece] + offset[piece], counts, mixed(grams[anchor[heads]] ^ BASE), digest

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import MATCH, anchor_runs
-from .staging import chunks, numbered, planes, staged, unplaned, utf8
+from .staging import chunks, numbered, planes, release_memory, staged, unplaned, utf8
 
 #: Anchors sorted at a time in a task, rows of a bucket, surroundings of a key.
-BLOCK, BUCKET, HOT = 2_000_000, 4096, 4096
+BLOCK, BUCKET, HOT = 400_000, 4096, 4096
 BATCHES = 4
 #: Bytes of surroundings that a task remembers.
 KEPT_BYTES = 64 << 20
@@ -60,6 +60,7 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
+            release_memory()
             columns, new = in_order(columns)
             keys = columns[0][new]
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
