@@ -144,4 +144,4 @@ QUERIES = {
         op10_pieces,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_secrets": secrets.oracle_sql()}

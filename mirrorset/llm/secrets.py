@@ -11,7 +11,7 @@ scope, which reaches ``SCOPE`` code points around a part without passing an empt
 
 Parts are intervals of one document, so the interval join runs inside its row: a map
 leads from each cell of ``SCOPE`` code points to the parts that lie in it or near it, and
-a candidate meets only the parts of the cell it starts in. Nothing is
+a candidate meets only the parts of the cells it begins and ends in. Nothing is
 shuffled and no text leaves the row.
 
 Null text is empty: no spans, the digest of the empty string. Repeated rows each get
@@ -96,7 +96,8 @@ def linked(text: Column, parts: Column, cells: Column, kind: str) -> Column:
             between = F.substring(text, F.least(x["e"], y["e"]) + 1, F.greatest(apart, F.lit(0)))
             return y["k"].isin([kinds.index(s) for s in sort]) & apart.between(0, SCOPE) & ~between.rlike(r"\n[ \t]*\n")
 
-        return F.coalesce(F.exists(cells[F.floor(x["s"] / SCOPE).cast("int")], near), F.lit(False))
+        own = F.array_distinct(F.transform(F.array(x["s"], x["e"]), lambda at: F.floor(at / SCOPE).cast("int")))
+        return F.exists(own, lambda c: F.coalesce(F.exists(cells[c], near), F.lit(False)))
 
     def whole(x: Column) -> Column:
         out = x["k"] == kinds.index(kind)
@@ -153,3 +154,45 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     cleaned = F.aggregate(runs, start, put, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
     out = scanned.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).select(docs.columns)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def oracle_sql() -> str:
+    """The same result in SQL, over ``documents``."""
+    kinds = BASE_KINDS + WEAK_KINDS
+    holds = {
+        "assign": f"length(regexp_extract(m[i], $${ASSIGN}$$, 2)) >= {ASSIGN_LEAST}",
+        "opaque": "length(m[i]) <= 64 AND regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]')",
+    }
+    patterns = dict(zip(kinds, (ASSIGN, ACCESS, HEX, OPAQUE, IDENTITY, ENDPOINT), strict=True))
+    found = " UNION ALL ".join(
+        f"""
+        SELECT rid, t, {k} AS k, s, s + length(w) AS e FROM (
+          SELECT rid, t, m[i] AS w,
+            CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+          FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT rid, t, regexp_extract_all(t, $${pattern}$$) AS m, regexp_split_to_array(t, $${pattern}$$) AS g FROM docs))
+          WHERE {holds.get(kind, "true")})
+        """
+        for k, (kind, pattern) in enumerate(patterns.items())
+    )
+
+    def meets(sort: list[str]) -> str:
+        wanted = ", ".join(str(kinds.index(s)) for s in sort)
+        apart = "greatest(y.s - x.e, x.s - y.e)"
+        between = f"substring(x.t, CAST(least(x.e, y.e) + 1 AS BIGINT), CAST(greatest({apart}, 0) AS BIGINT))"
+        return (
+            f"EXISTS (SELECT 1 FROM parts y WHERE y.rid = x.rid AND y.k IN ({wanted}) "
+            f"AND {apart} BETWEEN 0 AND {SCOPE} AND NOT regexp_matches({between}, '\\n[ \\t]*\\n'))"
+        )
+
+    weak = " OR ".join(f"(x.k = {kinds.index(k)} AND {' AND '.join(map(meets, COMPLEMENTS[k]))})" for k in WEAK_KINDS)
+    name = "CASE k " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
+    listed = f"coalesce(string_agg({name} || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    counts = ", ".join(f"count(*) FILTER (k = {i}) AS n_{k}" for i, k in enumerate(BASE_KINDS))
+    return f"""
+    WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+      parts AS MATERIALIZED ({found}),
+      kept AS (SELECT x.rid, x.k, x.s, x.e FROM parts x WHERE x.k < {len(BASE_KINDS)} OR {weak})
+    SELECT doc_id, {counts}, sha256({listed} FILTER (k < {len(BASE_KINDS)}), '')) AS base_sha256, {listed} FILTER (k IS NOT NULL), '') AS spans
+    FROM docs LEFT JOIN kept USING (rid) GROUP BY rid, doc_id
+    """
