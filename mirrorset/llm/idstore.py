@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .staging import chunks
+from .staging import chunks, written
 
 SAMPLE = 64
 SEGMENT = "shard int, segment long, first_id long, n_docs long, n_ids long, id_bytes int, doc_ids array<bigint>, low_bits int, low binary, high binary, samples binary, ids binary"
@@ -144,7 +144,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment
         .sortWithinPartitions("doc_id", "tie")
         .drop("tie")
     )
-    ordered.mapInArrow(segments, SEGMENT).write.parquet(path)
+    written(ordered.mapInArrow(segments, SEGMENT), path)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,8 @@ union. Then their symmetric difference is at most a seventh of the sum of their
   are merged by key range.
 * Groups. Sets that meet in a group of at most ``SMALL`` make pairs. Larger groups make a star
   and a chain; the pairs left out are looked at once components are known, and only where
-  a group still holds different ones.
+  a group still holds different ones. Such a group is dealt out to cells of bounded size,
+  and only pairs that the parity sketches let pass leave a cell.
 * Check. A parity sketch of one bit a shingle is compared first: its Hamming distance
   bounds the symmetric difference from below. What passes is counted on the whole sets.
 
@@ -38,12 +39,12 @@ from pyspark.sql import functions as F
 
 from .bytesets import mixed, shingle_sets
 from .graph import components
-from .staging import chunks, numbered, planes, staged, unplaned, utf8
+from .staging import chunks, numbered, planes, release_memory, staged, unplaned, utf8
 
 #: Documents of a block in which a shingle must occur to be reported, and in all to count as frequent; how many are kept.
-FREQUENT_HERE, FREQUENT, FREQUENT_KEPT = 4, 64, 1_000_000
-#: Words sorted at a time in a task; sets of a group that makes all its pairs; ids that are broadcast at most.
-BLOCK, SMALL, BROADCAST_IDS = 2_000_000, 8, 1_000_000
+FREQUENT_HERE, FREQUENT, FREQUENT_KEPT = 2, 32, 1_000_000
+#: Words sorted at a time in a task; sets of a group that makes all its pairs, and of a cell of a larger one; ids that are broadcast at most.
+BLOCK, SMALL, CELL, BROADCAST_IDS = 400_000, 8, 512, 1_000_000
 
 
 def links(a: int, b: int, both: int) -> bool:
@@ -114,6 +115,7 @@ def facts(docs: DataFrame) -> DataFrame:
             often = counts >= FREQUENT_HERE
             values, counts = values[often], counts[often]
             held.clear()
+            release_memory()
             seen.clear()
             zero = np.zeros(len(values), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero), pa.array(counts.astype(np.int64)), _signed(values), pa.array(zero)], names)
@@ -158,6 +160,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             docs_ = np.repeat(np.array([x[1] for x in held], np.int64), counts)
             sizes = np.repeat(np.array([x[2] for x in held], np.uint32), counts)
             held.clear()
+            release_memory()
             order = np.argsort(keys)
             keys, docs_, sizes = keys[order], docs_[order], sizes[order]
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -281,13 +284,6 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _passing(_with(pairs, sets, "hashes"), "hashes", test).select("a", "b")
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
-    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """__doc, n_shingles and __label (the smallest ``__doc`` of its component) of documents that ``numbered`` has numbered."""
     parts = max(8, 2 * docs.select("text").rdd.getNumPartitions())
@@ -306,14 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(members.select("doc")).distinct()
     own = staged(sets_of(only(docs.select("__doc", "text"), staged(ends, "ends"), "doc", "left_semi")), "sets")
     near = staged(near_enough(pairs, own), "near-pairs")
-    # one pair a document first, the one with most words in common; then what these did not connect
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b", F.lit(1).cast("long").alias("n"))
-    sure = staged(linked(best, own), "links-found")
+    sure = staged(linked(near, own), "links-found")
     labels = staged(components(sure), "labels")
-    sure = sure.unionByName(staged(linked(apart(near, labels), own), "links-found"))
-    labels = staged(components(sure), "labels")
-    rest = apart_groups(members, labels)
-    more = staged(linked(near_enough(rest, own), own), "links-found")
+    rest = apart_groups(members, labels, own)
+    more = staged(linked(rest, own), "links-found")
     if more.take(1):
         labels = staged(components(sure.unionByName(more)), "labels")
     label = F.coalesce("label", "first", F.col("__doc"))
@@ -329,11 +321,44 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return only(ordered, others, "doc", "left_anti").drop("__doc")
 
 
-def apart_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a large group that lie in different components and may link by size."""
+def apart_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a large group that lie in different components and may link by size and parity sketch.
+
+    Groups of the same documents count once. A group is dealt out to blocks of about ``CELL`` documents, and two
+    blocks make a cell, so no task holds a whole group.
+    """
     placed = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    placed = placed.join(mixed_keys, "key").select("key", "doc", "size", "label")
-    left, right = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "label"))) for s in "ab")
-    sized = (4 * F.least("size_a", "size_b") >= 3 * F.greatest("size_a", "size_b")) & (F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b"))
-    return staged(left.join(right, "key").where(sized).groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("n")), "group-pairs")
+    groups = placed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("h"),
+        F.min("doc").alias("low"),
+        F.max("doc").alias("high"),
+        F.count_distinct("label").alias("labels"),
+    )
+    different = groups.where("labels > 1").groupBy("n", "h", "low", "high").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    each = placed.join(different.select("key", blocks.alias("blocks")), "key").select("key", "doc", "label", "blocks")
+    each = each.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = each.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc", "label")
+    cells = cells.join(sets.select("doc", "size", "bits"), "doc")
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("size", kind="stable").reset_index(drop=True)
+        doc, label, mine, size = (rows[c].to_numpy() for c in ("doc", "label", "mine", "size"))
+        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
+        shortest = min(map(len, rows["bits"]))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, shortest), axis=0) for b in rows["bits"]])
+        out = []
+        for i in range(len(rows)):
+            end = np.searchsorted(size, 4 * size[i] // 3, "right")
+            others = np.arange(i + 1, end)
+            others = others[(label[others] != label[i]) & ((x == y) | (mine[others] != mine[i]))]
+            apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            for j in others[7 * apart <= size[others] + size[i]].tolist():
+                if 7 * hamming(rows["bits"][i], rows["bits"][j]) <= size[i] + size[j]:
+                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    found = cells.groupBy("key", "x", "y").applyInPandas(pairs, "a long, b long")
+    return staged(found.distinct().withColumn("n", F.lit(1).cast("long")), "group-pairs")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 #: Bytes of text that a numpy step works on at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -40,19 +41,22 @@ def new_path(spark: SparkSession, label: str) -> str:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def staged(frame: DataFrame, label: str, batch_bytes: int = 16 << 20) -> DataFrame:
-    """Write a table to the shared folder and read it back, which also cuts its lineage.
-
-    Meanwhile Python workers get batches of at most ``batch_bytes``.
-    """
+def written(frame: DataFrame, path: str, batch_bytes: int = 4 << 20) -> None:
+    """Write a table; meanwhile Python workers get batches of about ``batch_bytes``."""
     spark = frame.sparkSession
-    path = new_path(spark, label)
     before = spark.conf.get(BATCH_BYTES)
     spark.conf.set(BATCH_BYTES, str(batch_bytes))
     try:
         frame.write.parquet(path)
     finally:
         spark.conf.set(BATCH_BYTES, before)
+
+
+def staged(frame: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, which also cuts its lineage."""
+    spark = frame.sparkSession
+    path = new_path(spark, label)
+    written(frame, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -74,6 +78,15 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         yield batch.slice(start)
 
 
+_C = ctypes.CDLL(None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can; an executor's workers share its limit."""
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes by significance, so that equal high bytes lie side by side and compress away."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
