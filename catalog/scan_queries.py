@@ -21,7 +21,19 @@ def scan_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_examples(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", "lang")
 
 
-@query("SELECT id, text, label, ord FROM examples WHERE label IS NOT NULL", "examples")
+@query("SELECT id, text, label, ord FROM examples", "examples")
+def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as CSV, with quotes and line breaks in fields, written in order and read back."""
+    path = f"{stages.shared_folder(spark)}/documents.csv"
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('",'))
+    rows = v.examples(spark, sf_dir).select("id", quoted.alias("example"), F.col("label").alias("Label"), "ord")
+    ordered = rows.repartitionByRange(4, "ord").sortWithinPartitions("ord").drop("ord")
+    ordered.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_examples(spark, path, "id", "example", "Label")
+    return back.withColumn("text", F.substring("text", 2, F.length("text") - 3))
+
+
+@query("SELECT id, text, label, ord FROM examples", "examples")
 def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write two runs of a stage, read one back by its run key."""
     root = stages.shared_folder(spark)
@@ -106,6 +118,20 @@ def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_map(labels.all_labels(v.filtered(spark, sf_dir)))
 
 
+@query(
+    """
+    SELECT label, 'concept ' || CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(65 + i // 26 - 1) || chr(65 + i % 26)
+      ELSE chr(65 + (i // 26 - 1) // 26 - 1) || chr(65 + (i // 26 - 1) % 26) || chr(65 + i % 26) END AS masked
+    FROM (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS i
+      FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS label FROM lineitem))
+    """
+)
+def label_names_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for as many labels as there are parts."""
+    named = v.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("label"))
+    return labels.label_map(labels.all_labels(named, columns=["label"]))
+
+
 @query(
     """
     SELECT id, target_label, phrase_no, o.masked AS masked_ori, g.masked AS masked_target FROM fan_out

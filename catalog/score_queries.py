@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorset.operators import evaluation, gates
-from mirrorset.plans import augmentation
+from mirrorset.operators import evaluation, gates, labels
+from mirrorset.plans import augmentation, scoring
 from mirrorset.plans.run import Run
 from mirrorset.sources import stages
 
@@ -109,6 +109,47 @@ def discriminator_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.rounded(gates.discriminator_rates(v.filtered(spark, sf_dir), ["target_label"]))
 
 
+@query(
+    f"""
+    SELECT id, ori_text, ori_label, pattern, counterfactual AS counter_text, target_label AS counter_label
+    FROM run_filtered WHERE {v.ACCEPTED_SQL}
+    """,
+    "run_filtered",
+)
+def rerun_changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over other texts of the same ids, then one over the sentences in the same folder."""
+    run = Run(spark, stages.shared_folder(spark), "double", "documents", v.respond, v.SEED)
+    rows = v.sentences(spark, sf_dir)
+    augmentation.augment(run, rows.withColumn("text", F.concat(F.lit("so "), F.col("text"))), None)
+    return augmentation.augment(run, rows, None)
+
+
+@query(
+    "SELECT id, phrase_no, target_label, counterfactual, error IS NOT NULL AS failed FROM counterfactuals",
+    "counterfactuals",
+)
+def generate_stop_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation that stops at a quota error, goes on in a second run, and ends in a third."""
+    root, asked = stages.shared_folder(spark), v.staged(v.candidates(spark, sf_dir), "candidates")
+    high = asked.agg(F.max("ord")).first()[0]
+
+    def until(last: int):
+        def respond(requests: DataFrame, stage: str) -> DataFrame:
+            # calls past a place fail by quota; the others by their double
+            rows = requests.select("request_id", F.col("ord") > last)
+            spent = rows.toDF("request_id", "_spent")
+            quota = F.when(F.col("_spent"), F.lit("Error 429: quota exceeded"))
+            said = v.respond(requests, stage).join(spent, "request_id")
+            return said.select("request_id", F.when(~F.col("_spent"), F.col("text")).alias("text"), F.coalesce(quota, "error").alias("error"))
+
+        return respond
+
+    for attempt, last in enumerate((high // 3, 2 * high // 3, high)):
+        run = Run(spark, root, "double", "documents", until(last), v.SEED, attempt)
+        made = augmentation.generate(run, asked, max_consecutive=1_000_000)
+    return made.select("id", "phrase_no", "target_label", "counterfactual", F.col("error").isNotNull().alias("failed"))
+
+
 _SAVED = d.digit_sql("saved", "id", "phrase_no", "target_label")
 
 
@@ -136,6 +177,27 @@ def metrics_by_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.rounded(v.metrics(spark, sf_dir))
 
 
+@query(f"SELECT {_METRIC_COLUMNS} FROM metrics", "metrics")
+def rescore_changed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole scoring run with shorter contexts and useless answers, then the real one in the same folder."""
+    lookup = v.label_map(spark, sf_dir)
+
+    def useless(requests: DataFrame, stage: str, contexts: DataFrame) -> DataFrame:
+        return requests.select("request_id", F.lit("none").alias("text"), F.lit(None).cast("string").alias("error"))
+
+    def real(requests: DataFrame, stage: str, contexts: DataFrame) -> DataFrame:
+        truth = labels.mask_labels(requests, lookup, {"label": "masked"})
+        draw = d.digit("pred", "seed", "shots", "test_id")
+        said = truth.select("request_id", d.prediction_reply(draw, F.col("masked")).alias("text"))
+        return said.withColumn("error", d.failure(F.col("text")))
+
+    root, rows = stages.shared_folder(spark), v.staged(v.filtered(spark, sf_dir), "filtered")
+    for respond, most in ((useless, 1), (real, 4)):
+        run = Run(spark, root, "double", "documents", respond, v.SEED)
+        out = scoring.score(run, rows, v.examples(spark, sf_dir), v.SHOTS, v.SEEDS, max_counterfactuals=most)
+    return v.rounded(out)
+
+
 @query(
     "SELECT seed, shots, y_true, y_pred, count(*) AS n FROM predictions GROUP BY seed, shots, y_true, y_pred",
     "predictions",
