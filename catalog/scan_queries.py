@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorset.functions import text as t
@@ -46,27 +46,28 @@ def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     SELECT id, array_to_string(phrases, ' | ') AS phrases, len(phrases) AS n_phrases FROM (
-      SELECT id, list_filter([{d.FIRST_WORD_SQL}, 'it''s ' || {d.LAST_WORD_SQL}, text],
-        lambda p: NOT contains(p, chr(34))) AS phrases FROM examples)
+      SELECT id, [{d.FIRST_WORD_SQL}, 'it''s ' || {d.LAST_WORD_SQL}, text, 'say "' || {d.FIRST_WORD_SQL} || '", it''s',
+        chr(92) || 'x41 ' || chr(8203) || chr(7)] AS phrases FROM examples)
     """,
     "examples",
 )
 def import_repr_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List text of whole documents and of phrases with an apostrophe, parsed back."""
-    phrases = F.filter(
-        F.array(
-            d.first_word(F.col("text")),
-            F.concat(F.lit("it's "), d.last_word(F.col("text"))),
-            F.col("text"),
-        ),
-        lambda p: ~p.contains('"'),
-    )
-    quoted = F.transform(
-        phrases,
-        lambda p: F.when(p.contains("'"), F.concat(F.lit('[["'), p, F.lit('"]]'))).otherwise(
-            F.concat(F.lit("[['"), p, F.lit("']]"))
-        ),
+    """List text of whole documents and of phrases with quotes of both kinds and codes, parsed back."""
+    phrases = F.array(
+        d.first_word(F.col("text")),
+        F.concat(F.lit("it's "), d.last_word(F.col("text"))),
+        F.col("text"),
+        F.concat(F.lit('say "'), d.first_word(F.col("text")), F.lit("\", it's")),
+        F.lit("\\x41 \u200b\x07"),
     )
+
+    def written_as(p: Column) -> Column:
+        for plain, code in (("\\", "\\\\"), ("\n", "\\n"), ("\x07", "\\x07"), ("\u200b", "\\u200b")):
+            p = F.replace(p, F.lit(plain), F.lit(code))
+        single = F.concat(F.lit("[['"), F.replace(p, F.lit("'"), F.lit("\\'")), F.lit("']]"))
+        return F.when(p.contains("'") & ~p.contains('"'), F.concat(F.lit('[["'), p, F.lit('"]]'))).otherwise(single)
+
+    quoted = F.transform(phrases, written_as)
     written = v.examples(spark, sf_dir).select(
         "id", F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias("highlight")
     )

@@ -94,18 +94,28 @@ _ESCAPES = [
 ]
 
 
+# Characters written by their code, such as \\x07 and \\u200b.
+_CODES = r"\\x[0-9a-f]{2}|\\u[0-9a-f]{4}"
+
+
 def parse_repr_list(col: Column) -> Column:
     """List text such as ``[[['a']], [["b's"]]]`` as ``ARRAY<STRING>``.
 
     Elements are in single quotes, or in double quotes when they hold an
-    apostrophe; a backslash escapes the next character. Null when the text is
-    no list at all.
+    apostrophe and no double quote; a backslash escapes the next character or
+    leads a character code. Null when the text is no list at all.
     """
     marked = col
     for escaped, mark, _ in _ESCAPES:
         marked = F.replace(marked, F.lit(escaped), F.lit(mark))
 
     def plain(item: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(item, F.lit(_CODES), F.lit(0)))
+        item = F.aggregate(
+            codes,
+            item,
+            lambda out, c: F.replace(out, c, F.decode(F.unhex(F.lpad(F.substring(c, 3, 4), 4, "0")), "UTF-16BE")),
+        )
         for _, mark, char in _ESCAPES:
             item = F.replace(item, F.lit(mark), F.lit(char))
         return item
@@ -125,3 +135,13 @@ def import_patterns(df: DataFrame) -> DataFrame:
     return df.select(
         "id", "ori_text", "ori_label", "pattern", parse_repr_list(F.col("highlight")).alias("phrases")
     ).filter(F.col("phrases").isNotNull())
+
+
+def import_candidates(df: DataFrame) -> DataFrame:
+    """Candidate rows of an earlier run, with the phrases of their list text.
+
+    Text that is no list is kept as one phrase, as the rewriting step is shown it as it is.
+    """
+    listed = parse_repr_list(F.col("candidate_phrases"))
+    whole = F.when(F.col("candidate_phrases").isNotNull(), F.array("candidate_phrases"))
+    return df.withColumn("candidate_phrases", F.coalesce(listed, whole))

@@ -97,3 +97,11 @@ def test_answers_are_merged_by_request(spark, tmp_path):
     stages.append_results(again, str(tmp_path), "log", 1)
     rows = sorted(map(tuple, stages.read_results(spark, str(tmp_path), "log").collect()))
     assert rows == [("a", "x", None), ("b", "z", None), ("c", None, "boom")]
+
+
+def test_candidate_lists_that_do_not_parse_stay_one_phrase(spark):
+    from mirrorset.sources.examples import import_candidates
+
+    rows = spark.createDataFrame([(1, "['a', \"it's\"]"), (2, "plain words"), (3, None)], "i int, candidate_phrases string")
+    got = {r["i"]: r["candidate_phrases"] for r in import_candidates(rows).collect()}
+    assert got == {1: ["a", "it's"], 2: ["plain words"], 3: None}
