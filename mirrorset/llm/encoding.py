@@ -14,6 +14,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from .staging import FORGET
+
 SPACES_MEET = re.compile(r"\s\s|^\s|\s$")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -72,7 +74,7 @@ class Words(dict):
 class WordEncoder:
     """``spaces`` says what the tokenizer does with a space: "lead" joins it to the next word, "drop" loses it."""
 
-    def __init__(self, path: str, spaces: str, kept: int = 300_000) -> None:
+    def __init__(self, path: str, spaces: str, kept: int = 250_000) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         code = "H" if self.dtype.itemsize == 2 else "I"
@@ -101,3 +103,6 @@ class WordEncoder:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, spaces: str) -> WordEncoder:
     return WordEncoder(path, spaces)
+
+
+FORGET.append(encoder.cache_clear)

@@ -106,6 +106,7 @@ def facts(docs: DataFrame) -> DataFrame:
     """kind 0: a document's set (doc, n, two digests a, b of the set); kind 1: a shingle frequent in a block (a, n documents)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         names = ["kind", "doc", "n", "a", "b"]
@@ -152,6 +153,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held: list[tuple[np.ndarray, int, int]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -184,6 +186,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             yield from close()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         now, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
@@ -245,6 +248,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc, size, parity sketch and sorted hashes of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for piece in chunks(batch):
                 sets = shingle_sets(utf8(piece.column("text")))
@@ -262,6 +266,7 @@ def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def _passing(pairs: DataFrame, column: str, test) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             columns = [batch.column(c) for c in ("size_a", "size_b", f"{column}_a", f"{column}_b")]
             good = pa.array([test(*(x.as_py() for x in row)) for row in zip(*columns, strict=True)], pa.bool_())
@@ -343,22 +348,38 @@ def apart_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     cells = each.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc", "label")
     cells = cells.join(sets.select("doc", "size", "bits"), "doc")
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("size", kind="stable").reset_index(drop=True)
-        doc, label, mine, size = (rows[c].to_numpy() for c in ("doc", "label", "mine", "size"))
-        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
-        shortest = min(map(len, rows["bits"]))
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, shortest), axis=0) for b in rows["bits"]])
-        out = []
-        for i in range(len(rows)):
-            end = np.searchsorted(size, 4 * size[i] // 3, "right")
-            others = np.arange(i + 1, end)
-            others = others[(label[others] != label[i]) & ((x == y) | (mine[others] != mine[i]))]
-            apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            for j in others[7 * apart <= size[others] + size[i]].tolist():
-                if 7 * hamming(rows["bits"][i], rows["bits"][j]) <= size[i] + size[j]:
-                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    found = cells.groupBy("key", "x", "y").applyInPandas(pairs, "a long, b long")
+    columns = ["key", "x", "y", "mine", "doc", "label", "size"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        # cells come one after the other; the rows of the last one wait for the next batch
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            key, x, y = (now.column(c).to_numpy() for c in columns[:3])
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            held = now.slice(new[-1])
+            yield found_in(now, new)
+        if held is not None:
+            yield found_in(held, np.array([0, held.num_rows]))
+
+    def found_in(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        _, x, y, mine, doc, label, size = (rows.column(c).to_numpy() for c in columns)
+        bits = rows.column("bits").slice(0, int(cuts[-1])).to_pylist()
+        out: list[tuple[int, int]] = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            shortest = min(map(len, bits[a:b]))
+            folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(k, np.uint8).reshape(-1, shortest), axis=0) for k in bits[a:b]])
+            for i in range(a, b - 1):
+                end = i + 1 + np.searchsorted(size[i + 1 : b], 4 * size[i] // 3, "right")
+                others = np.arange(i + 1, end)
+                others = others[(label[others] != label[i]) & ((x[i] == y[i]) | (mine[others] != mine[i]))]
+                apart = np.bitwise_count(folded[others - a] ^ folded[i - a]).sum(axis=1, dtype=np.int64)
+                out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in others[7 * apart <= size[others] + size[i]].tolist() if 7 * hamming(bits[i], bits[j]) <= size[i] + size[j]]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "size").select(*columns, "bits")
+    found = dealt.mapInArrow(near, "a long, b long")
     return staged(found.distinct().withColumn("n", F.lit(1).cast("long")), "group-pairs")

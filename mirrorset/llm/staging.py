@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +79,17 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
 
 
 _C = ctypes.CDLL(None)
+#: Called to forget what a worker remembers for tasks of one kind.
+FORGET: list[Callable[[], None]] = []
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system, where the C library can; an executor's workers share its limit."""
+    """Forget what earlier tasks of other kinds left in this worker, and give freed memory back to the system.
+
+    Workers are used again and share the memory limit of their executor.
+    """
+    for forget in FORGET:
+        forget()
     if hasattr(_C, "malloc_trim"):
         _C.malloc_trim(0)
 

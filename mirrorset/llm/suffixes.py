@@ -55,6 +55,7 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -91,6 +92,7 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
         return columns, np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])]))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         # a task takes several key ranges one after the other: rows come sorted by range
         now, held = None, []
         for batch in batches:
@@ -176,6 +178,7 @@ def surroundings(suspects: DataFrame) -> DataFrame:
     """The bytes of each run in ``__firsts``: kind 0, key, doc, begin, n (windows), text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for piece in chunks(batch):
                 texts, ids = utf8(piece.column("text")), piece.column("__doc").to_pylist()
@@ -197,6 +200,7 @@ def single_windows(runs: DataFrame) -> DataFrame:
     """Each window of a run as a run of its own, with the hash of its bytes as key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         firsts_ = _Firsts()
         for batch in batches:
             for row in batch.to_pylist():
@@ -387,6 +391,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = marked.select(*names).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):

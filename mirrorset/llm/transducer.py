@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import chunks
+from .staging import FORGET, chunks
 
 SPACE = "▁"
 INFINITY = float("inf")
@@ -73,7 +73,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Transducer:
-    def __init__(self, path: str, kept: int = 300_000) -> None:
+    def __init__(self, path: str, kept: int = 250_000) -> None:
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         self.pieces, self.scores, self.types = [], [], []
@@ -256,6 +256,9 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+FORGET.append(transducer.cache_clear)
+
+
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (packed, ``id_bytes`` each) of every document."""
 
