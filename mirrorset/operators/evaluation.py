@@ -29,13 +29,19 @@ def _class_events(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return predictions.select(*keys, F.inline(sides))
 
 
-def class_counts(predictions: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+def class_counts(
+    predictions: DataFrame, keys: Sequence[str] = RUN_KEYS, flags: Sequence[str] = ()
+) -> DataFrame:
     """Hits, true rows and predicted rows per class seen on either side.
 
-    One shuffle of partial sums; no join of truth and prediction counts.
+    One shuffle of partial sums; no join of truth and prediction counts. ``flags`` are
+    columns that are true for a group if they are for one of its rows.
     """
-    return _class_events(predictions, keys).groupBy(*keys, "class").agg(
-        F.sum("tp").alias("tp"), F.sum("truth").alias("truth"), F.sum("pred").alias("pred")
+    return _class_events(predictions, [*keys, *flags]).groupBy(*keys, "class").agg(
+        F.sum("tp").alias("tp"),
+        F.sum("truth").alias("truth"),
+        F.sum("pred").alias("pred"),
+        *(F.max(f).alias(f) for f in flags),
     )
 
 
@@ -91,9 +97,12 @@ def prefix_metrics(
     the checkpoints. Work grows with the rows, not with rows times checkpoints.
     """
     keys = list(keys)
-    numbered = predictions.withColumn("chunk", F.floor(F.col(ord_col) / every))
+    numbered = predictions.withColumn("chunk", F.floor(F.col(ord_col) / every)).withColumn(
+        "closes", (F.col(ord_col) + 1) % every == 0
+    )
     # no prediction is a class of its own, as in macro_prf; keys of a running sum must not be null
-    events = class_counts(numbered, [*keys, "chunk"]).withColumn("class", F.coalesce("class", F.lit(NO_CLASS)))
+    events = class_counts(numbered, [*keys, "chunk"], ["closes"])
+    events = events.withColumn("class", F.coalesce("class", F.lit(NO_CLASS)))
     before = earlier(
         events,
         "chunk",
@@ -110,6 +119,7 @@ def prefix_metrics(
         F.sum(is_new_class).alias("d_classes"),
         F.sum("tp").alias("d_tp"),
         F.sum("truth").alias("d_rows"),
+        F.max("closes").alias("closes"),
     )
     sums = ["precision", "recall", "fscore", "classes", "tp", "rows"]
     totals = earlier(
@@ -120,10 +130,7 @@ def prefix_metrics(
         bucket_rows,
         inclusive=True,
     )
-    closing = predictions.filter((F.col(ord_col) + 1) % every == 0).select(
-        *keys, F.floor(F.col(ord_col) / every).alias("chunk")
-    )
-    return totals.join(closing, [*keys, "chunk"], "left_semi").select(
+    return totals.filter("closes").select(
         *keys,
         ((F.col("chunk") + 1) * every).alias("checkpoint"),
         *((F.col(f"s_{s}") / F.col("s_classes")).alias(s) for s in ("precision", "recall", "fscore")),
