@@ -233,7 +233,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key), pa.array(a), pa.array(b), pa.array(n)], ["kind", "key", "a", "b", "n"])
 
     sent = docs.select("__doc", F.col("text").cast("string").alias("text")).mapInArrow(blocks, "part int, keys binary, docs binary, sizes binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merged, "kind long, key long, a long, b long, n long")
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(merged, "kind long, key long, a long, b long, n long")
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:

@@ -132,7 +132,7 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(docs_[new]), *(lists if c == name else none for c in ("__firsts", "__marks"))], ["__doc", "__firsts", "__marks"])
 
     sent = docs.select("__doc", F.col("text").cast("string").alias("text")).mapInArrow(blocks, BLOCK_ROW)
-    meet = sent.repartition(parts, "part").sortWithinPartitions("part")
+    meet = sent.repartitionById(parts, "part").sortWithinPartitions("part")
     lists = meet.mapInArrow(merged, "__doc long, __firsts array<bigint>, __marks array<bigint>")
     return lists.groupBy("__doc").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("__firsts", "__marks")))
 
