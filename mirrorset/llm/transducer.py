@@ -25,7 +25,7 @@ import functools
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,20 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             yield key >> 3, struct.unpack("<f" if kind == 5 else "<d", data[at - n : at])[0]
 
 
+class _Known(dict):
+    """Packed ids by word; a new word is composed when it is looked up."""
+
+    def __init__(self, compose: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.compose = compose
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.compose(word)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
+
+
 class Transducer:
     def __init__(self, path: str, kept: int = 250_000) -> None:
         with open(path, "rb") as f:
@@ -106,7 +120,8 @@ class Transducer:
         self.pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         self.weights = [1.0] * len(self.scores) if self.merges else [-x for x in self.scores]
         self.fallback_weight = 1.0 if self.merges else 10.0 - min(self.scores)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._word_ids)
+        self.written = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.known_parts: dict[str, bytes] = {}
         self.joins: dict[int, float] = {}
         self.histories: dict[int, list[tuple[float, str, str]]] = {}
@@ -219,6 +234,8 @@ class Transducer:
     def _words(self, text: str) -> list[str]:
         """The normalised text, cut where no piece reaches across."""
         whole = (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+        if SPACE + SPACE not in whole:
+            return whole.replace("\n", " \n ").replace(SPACE, " " + SPACE).split(" ")
         return re.findall(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", whole)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -226,28 +243,14 @@ class Transducer:
         known = self.known
         out = []
         for text in texts:
-            words = self._words(text)
-            for w in set(words).difference(known):
-                known[w] = self._word_ids(w)
-            out.append(b"".join(map(known.__getitem__, words)))
+            out.append(b"".join(map(known.__getitem__, self._words(text))))
             if len(known) > self.kept:
                 known.clear()
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces put together, bytes as UTF-8, the dummy space taken off."""
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            out.append(self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
