@@ -12,7 +12,7 @@ import re
 from array import array
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .staging import FORGET
 
@@ -20,6 +20,19 @@ SPACES_MEET = re.compile(r"\s\s|^\s|\s$")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 LONGEST_KEPT = 48
+SAMPLE = ["word", "étéß", "aÿ", "thererone", "qu"]
+
+
+def for_letters(path: str, lead: str) -> Tokenizer:
+    """The tokenizer without normaliser and patterns, which leave a word of small Latin letters as it is.
+
+    That is tried out on a few words; a tokenizer of another kind is kept whole.
+    """
+    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    own, other = ([t.encode(lead + w, add_special_tokens=False).ids for w in SAMPLE] for t in (whole, bare))
+    return bare if own == other else whole
 
 
 class Words(dict):
@@ -29,8 +42,9 @@ class Words(dict):
     from what is known. ``kept`` bounds the new words; as many older ones are still found.
     """
 
-    def __init__(self, tokenizer: Tokenizer, lead: str, lower: bool, code: str, kept: int) -> None:
-        self.tokenizer, self.lead, self.lower, self.code, self.kept = tokenizer, lead, lower, code, kept
+    def __init__(self, path: str, lead: str, lower: bool, code: str, kept: int) -> None:
+        self.tokenizer, self.letters = Tokenizer.from_file(path), for_letters(path, lead)
+        self.lead, self.lower, self.code, self.kept = lead, lower, code, kept
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.long: list[str] = []
@@ -38,6 +52,9 @@ class Words(dict):
     def _encode(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _encode_letters(self, text: str) -> bytes:
+        return array(self.code, self.letters.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _mark(self, text: str) -> bytes:
         if text not in self.marks:
             if len(text) > 8:
@@ -55,7 +72,7 @@ class Words(dict):
                 letters, marks = parts.groups()
                 if self.lower:
                     letters = letters.lower()
-                ids = self._encode(self.lead + letters) if letters == word else self[letters] + self._mark(marks)
+                ids = self._encode_letters(self.lead + letters) if letters == word else self[letters] + self._mark(marks)
         self[word] = ids
         if len(word) > LONGEST_KEPT:
             self.long.append(word)
@@ -74,13 +91,13 @@ class Words(dict):
 class WordEncoder:
     """``spaces`` says what the tokenizer does with a space: "lead" joins it to the next word, "drop" loses it."""
 
-    def __init__(self, path: str, spaces: str, kept: int = 250_000) -> None:
+    def __init__(self, path: str, spaces: str, kept: int = 400_000) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         code = "H" if self.dtype.itemsize == 2 else "I"
         self.spaces = spaces
-        self.words = Words(tokenizer, "", spaces == "drop", code, kept)
-        self.led = Words(tokenizer, " ", False, code, kept)
+        self.words = Words(path, "", spaces == "drop", code, kept)
+        self.led = Words(path, " ", False, code, kept)
 
     def _one(self, text: str) -> bytes:
         word, led = self.words.__getitem__, self.led.__getitem__
