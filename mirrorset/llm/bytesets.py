@@ -76,7 +76,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
 
 
 #: Bytes of a match, of the strings that anchors are chosen by, and positions a packed anchor can tell apart.
-MATCH, GRAM, PLACE_BITS = 100, 32, 21
+MATCH, GRAM, PLACE_BITS = 100, 32, 19
 WINDOW = MATCH - GRAM + 1
 LONGEST = (1 << PLACE_BITS) - 1
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))

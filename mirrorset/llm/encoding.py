@@ -23,15 +23,15 @@ LONGEST_KEPT = 48
 SAMPLE = ["word", "étéß", "aÿ", "thererone", "qu"]
 
 
-def for_letters(path: str, lead: str) -> Tokenizer:
+def for_letters(path: str, whole: Tokenizer) -> Tokenizer:
     """The tokenizer without normaliser and patterns, which leave a word of small Latin letters as it is.
 
     That is tried out on a few words; a tokenizer of another kind is kept whole.
     """
-    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare = Tokenizer.from_file(path)
     bare.normalizer = normalizers.Sequence([])
     bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    own, other = ([t.encode(lead + w, add_special_tokens=False).ids for w in SAMPLE] for t in (whole, bare))
+    own, other = ([t.encode(w, add_special_tokens=False).ids for w in SAMPLE] for t in (whole, bare))
     return bare if own == other else whole
 
 
@@ -42,8 +42,8 @@ class Words(dict):
     from what is known. ``kept`` bounds the new words; as many older ones are still found.
     """
 
-    def __init__(self, path: str, lead: str, lower: bool, code: str, kept: int) -> None:
-        self.tokenizer, self.letters = Tokenizer.from_file(path), for_letters(path, lead)
+    def __init__(self, tokenizer: Tokenizer, letters: Tokenizer, lead: str, lower: bool, code: str, kept: int) -> None:
+        self.tokenizer, self.letters = tokenizer, letters
         self.lead, self.lower, self.code, self.kept = lead, lower, code, kept
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -96,8 +96,9 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         code = "H" if self.dtype.itemsize == 2 else "I"
         self.spaces = spaces
-        self.words = Words(path, "", spaces == "drop", code, kept)
-        self.led = Words(path, " ", False, code, kept)
+        letters = for_letters(path, tokenizer)
+        self.words = Words(tokenizer, letters, "", spaces == "drop", code, kept)
+        self.led = Words(tokenizer, letters, " ", False, code, kept)
 
     def _one(self, text: str) -> bytes:
         word, led = self.words.__getitem__, self.led.__getitem__

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mixed, shingle_sets
 from .graph import components
-from .staging import chunks, numbered, planes, release_memory, staged, unplaned, utf8
+from .staging import chunks, numbered, planes, release_memory, staged, tidy, unplaned, utf8
 
 #: Documents of a block in which a shingle must occur to be reported, and in all to count as frequent; how many are kept.
 FREQUENT_HERE, FREQUENT, FREQUENT_KEPT = 2, 32, 1_000_000
@@ -105,8 +105,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 def facts(docs: DataFrame) -> DataFrame:
     """kind 0: a document's set (doc, n, two digests a, b of the set); kind 1: a shingle frequent in a block (a, n documents)."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         names = ["kind", "doc", "n", "a", "b"]
@@ -152,8 +152,8 @@ def candidates(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     """kind 0: a pair (a, b) and the words they share; kind 1: a member (doc a, size b) of a large group (key)."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         held: list[tuple[np.ndarray, int, int]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -185,8 +185,8 @@ def candidates(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         if held:
             yield from close()
 
+    @tidy
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         now, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
@@ -247,8 +247,8 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 def sets_of(docs: DataFrame) -> DataFrame:
     """doc, size, parity sketch and sorted hashes of each document."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             for piece in chunks(batch):
                 sets = shingle_sets(utf8(piece.column("text")))
@@ -265,8 +265,8 @@ def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 
 def _passing(pairs: DataFrame, column: str, test) -> DataFrame:
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             columns = [batch.column(c) for c in ("size_a", "size_b", f"{column}_a", f"{column}_b")]
             good = pa.array([test(*(x.as_py() for x in row)) for row in zip(*columns, strict=True)], pa.bool_())
@@ -350,8 +350,8 @@ def apart_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
 
     columns = ["key", "x", "y", "mine", "doc", "label", "size"]
 
+    @tidy
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         # cells come one after the other; the rows of the last one wait for the next batch
         held = None
         for batch in batches:

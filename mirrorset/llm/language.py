@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .staging import chunks, release_memory
+from .staging import chunks, tidy
 
 UNKNOWN = "und"
 #: Bounds of the training sample, and sizes of the network and its training.
@@ -206,8 +206,8 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
     docs = docs.drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             for piece in chunks(batch, text):
                 texts = [t or "" for t in piece.column(text).to_pylist()]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import MATCH, anchor_runs
-from .staging import chunks, numbered, planes, release_memory, staged, unplaned, utf8
+from .staging import chunks, numbered, planes, release_memory, staged, tidy, unplaned, utf8
 
 #: Anchors sorted at a time in a task, rows of a bucket, surroundings of a key.
 BLOCK, BUCKET, HOT = 400_000, 4096, 4096
@@ -54,8 +54,8 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     Of equal runs only the first is looked at further: all windows of the others repeat it.
     """
 
+    @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -91,8 +91,8 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
         keys, digests = columns[:2]
         return columns, np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])]))
 
+    @tidy
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         # a task takes several key ranges one after the other: rows come sorted by range
         now, held = None, []
         for batch in batches:
@@ -177,8 +177,8 @@ def run_rows(rows: list[tuple]) -> pa.RecordBatch:
 def surroundings(suspects: DataFrame) -> DataFrame:
     """The bytes of each run in ``__firsts``: kind 0, key, doc, begin, n (windows), text."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             for piece in chunks(batch):
                 texts, ids = utf8(piece.column("text")), piece.column("__doc").to_pylist()
@@ -199,8 +199,8 @@ def surroundings(suspects: DataFrame) -> DataFrame:
 def single_windows(runs: DataFrame) -> DataFrame:
     """Each window of a run as a run of its own, with the hash of its bytes as key."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         firsts_ = _Firsts()
         for batch in batches:
             for row in batch.to_pylist():
@@ -294,6 +294,7 @@ class SuffixFamily:
 
     @staticmethod
     def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         rows = rows.sort_values("age")
         text, suffixes = rows["text"].iloc[0], np.frombuffer(rows["suffixes"].iloc[0], np.int32)
         for more, places in zip(rows["text"].iloc[1:], rows["suffixes"].iloc[1:], strict=True):
@@ -312,6 +313,7 @@ class SuffixFamily:
             rows = rows.unionByName(level.select("bucket", F.lit(age).alias("age"), *gap, "text", "suffixes"))
 
         def scan(rows: pd.DataFrame) -> pd.DataFrame:
+            release_memory()
             own = rows[rows["age"] < 0].sort_values(["doc", "begin"])
             out = []
             if len(own):
@@ -390,8 +392,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marked = mark_repeats(docs.withColumn("text", F.col("text").cast("string")))
     schema = marked.select(*names).schema
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
