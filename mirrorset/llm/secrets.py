@@ -9,9 +9,14 @@ scope, which reaches ``SCOPE`` code points around a part without passing an empt
 * ``identity``: with an opaque string, an assignment or a long hex string;
 * ``endpoint``: with an access identifier or identity, and also an assignment, hex or opaque string.
 
+That is what ``op4_secrets`` and its SQL report: parts that overlap do not meet there. With
+``full``, as in ``masked``, overlap is distance 0. Inside an endpoint, opaque and hex strings then
+count as user information, as a query value, or as a path segment that is a token; a plain long path
+does not. ``user:...@`` is the endpoint's own identity.
+
 Parts are intervals of one document, so the interval join runs inside its row: a map
-leads from each cell of ``SCOPE`` code points to the parts that lie in it or near it, and
-a candidate meets only the parts of the cells it begins and ends in. Nothing is
+leads from each cell of ``SCOPE`` code points where a part begins or ends to the parts that
+lie in it or near it, and a candidate meets only the parts of such cells that it reaches. Nothing is
 shuffled and no text leaves the row.
 
 Null text is empty: no spans, the digest of the empty string. Repeated rows each get
@@ -43,6 +48,11 @@ COMPLEMENTS = {
     "identity": [["assign", "hex", "opaque"]],
     "endpoint": [["access", "identity"], ["assign", "hex", "opaque"]],
 }
+# Places of credentials in an endpoint: user information, with a name, and a path segment that is a token:
+# 24 characters or more with small and capital letters, and three places where letters and digits touch.
+LOGIN = r"^[a-z]+://(?:[^/?#@:]*:(?![0-9]{1,5}/)[^?#@]*|[^/?#@:]+)@"
+NAMED_LOGIN = r"^[a-z]+://[^/?#@:]+:(?![0-9]{1,5}/)[^?#@]+@"
+TOKEN = r"(?:^|/)(?=[A-Za-z0-9_-]{24})(?=[A-Z0-9_-]*[a-z])(?=[a-z0-9_-]*[A-Z])(?:[A-Za-z0-9_-]*?(?:[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9]))){3}"
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -86,18 +96,48 @@ def rendered(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def linked(text: Column, parts: Column, cells: Column, kind: str) -> Column:
+def cell(at: Column) -> Column:
+    return F.floor(at / SCOPE).cast("int")
+
+
+def cut(text: Column, begin: Column, end: Column) -> Column:
+    return F.substring(text, begin + 1, end - begin)
+
+
+def credential(text: Column, url: Column, part: Column) -> Column:
+    """A string inside an endpoint is user information, a query value or a token, and not a plain path."""
+    login = F.length(F.regexp_extract(cut(text, url["s"], url["e"]), LOGIN, 0))
+    own = cut(text, part["s"], part["e"])
+    value = cut(text, url["s"], part["s"]).rlike("[?#].*=") & ~own.startswith("/")
+    return (part["s"] < url["s"] + login) | value | own.rlike(TOKEN)
+
+
+def linked(text: Column, parts: Column, cells: Column, kind: str, full: bool = False) -> Column:
     """The weak spans of one kind that have a complement of every needed sort in their scope."""
     kinds = BASE_KINDS + WEAK_KINDS
+    strings = [kinds.index("hex"), kinds.index("opaque")]
+
+    def apt(x: Column, y: Column) -> Column:
+        """Parts do not lie in each other, or do so as a credential."""
+        if kind == "endpoint":
+            return ~y["k"].isin(strings) | (y["s"] < x["s"]) | (y["s"] >= x["e"]) | credential(text, x, y)
+        if kind == "opaque":
+            return (y["k"] != kinds.index("endpoint")) | (x["s"] < y["s"]) | (x["s"] >= y["e"]) | credential(text, y, x)
+        return F.lit(True)
 
     def meets(x: Column, sort: list[str]) -> Column:
         def near(y: Column) -> Column:
             apart = F.greatest(y["s"] - x["e"], x["s"] - y["e"])
             between = F.substring(text, F.least(x["e"], y["e"]) + 1, F.greatest(apart, F.lit(0)))
-            return y["k"].isin([kinds.index(s) for s in sort]) & apart.between(0, SCOPE) & ~between.rlike(r"\n[ \t]*\n")
+            close = (apart <= SCOPE) & apt(x, y) if full else apart.between(0, SCOPE)
+            return y["k"].isin([kinds.index(s) for s in sort]) & close & ~between.rlike(r"\n[ \t]*\n")
 
-        own = F.array_distinct(F.transform(F.array(x["s"], x["e"]), lambda at: F.floor(at / SCOPE).cast("int")))
-        return F.exists(own, lambda c: F.coalesce(F.exists(cells[c], near), F.lit(False)))
+        own = F.array_distinct(F.array(cell(x["s"]), cell(x["e"])))
+        if full:
+            within = F.filter(F.map_keys(cells), lambda c: c.between(cell(x["s"]), cell(x["e"])))
+            own = F.when(cell(x["e"]) - cell(x["s"]) > 1, within).otherwise(own)
+        out = F.exists(own, lambda c: F.coalesce(F.exists(cells[c], near), F.lit(False)))
+        return out | cut(text, x["s"], x["e"]).rlike(NAMED_LOGIN) if full and kind == "endpoint" and "identity" in sort else out
 
     def whole(x: Column) -> Column:
         out = x["k"] == kinds.index(kind)
@@ -108,9 +148,10 @@ def linked(text: Column, parts: Column, cells: Column, kind: str) -> Column:
     return F.filter(parts, whole)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", full: bool = False) -> DataFrame:
     """Add ``base_spans`` and ``spans``: arrays of (s, k, e), by start and then kind; k counts base kinds, then weak ones.
 
+    ``full`` lets parts that overlap meet, beyond what the SQL does.
     Columns of these names are replaced; names that begin with two underscores are used in between.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -118,27 +159,19 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     weak = {"__opaque": found(whole, OPAQUE, 3, opaque_holds), "__identity": found(whole, IDENTITY, 4), "__endpoint": found(whole, ENDPOINT, 5)}
     out = docs.withColumns(base | weak)
     out = out.withColumn("base_spans", F.array_sort(F.concat(*base))).withColumn("__parts", F.concat("base_spans", *weak))
-    cell = lambda at: F.floor(at / SCOPE).cast("int")
-    reach = F.flatten(
-        F.transform("__parts", lambda x: F.transform(F.sequence(cell(x["s"]) - 2, cell(x["e"]) + 1), lambda c: F.struct(c.alias("c"), x.alias("x"))))
-    )
-    out = out.withColumn("__reach", F.when(F.size(F.concat(*weak)) > 0, reach))
-    cells = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform("__reach", lambda y: y["c"])),
-            lambda c: F.struct(c, F.transform(F.filter("__reach", lambda y: y["c"] == c), lambda y: y["x"])),
-        )
-    )
-    out = out.withColumn("__cells", cells)
-    joined = F.concat(*(linked(whole, F.col("__parts"), F.col("__cells"), k) for k in WEAK_KINDS))
+    ends = F.array_distinct(F.flatten(F.transform("__parts", lambda x: F.array(cell(x["s"]), cell(x["e"])))))
+    out = out.withColumn("__ends", F.when(F.size(F.concat(*weak)) > 0, ends))
+    near = lambda c: F.filter("__parts", lambda x: c.between(cell(x["s"]) - 2, cell(x["e"]) + 1))
+    out = out.withColumn("__cells", F.map_from_entries(F.transform("__ends", lambda c: F.struct(c, near(c)))))
+    joined = F.concat(*(linked(whole, F.col("__parts"), F.col("__cells"), k, full) for k in WEAK_KINDS))
     found_weak = F.when(F.col("__cells").isNotNull(), joined).otherwise(_empty())
     out = out.withColumn("spans", F.array_sort(F.concat("base_spans", found_weak)))
-    return out.drop(*base, *weak, "__parts", "__reach", "__cells")
+    return out.drop(*base, *weak, "__parts", "__ends", "__cells")
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span with ``[SECRET]``; overlapping spans become one, n_chars follows. Null text stays null."""
-    scanned = scan_secrets(docs, text)
+    scanned = scan_secrets(docs, text, full=True)
 
     def merge(state: Column, x: Column) -> Column:
         last = F.element_at(state, -1)

@@ -62,6 +62,27 @@ def test_masking(scenes, odd, none):
     assert secrets.masked(none).count() == 0
 
 
+NESTED = [
+    ("postgres://app:" + KEY + "@db.host/prod", "[SECRET]"),
+    ("see https://h/x?client_id=abc&client_secret=abcdef123 now", "see [SECRET] now"),
+    ("https://h/x?sig=" + KEY, "https://h/x?sig=[SECRET]"),
+    ("https://" + KEY + "@h/x", "https:[SECRET]@h/x"),
+    ("https://hooks.host.org/services/T0/B0/Xk29dLq0Zp4Tn7aWc3Rv8Yb1", "https://hooks.host.[SECRET]"),
+    ("https://host.org/Blog/2024/a-long-Title-about-many-things-and-more", None),
+    ("https://host.org:8080/Blog/2024/a-long-Title-about-many-things-and-more/@author", None),
+    ("https://host.org/?next=/Blog/2024/a-long-Title-about-many-things-and-more", None),
+    ("https://host.org/commit/" + "0a" * 20 + " user=carol", "https://host.org/commit/[SECRET] [SECRET]"),
+    ("https://h/?" + "z" * 900 + "&user=carol&password=abcdef123&" + "z" * 900, "[SECRET]"),
+    ("access_key = " + KEY, "[SECRET]"),
+]
+
+
+def test_parts_that_overlap_are_masked(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NESTED)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(rows).collect()}
+    assert [got[i] for i in range(len(NESTED))] == [t if want is None else want for t, want in NESTED]
+
+
 def test_shards_are_even_and_moves_few(spark, odd, none):
     rng = np.random.default_rng(0)
     sizes = {s: int(x) for s, x in enumerate(rng.integers(1, 1000, sharding.SLOTS))}
