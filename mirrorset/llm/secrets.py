@@ -9,8 +9,8 @@ scope, which reaches ``SCOPE`` code points around a part without passing an empt
 * ``identity``: with an opaque string, an assignment or a long hex string;
 * ``endpoint``: with an access identifier or identity, and also an assignment, hex or opaque string.
 
-That is what ``op4_secrets`` and its SQL report: parts that overlap do not meet there. With
-``full``, as in ``masked``, overlap is distance 0. Inside an endpoint, opaque and hex strings then
+That is what ``op4_secrets`` and its SQL report: parts that overlap do not meet there, and longer
+opaque strings are no parts. With ``full``, as in ``masked``, they have no upper length, and overlap is distance 0. Inside an endpoint, opaque and hex strings then
 count as user information, as a query value, or as a path segment that is a token; a plain long path
 does not. ``user:...@`` is the endpoint's own identity.
 
@@ -85,9 +85,14 @@ def assign_holds(match: Column) -> Column:
     return F.length(F.regexp_extract(match, ASSIGN, 2)) >= ASSIGN_LEAST
 
 
+def mixed(match: Column) -> Column:
+    """With a digit, a small and a capital letter."""
+    return match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
+
+
 def opaque_holds(match: Column) -> Column:
-    """At most 64 characters, with a digit, a small and a capital letter."""
-    return (F.length(match) <= 64) & match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
+    """At most 64 characters, and mixed."""
+    return (F.length(match) <= 64) & mixed(match)
 
 
 def rendered(spans: Column, kinds: list[str]) -> Column:
@@ -151,12 +156,12 @@ def linked(text: Column, parts: Column, cells: Column, kind: str, full: bool = F
 def scan_secrets(docs: DataFrame, text: str = "text", full: bool = False) -> DataFrame:
     """Add ``base_spans`` and ``spans``: arrays of (s, k, e), by start and then kind; k counts base kinds, then weak ones.
 
-    ``full`` lets parts that overlap meet, beyond what the SQL does.
+    ``full`` lets parts that overlap meet, and opaque strings be of any length, beyond what the SQL does.
     Columns of these names are replaced; names that begin with two underscores are used in between.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = {"__assign": found(whole, ASSIGN, 0, assign_holds), "__access": found(whole, ACCESS, 1), "__hex": found(whole, HEX, 2)}
-    weak = {"__opaque": found(whole, OPAQUE, 3, opaque_holds), "__identity": found(whole, IDENTITY, 4), "__endpoint": found(whole, ENDPOINT, 5)}
+    weak = {"__opaque": found(whole, OPAQUE, 3, mixed if full else opaque_holds), "__identity": found(whole, IDENTITY, 4), "__endpoint": found(whole, ENDPOINT, 5)}
     out = docs.withColumns(base | weak)
     out = out.withColumn("base_spans", F.array_sort(F.concat(*base))).withColumn("__parts", F.concat("base_spans", *weak))
     ends = F.array_distinct(F.flatten(F.transform("__parts", lambda x: F.array(cell(x["s"]), cell(x["e"])))))
