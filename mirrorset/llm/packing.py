@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,48 +90,90 @@ class Bins:
             self.fill[b] = fill + size
             bisect.insort(by_fill, (self.fill[b], b))
 
-    def improve(self, rounds: int = 4) -> None:
+    def improve(self) -> None:
         """Empty the emptiest bins by steps that raise the sum of squared fills.
 
-        A step puts more into a bin that is at least as full as the source: a move of one item, one of the source's items
-        for a smaller one, one for two that are smaller together, or two for one that is smaller. It ends when a round
-        changes nothing, or when there are as many bins as the items need at least.
+        A step puts more into a bin that is at least as full as the source: a move of one item or two, one of the source's
+        items for a smaller one, one for two that are smaller together, or two for one that is smaller. All items of both
+        bins are looked at. It ends when a round over all underfull bins changes nothing, or when there are as many bins as
+        the items need at least.
         """
         least = -(-sum(self.sizes) // self.capacity)
-        for _ in range(rounds):
-            order = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-            spare = sum(1 for x in self.fill if x) - least
+        used = sum(1 for x in self.fill if x)
+        sets = [self._sums(b) for b in range(len(self.fill))]
+        fill, low = np.array(self.fill, np.int64), np.array([min((self.sizes[i] for i in x), default=0) for x in self.items], np.int64)
+        version = np.zeros(len(fill), np.int64)
+        seen: dict[int, tuple[int, int]] = {}
+        clock, changed = 0, True
+        while changed and used > least:
             changed = False
-            for source in order[: 2 * spare]:
-                for target in order:
-                    if self.items[source] and target != source and self.capacity > self.fill[target] >= self.fill[source]:
-                        changed |= self._step(source, target)
-            if not changed:
-                return
-
-    def _step(self, source: int, target: int) -> bool:
-        room, sizes = self.capacity - self.fill[target], self.sizes
-        best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-        mine, theirs = self.items[source], self.items[target]
-        small = sorted((sizes[j], j) for j in theirs)
-        give = [(sizes[i], (i,)) for i in mine] + [(sizes[i] + sizes[j], (i, j)) for a, i in enumerate(mine[:12]) for j in mine[a + 1 : 12]]
-        pairs = sorted((small[a][0] + small[b][0], (small[a][1], small[b][1])) for a in range(min(12, len(small))) for b in range(a + 1, min(12, len(small))))
-        for size, out in give:
-            if size <= room and size > best[0]:
-                best = (size, out, ())
-            takes = [(s, (j,)) for s, j in small] + (pairs if len(out) == 1 else [])
-            for back, into in takes:
-                if best[0] < size - back <= room:
-                    best = (size - back, out, into)
-        gain, out, into = best
+            open_bins = np.flatnonzero((fill > 0) & (fill < self.capacity))
+            for source in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist():
+                own, at = seen.get(source, (-1, -1))
+                since = at if own == version[source] else -1
+                while fill[source] and used > least:
+                    most = sum(sorted((self.sizes[i] for i in self.items[source]))[-2:])
+                    room = self.capacity - fill
+                    able = (room > 0) & (fill >= fill[source]) & ((low < most) | (room >= low[source])) & (version > since)
+                    able[source] = False
+                    step = next((t for t in np.flatnonzero(able)[np.argsort(fill[able], kind="stable")].tolist() if self._step(source, t, sets)), None)
+                    if step is None:
+                        break
+                    clock += 1
+                    changed, since = True, -1
+                    for b in (source, step):
+                        sets[b], fill[b], version[b] = self._sums(b), self.fill[b], clock
+                        low[b] = min((self.sizes[i] for i in self.items[b]), default=0)
+                    used -= not fill[source]
+                seen[source] = (int(version[source]), clock)
+
+    def _sums(self, b: int) -> tuple[list[int], int, int]:
+        """Sizes in a bin, and the sums of one item and of two as bits of a number."""
+        count = Counter(self.sizes[i] for i in self.items[b])
+        one = sum(1 << s for s in count)
+        two = before = 0
+        for s, n in count.items():
+            two |= (before << s) | ((1 << 2 * s) if n > 1 else 0)
+            before |= 1 << s
+        return sorted(count), one, two
+
+    def _step(self, source: int, target: int, sets: list[tuple[list[int], int, int]]) -> bool:
+        room = self.capacity - self.fill[target]
+        (mine, _, my_pairs), (theirs, one, pairs) = sets[source], sets[target]
+        best = (0, 0, 0, 0)  # gain, sum given, sum taken, 2 where two are given
+        back = 1 | one | pairs
+        for size in mine:
+            least = max(0, size - room)
+            left = back >> least
+            take = least + (left & -left).bit_length() - 1
+            if left and size - take > best[0]:
+                best = (size - take, size, take, 1)
+        for take in (0, *theirs):
+            size = (my_pairs & ((1 << take + room + 1) - 1)).bit_length() - 1
+            if size - take > best[0]:
+                best = (size - take, size, take, 2)
+        gain, size, take, n = best
         if not gain:
             return False
-        self.items[source] = [i for i in mine if i not in out] + list(into)
-        self.items[target] = [i for i in theirs if i not in into] + list(out)
+        out = self._items_of(source, size, n)
+        into = self._items_of(target, take, 1 if one >> take & 1 else 2) if take else []
+        self.items[source] = [i for i in self.items[source] if i not in out] + into
+        self.items[target] = [i for i in self.items[target] if i not in into] + out
         self.fill[source] -= gain
         self.fill[target] += gain
         return True
 
+    def _items_of(self, b: int, size: int, n: int) -> list[int]:
+        """One item of a bin, or two, of this size together."""
+        if n == 1:
+            return [next(i for i in self.items[b] if self.sizes[i] == size)]
+        met: dict[int, int] = {}
+        for i in self.items[b]:
+            if size - self.sizes[i] in met:
+                return [met[size - self.sizes[i]], i]
+            met[self.sizes[i]] = i
+        raise ValueError(size)
+
     def packed(self) -> list[list[int]]:
         return [x for x in self.items if x]
 

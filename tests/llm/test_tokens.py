@@ -1,6 +1,8 @@
 """Token store, packing and pieces against the tokenizer libraries."""
 
+import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -106,6 +108,35 @@ def test_local_search_empties_a_bin():
     assert len(bins.packed()) == math.ceil(30 / 10)
 
 
+def test_local_search_goes_on_until_nothing_changes():
+    rng = random.Random(3)
+    for _ in range(30):
+        sizes = [rng.choice((1, 2, 3, 5, 7, 11, 13)) for _ in range(60)] + [rng.randrange(20, 70) for _ in range(20)]
+        bins = packing.Bins(sizes, 100)
+        order = rng.sample(range(len(sizes)), len(sizes))
+        for i in order:  # next fit, a poor start
+            if not bins.fill or bins.fill[-1] + sizes[i] > 100:
+                bins.items.append([])
+                bins.fill.append(0)
+            bins.items[-1].append(i)
+            bins.fill[-1] += sizes[i]
+        bins.improve()
+        packed = bins.packed()
+        assert sorted(i for b in packed for i in b) == list(range(len(sizes)))
+        assert bins.fill == [sum(sizes[i] for i in b) for b in bins.items] and max(bins.fill) <= 100
+        if len(packed) == -(-sum(sizes) // 100):
+            continue
+        for a in packed:
+            for b in packed:
+                have, other = sum(sizes[i] for i in a), sum(sizes[i] for i in b)
+                if a is b or other < have or other == 100:
+                    continue
+                one, back = [sizes[i] for i in a], [sizes[i] for i in b]
+                two, two_back = [x + y for x, y in itertools.combinations(one, 2)], [x + y for x, y in itertools.combinations(back, 2)]
+                gains = [g - t for g in one for t in [0, *back, *two_back]] + [g - t for g in two for t in [0, *back]]
+                assert not any(0 < g <= 100 - other for g in gains)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return transducer.Transducer(PIECES, kept=50), sentencepiece.SentencePieceProcessor(model_file=PIECES)
