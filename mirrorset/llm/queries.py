@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, jaccard, language, neighbours, packing, secrets, sharding, sketches, suffixes, transducer
-from .staging import new_path, numbered
+from . import codebooks, dialogue, idstore, jaccard, language, neighbours, packing, secrets, sharding, sketches, suffixes, transducer, webpages
+from .staging import new_path, numbered, staged
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -129,6 +129,28 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.piece_digest(transducer.decode_pieces(encoded, model))
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of all usable vectors, by codebooks that four rounds with resident members train."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = codebooks.compressed(vectors)
+    rows = codebooks.with_label_errors(staged(coded, "codes"))
+    return rows.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codebooks.books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after its rows are damaged."""
+    rows, there = dialogue.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return dialogue.repair_conversations(rows, there)
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = webpages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,6 +164,9 @@ QUERIES = {
         op8_packing,
         op9_sharding,
         op10_pieces,
+        op11_codebooks,
+        op12_dialogue_repair,
+        op13_main_text,
     )
 }
 ORACLES: dict[str, str] = {"op4_secrets": secrets.oracle_sql()}
