@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_label
-from .order import bounded_rows, pinned
+from .order import bounded_rows, local_rows, numbered, pinned
 
 INLINE_LABELS = 1_000
 NAME_LETTERS = 14  # letters of a masked name at most, more than a long counts
@@ -35,10 +35,15 @@ def all_labels(
 def label_map(labels: DataFrame) -> DataFrame:
     """``label`` to ``concept A``, ``concept B`` … in label order, past Z as AA, AB …
 
-    The window runs over the distinct labels only, which also have to fit in
-    one system message.
+    Labels are read once where they are few, as those of one system message are; more are
+    numbered by ranges of the label order.
     """
-    i = F.row_number().over(Window.orderBy("label")) - 1
+    names = labels.select("label")
+    few = local_rows(names)
+    if few is not None:
+        placed = few.withColumn("_i", F.row_number().over(Window.orderBy("label")).cast("bigint") - 1)
+    else:
+        placed = numbered(names, ["label"], "_i")
 
     def step(state, _):
         n, name = state["n"], state["name"]
@@ -49,10 +54,9 @@ def label_map(labels: DataFrame) -> DataFrame:
         )
 
     rounds = F.sequence(F.lit(1), F.lit(NAME_LETTERS))
-    numbered = labels.select("label", i.cast("bigint").alias("_i"))
     start = F.struct(F.col("_i").alias("n"), F.lit("").alias("name"))
     name = F.aggregate(rounds, start, step, lambda s: s["name"])
-    return numbered.select("label", F.concat(F.lit("concept "), name).alias("masked"))
+    return placed.select("label", F.concat(F.lit("concept "), name).alias("masked"))
 
 
 def _renamed(label_map_df: DataFrame, column: str, out: str) -> DataFrame:
@@ -119,9 +123,9 @@ def fan_out_targets(
     salts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = phrases.withColumn("_salt", F.pmod(F.xxhash64(*row_keys), F.lit(salts)))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    place = F.row_number().over(Window.orderBy("first_ord", "label")) - 1
-    targets = labels.select(
-        place.alias("target_no"), F.col("label").alias("target_label")
+    placed = numbered(labels.select("first_ord", "label"), ["first_ord", "label"], "_place")
+    targets = placed.select(
+        F.col("_place").cast("int").alias("target_no"), F.col("label").alias("target_label")
     ).withColumn("_salt", F.explode(every))
     return (
         salted.join(targets, "_salt")

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 BUCKET_ROWS = 65_536
 HASH_DIGITS = 4
+#: Ranges an order is cut into at most, and sampled rows a range.
+MAX_RANGES = 1_000
+SAMPLE_ROWS = 20
+#: Values an order may span for each row, so that ranges of even width hold a fair share of rows.
+DENSE_SPAN = 8
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
@@ -97,9 +102,63 @@ def shuffled_rank(
     return ranked.select(*df.columns, out)
 
 
+def range_bounds(df: DataFrame, order: Sequence[str], ranges: int) -> list[Row]:
+    """Values that cut the order into ``ranges`` parts with about as many rows each.
+
+    They are quantiles of a sample: the rows with the smallest hashes of the order, ``SAMPLE_ROWS`` a
+    range. So they do not depend on how the values lie, and are the same whenever they are computed.
+    """
+    if ranges < 2:
+        return []
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(ranges * SAMPLE_ROWS)
+    rows = sample.orderBy(*order).collect()
+    cuts = [rows[i * len(rows) // ranges] for i in range(1, ranges)] if rows else []
+    return list(dict.fromkeys(cuts))
+
+
+def range_of(df: DataFrame, order: Sequence[str], bounds: Sequence[Row]) -> Column:
+    """In which of the ranges a row lies, from 0: a binary search in the bounds."""
+    if not bounds:
+        return F.lit(0).cast("bigint")
+    kinds = [df.schema[c].dataType for c in order]
+
+    def literal(row: Row) -> Column:
+        return F.struct(*(F.lit(x).cast(kind).alias(c) for c, x, kind in zip(order, row, kinds)))
+
+    table, value = F.array(*map(literal, bounds)), F.struct(*order)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        after = F.element_at(table, F.least(middle + 1, F.lit(len(bounds)))) <= value
+        open_ = at["low"] < at["high"]
+        return F.struct(
+            F.when(open_ & after, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(open_ & ~after, middle).otherwise(at["high"]).alias("high"),
+        )
+
+    steps = F.array_repeat(F.lit(0), len(bounds).bit_length())
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(steps, start, halve, lambda at: at["low"].cast("bigint"))
+
+
+def _bucket(df: DataFrame, order: Sequence[str], bucket_rows: int) -> Column:
+    """A number that grows along the order and that about ``bucket_rows`` rows share.
+
+    A dense order of whole numbers has ranges of even width; any other one ranges of even count, at
+    most ``MAX_RANGES``. Both give the same results in the end.
+    """
+    first = order[0]
+    whole = len(order) == 1 and df.schema[first].dataType.typeName() in ("long", "integer", "short", "byte")
+    ends = (F.min(first), F.max(first)) if whole else ()
+    n, *span = df.agg(F.count(F.lit(1)), *ends).first()
+    if whole and (span[0] is None or span[1] - span[0] < DENSE_SPAN * n):
+        return F.floor(F.col(first) / bucket_rows)
+    return range_of(df, order, range_bounds(df, order, min(MAX_RANGES, -(-n // bucket_rows))))
+
+
 def earlier(
     df: DataFrame,
-    ord_col: str,
+    ord_col: str | Sequence[str],
     values: dict[str, tuple[str, Column]],
     keys: Sequence[str] = (),
     bucket_rows: int = BUCKET_ROWS,
@@ -108,13 +167,14 @@ def earlier(
     """Running ``sum`` or ``max`` along ``ord_col``, one window per bucket.
 
     ``values`` maps an output column to ``(how, expression)``. By default the
-    row itself is left out, so the first row gets null. ``ord_col`` is a long,
-    unique per ``keys`` and dense enough that a range of ``bucket_rows`` values
-    holds a fair share of rows. Keys must not be null.
+    row itself is left out, so the first row gets null. ``ord_col`` is a column or several of
+    any type that sorts, unique per ``keys``; its values may be as sparse as times or hashes.
+    Keys must not be null, nor may a single order column.
     """
     keys = list(keys)
+    order = [ord_col] if isinstance(ord_col, str) else list(ord_col)
     how = {"sum": F.sum, "max": F.max}
-    base = df.withColumn("_bucket", F.floor(F.col(ord_col) / bucket_rows))
+    base = df.withColumn("_bucket", _bucket(df, order, bucket_rows))
     for name, (_, expr) in values.items():
         base = base.withColumn(f"_v_{name}", expr)
     # The join below drops null keys; saying so here keeps both uses of the rows
@@ -136,7 +196,7 @@ def earlier(
     )
     inside = (
         Window.partitionBy(*keys, "_bucket")
-        .orderBy(ord_col)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     joined = base.join(offsets, [*keys, "_bucket"])
@@ -153,6 +213,19 @@ def earlier(
     return joined.select(*[c for c in df.columns if c not in values], *values)
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add the 0-based place of every row along ``order``, without gaps: ranges, their counts, places inside."""
+    return earlier(df, order, {out: ("sum", F.lit(1).cast("bigint"))}, bucket_rows=bucket_rows).withColumn(
+        out, F.coalesce(out, F.lit(0).cast("bigint"))
+    )
+
+
+def local_rows(df: DataFrame, max_rows: int = 10_000) -> DataFrame | None:
+    """A small table as a local relation, which no later step computes again; None when it has more rows."""
+    rows = bounded_rows(df, max_rows)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def dense_order(
     df: DataFrame,
     group: str,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_null, let, strip
-from ..operators.order import pinned
+from ..operators.order import earlier, local_rows, pinned
 
 # The CSV dialect (doubled quotes, fields that span lines).
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
@@ -58,8 +58,9 @@ def read_examples(
 def number_rows(df: DataFrame, by_index: bool) -> DataFrame:
     """Dense 0-based ``_ord`` in file order for a DataFrame read from files.
 
-    Rows are counted per file block; the running total over blocks (a small
-    table) gives each block its start.
+    Rows are counted per file block; the running total over blocks gives each
+    block its start. A small table of blocks is sent to all tasks, a larger one is
+    summed by ranges and joined.
     """
     block = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
     if by_index:
@@ -71,17 +72,26 @@ def number_rows(df: DataFrame, by_index: bool) -> DataFrame:
     blocks = placed.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_low")
     )
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "_file", "_block", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
     return (
-        placed.join(pinned(starts, 1_000_000), ["_file", "_block"])
+        placed.join(block_totals(blocks, {"_start": ("sum", F.col("_n"))}).drop("_n"), ["_file", "_block"])
         .withColumn("_ord", F.col("_start") + F.col("_place") - F.col("_low"))
         .drop("_file", "_block", "_place", "_low", "_start")
     )
 
 
+def block_totals(blocks: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Running totals over the blocks before each (0 for the first), broadcast if they are few."""
+    few = local_rows(blocks)
+    order = ["_file", "_block"]
+    if few is None:
+        totals = earlier(blocks, order, values)
+    else:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        sums = {name: F.sum(expr).over(before) for name, (_, expr) in values.items()}
+        totals = pinned(few.withColumns(sums))
+    return totals.withColumns({name: F.coalesce(name, F.lit(0)) for name in values})
+
+
 # Escapes in list text, and private-use characters (which such text never holds
 # itself) that keep them apart while the quotes are matched.
 _ESCAPES = [

@@ -208,3 +208,45 @@ def test_request_ids_keep_keys_apart(spark):
     assert len({row["x"], row["y"], row["z"]}) == 3
 
 
+
+
+def test_sparse_orders_have_even_ranges(spark):
+    """Times, strings and pairs: the running sum is exact and no range holds much more than its share."""
+    rng = random.Random(6)
+    times = rng.sample(range(1_600_000_000_000_000, 1_600_000_000_000_400), 300) + rng.sample(range(10**15, 10**18), 700)
+    rows = [(t, f"name {rng.random()}", rng.choice("ab"), rng.randint(0, 9)) for t in times]
+    df = spark.createDataFrame(rows, "t long, name string, half string, v long").repartition(6)
+    for columns in (["t"], ["name"], ["half", "name"]):
+        places = [["t", "name", "half"].index(c) for c in columns]
+        ordered = sorted(rows, key=lambda r: [r[p] for p in places])
+        want, total = {}, 0
+        for place, r in enumerate(ordered):
+            want[r[0]] = (total or None if place else None, place)
+            total += r[3]
+        out = order.earlier(df, columns, {"s": ("sum", F.col("v"))}, bucket_rows=50)
+        got = order.numbered(out, columns, "n", bucket_rows=50).collect()
+        assert {r["t"]: r["n"] for r in got} == {t: n for t, (_, n) in want.items()}
+        assert all((r["s"] or None) == want[r["t"]][0] for r in got)
+        bounds = order.range_bounds(df, columns, 20)
+        sizes = df.groupBy(order.range_of(df, columns, bounds).alias("b")).count().collect()
+        assert len(sizes) == len(bounds) + 1 == 20 and max(r["count"] for r in sizes) < 150
+
+
+def test_ranges_of_null_and_equal_values(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (1, None), (1, "c"), (2, "a")], "x long, y string")
+    got = order.numbered(df, ["x", "y"], "n", bucket_rows=1).collect()
+    assert {(r["x"], r["y"]): r["n"] for r in got} == {(None, "a"): 0, (None, "b"): 1, (1, None): 2, (1, "c"): 3, (2, "a"): 4}
+    assert order.numbered(df.limit(0), ["x"], "n").count() == 0
+
+
+def test_many_labels_are_numbered_by_ranges(spark, monkeypatch):
+    table = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("label"), F.col("id").alias("first_ord"))
+    few = sorted(map(tuple, labels.label_map(table).collect()))
+    monkeypatch.setattr(labels, "local_rows", lambda df: None)
+    monkeypatch.setattr(labels, "numbered", lambda df, by, out: order.numbered(df, by, out, bucket_rows=100))
+    many = labels.label_map(table)
+    assert sorted(map(tuple, many.collect())) == few
+    monkeypatch.setattr(labels, "INLINE_LABELS", 10)
+    patterns = spark.createDataFrame([(1, 0, "a", ["x"])], "ord long, pair_no int, ori_label string, phrases array<string>")
+    got = labels.fan_out_targets(patterns, table).select("target_no", "target_label").collect()
+    assert [r["target_label"] for r in sorted(got)] == [r["label"] for r in table.orderBy("first_ord", "label").collect()]
