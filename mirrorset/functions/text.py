@@ -108,6 +108,10 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(r"(?U)[^\s\x1C-\x1F]+")), F.lit(0))
 
 
+# Fixed value: estimated tokens of a word.
+TOKENS_A_WORD = 1.3
+
+
 def token_estimate(col: Column) -> Column:
     """About 1.3 tokens a word, rounded down."""
-    return F.floor(word_count(col) * F.lit(1.3))
+    return F.floor(word_count(col) * F.lit(TOKENS_A_WORD))

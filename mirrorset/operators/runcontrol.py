@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.messages import is_quota_error
-from ..functions.text import token_estimate
+from ..functions.text import TOKENS_A_WORD, token_estimate
 from .order import BUCKET_ROWS, earlier
 
 def within_budget(
@@ -45,24 +45,33 @@ def stop_on_failures(
     ord_col: str = "ord",
     error: str = "error",
     bucket_rows: int = BUCKET_ROWS,
+    carried: int = 0,
 ) -> DataFrame:
     """Rows before the run would have stopped.
 
     The run stops at the ``max_consecutive``-th failure in a row, or at a quota
     error; that row and all later ones are left out. ``ord_col`` must be dense.
+    ``carried`` failures in a row came right before the first row.
     """
     calls = results.select(ord_col, error)
     ok = F.when(F.col(error).isNull(), F.col(ord_col))
     walked = earlier(
         calls, ord_col, {"last_ok": ("max", ok)}, bucket_rows=bucket_rows, inclusive=True
     )
-    start = calls.agg((F.min(ord_col) - 1).alias("v")).scalar()
+    start = calls.agg((F.min(ord_col) - 1 - carried).alias("v")).scalar()
     streak = F.col(ord_col) - F.coalesce("last_ok", start)
     stops = walked.filter((streak >= max_consecutive) | is_quota_error(F.col(error)))
     cut = stops.agg(F.min(ord_col).alias("v")).scalar()
     return results.filter(cut.isNull() | (F.col(ord_col) < cut))
 
 
+def streak_after(results: DataFrame, ord_col: str, carried: int = 0, error: str = "error") -> int:
+    """Failures in a row at the end of calls, given how many came right before them."""
+    ok = F.max(F.when(F.col(error).isNull(), F.col(ord_col)))
+    n, last, last_ok = results.agg(F.count(F.lit(1)), F.max(ord_col), ok).first()
+    return carried + n if last_ok is None else last - last_ok
+
+
 def apply_failure_default(df: DataFrame, stage: str, error: str = "error") -> DataFrame:
     """What a stage stores for a failed call, or the rows without it.
 
@@ -100,11 +109,12 @@ def resume_merge(done: DataFrame, new: DataFrame) -> DataFrame:
     return one_answer(both, "_run")
 
 
-def one_answer(answers: DataFrame, run: str) -> DataFrame:
+def one_answer(answers: DataFrame, run: str, keep_run: bool = False) -> DataFrame:
     """One answer per request out of several runs; the text breaks the last tie."""
     order = F.struct(F.col("error").isNotNull(), F.col(run), F.col("text"), F.col("error"))
-    best = F.min_by(F.struct("text", "error"), order).alias("_best")
-    return answers.groupBy("request_id").agg(best).select("request_id", "_best.text", "_best.error")
+    kept = ["text", "error", *([run] if keep_run else [])]
+    best = F.min_by(F.struct(*kept), order).alias("_best")
+    return answers.groupBy("request_id").agg(best).select("request_id", *(f"_best.{c}" for c in kept))
 
 
 def error_classes(results: DataFrame, error: str = "error", keys: Sequence[str] = ()) -> DataFrame:
@@ -123,6 +133,11 @@ def call_tokens(messages: Column, reply: Column) -> Column:
     return token_estimate(F.concat(prompt, F.coalesce(reply, F.lit(""))))
 
 
+def longest_reply(max_tokens: Column) -> Column:
+    """Estimated tokens that a reply of the greatest length adds to its call at most."""
+    return F.ceil(max_tokens * TOKENS_A_WORD) + 1
+
+
 def token_usage(calls: DataFrame, tokens: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Calls and tokens per key; over the whole run without keys."""
     return calls.groupBy(*keys).agg(

@@ -52,29 +52,6 @@ def find_patterns(
     return run.save(matching.match_sentences(parse_pattern_replies(answered)), "patterns")
 
 
-def plan_candidates(
-    patterns: DataFrame,
-    labels: DataFrame,
-    token_limit: int | None = None,
-    ord_col: str = "ord",
-) -> DataFrame:
-    """Candidate requests within the token budget, estimated from the prompts.
-
-    Examples within the budget are the first ones in order, so a bound on the
-    order keeps them, and the texts need no join.
-    """
-    asked = requests.candidate_requests(fan_out_targets(patterns, labels))
-    if token_limit is None:
-        return asked
-    calls = asked.select(
-        ord_col, runcontrol.call_tokens(F.col("messages"), F.lit("")).alias("tokens")
-    )
-    kept = runcontrol.within_budget(calls, limit=token_limit, example=ord_col)
-    last = kept.agg(F.max(ord_col).alias("last")).scalar()
-    within = patterns.filter(F.col(ord_col) <= last)
-    return requests.candidate_requests(fan_out_targets(within, labels))
-
-
 def candidate_rows(answered: DataFrame) -> DataFrame:
     kept = runcontrol.apply_failure_default(answered, "candidates")
     parsed = kept.withColumn("candidate_phrases", parse_candidates(F.col("text")))
@@ -91,13 +68,17 @@ def find_candidates(
 ) -> DataFrame:
     """Candidate phrases of every pattern row, phrase and other label.
 
-    With ``token_limit`` the stage ``budget`` says how many examples it keeps and leaves out.
+    With ``token_limit`` examples are asked in order while the prompts and replies of this run cost no more; a
+    later run goes on from there. The stage ``budget`` says how many examples were asked and how many are left out.
     """
     labels = run.save(label_domain(examples, exclude), "labels")
-    planned = plan_candidates(patterns, labels, token_limit)
-    if token_limit is not None:
-        run.save(runcontrol.left_out(patterns, planned.select("ord").distinct()), "budget")
-    return run.save(candidate_rows(run.answers(planned, "candidates", retry_failed)), "candidates")
+    asked = requests.candidate_requests(fan_out_targets(patterns, labels))
+    if token_limit is None:
+        answered = run.answers(asked, "candidates", retry_failed)
+    else:
+        answered = run.answers_within(asked, "candidates", token_limit, retry_failed=retry_failed)
+        run.save(runcontrol.left_out(patterns, answered.select("ord").distinct()), "budget")
+    return run.save(candidate_rows(answered), "candidates")
 
 
 def counterfactual_rows(answered: DataFrame) -> DataFrame:

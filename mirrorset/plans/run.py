@@ -8,24 +8,44 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import token_estimate
 from ..operators.model import Client, apply_model, join_responses
-from ..operators.order import dense_order
+from ..operators.order import earlier, numbered
 from ..operators.requests import PARAMS, content_ids, request_params
-from ..operators.runcontrol import pending, stop_on_failures
+from ..operators.runcontrol import call_tokens, longest_reply, pending, stop_on_failures, streak_after, within_budget
 from ..sources import stages
+from ..sources.answers import AnswerStore
 
 
-# Jobs of a stage that stops on failures, at least.
-STOP_CHUNKS = 16
+# Calls of the first window of a stage that stops on failures, and of a window at most. Each one is
+# as long as all before it, so calls past a stop are no more than those before it.
+FIRST_WINDOW = 32
+LARGEST_WINDOW = 65_536
 
 # Requests and their stage to (request_id, text, error) rows. Scoring requests hold a query in
 # place of messages, and the contexts (seed, shots, messages) come as a third argument.
 Responder = Callable[..., DataFrame]
 
 
+@dataclass(frozen=True)
+class ClientResponder:
+    """Answer requests by a Python callable, ``partitions`` callers at a time.
+
+    Its tasks log their answers as they come, see ``sources.answers``.
+    """
+
+    make_client: Callable[[], Client]
+    partitions: int | None = None
+    flush_calls: int = 50
+    flush_seconds: float = 10.0
+
+    def __call__(self, requests: DataFrame, stage: str, contexts: DataFrame | None = None, store: AnswerStore | None = None) -> DataFrame:
+        log = store.log(self.flush_calls, self.flush_seconds) if store else None
+        return apply_model(requests, self.make_client, self.partitions, contexts, log)
+
+
 def client_responder(make_client: Callable[[], Client], partitions: int | None = None) -> Responder:
-    """Answer requests by a Python callable, ``partitions`` callers at a time."""
-    return lambda requests, stage, contexts=None: apply_model(requests, make_client, partitions, contexts)
+    return ClientResponder(make_client, partitions)
 
 
 @dataclass(frozen=True)
@@ -35,8 +55,8 @@ class Run:
     ``respond`` is the model step: :func:`client_responder`, or any function that
     looks answers up, such as in the result table of a batch-inference job.
     ``chunks`` cuts each model step into that many jobs of even size, so that a
-    run that dies keeps the answers of the jobs before. A stage whose failures stop
-    it takes at least ``STOP_CHUNKS``, as its requests go out in input order.
+    run whose responder keeps no log has the answers of the jobs before when it dies.
+    ``buckets`` is how many buckets new answer stores have, by default as many as shuffles have partitions.
     """
 
     spark: SparkSession
@@ -47,6 +67,7 @@ class Run:
     seed: int = 42
     attempt: int = 0
     chunks: int = 1
+    buckets: int | None = None
 
     def save(self, df: DataFrame, stage: str) -> DataFrame:
         """Write a stage and read it back, so later steps never recompute it."""
@@ -59,16 +80,31 @@ class Run:
     def has(self, stage: str) -> bool:
         return stages.has_stage(self.spark, self.root, stage, self.seed, self.model, self.dataset)
 
-    def _log(self, stage: str) -> str:
-        return f"answers_{stage}_{self.seed}_{stages.slug_name(self.model)}_{stages.slug_name(self.dataset)}"
+    def store(self, stage: str) -> AnswerStore:
+        """The stored answers of a stage."""
+        name = f"answers_{stage}_{self.seed}_{stages.slug_name(self.model)}_{stages.slug_name(self.dataset)}"
+        return AnswerStore(self.spark, f"{self.root.rstrip('/')}/{name}", self.buckets)
 
     def _keyed(self, requests: DataFrame, stage: str) -> DataFrame:
         return content_ids(request_params(requests, stage, self.model))
 
-    def _todo(self, keyed: DataFrame, stage: str, retry_failed: bool) -> DataFrame:
-        if not stages.has_results(self.spark, self.root, self._log(stage)):
-            return keyed
-        return pending(keyed, stages.read_results(self.spark, self.root, self._log(stage)), retry_failed)
+    def _todo(self, keyed: DataFrame, store: AnswerStore, retry_failed: bool) -> DataFrame:
+        """Requests without an answer; what tasks of a lost run have logged counts as answered."""
+        store.recover(self.attempt)
+        return pending(keyed, store.read(), retry_failed) if store.exists() else keyed
+
+    def _ask(self, asked: DataFrame, stage: str, store: AnswerStore, *told: DataFrame) -> DataFrame:
+        logged = {"store": store} if isinstance(self.respond, ClientResponder) else {}
+        return self.respond(asked, stage, *told, **logged)
+
+    def _stored(self, asked: DataFrame, store: AnswerStore) -> None:
+        """Add answers to the store; then the log of the tasks that gave them is no longer needed."""
+        store.append(asked, self.attempt)
+        store.drop_log()
+
+    def _joined(self, keyed: DataFrame, store: AnswerStore) -> DataFrame:
+        store.compact()
+        return join_responses(keyed.drop("messages", *PARAMS), store.read())
 
     def answers(
         self, requests: DataFrame, stage: str, retry_failed: bool = False, contexts: DataFrame | None = None
@@ -76,47 +112,98 @@ class Run:
         """Requests with stored answers; only requests without one reach the model.
 
         Ids depend on the messages and settings, so answers to other texts or prompts
-        are never taken. The answers are appended to a progress table and read back
-        from it, so a run that was cut short goes on where the table ends.
+        are never taken. The answers are added to the stage's store and read back
+        from it, so a run that was cut short goes on where the store ends.
         """
-        keyed = self._keyed(requests, stage)
-        asked = self._todo(keyed, stage, retry_failed)
+        keyed, store = self._keyed(requests, stage), self.store(stage)
+        asked = self._todo(keyed, store, retry_failed)
         told = () if contexts is None else (contexts,)
         chunk = F.pmod(F.xxhash64("request_id"), F.lit(self.chunks))
         for number in range(self.chunks):
             part = asked if self.chunks == 1 else asked.filter(chunk == number)
-            stages.append_results(self.respond(part, stage, *told), self.root, self._log(stage), self.attempt)
-        stored = stages.read_results(self.spark, self.root, self._log(stage))
-        return join_responses(keyed.drop("messages", *PARAMS), stored)
+            self._stored(self._ask(part, stage, store, *told), store)
+        return self._joined(keyed, store)
 
     def answers_until(
         self, requests: DataFrame, stage: str, max_consecutive: int, place: str, retry_failed: bool = False
     ) -> DataFrame:
         """Like :meth:`answers`, in order of ``place`` (dense, from 0), until calls fail too often in a row.
 
-        Requests go out in chunks of the order. The stage stops at the ``max_consecutive``-th failure
-        in a row of this run, or at a quota error: that call and later ones are not stored, so the
-        next run asks them again and goes on. Only rows with a stored answer are returned.
+        Requests go out in windows of the order, each as long as all before it. The failures in a row at
+        the end of a window are carried to the next one, so each answer is looked at once. The stage stops
+        at the ``max_consecutive``-th failure in a row of this run, or at a quota error: that call and later
+        ones are not stored, so the next run asks them again and goes on. As a caller does that is started
+        again, a run counts from none. Only rows with a stored answer are returned.
+        """
+        keyed, store = self._keyed(requests, stage), self.store(stage)
+        # numbered anew: places of this run's calls alone, so that a streak has no gaps
+        todo = numbered(self._todo(keyed, store, retry_failed), [place], "_call").drop(place)
+        asked = self.save(todo.repartitionByRange("_call").sortWithinPartitions("_call"), f"asked_{stage}")
+        calls, streak, start = asked.count(), 0, 0
+        size = FIRST_WINDOW
+        while start < calls:
+            window = asked.filter(F.col("_call").between(start, start + size - 1))
+            said = self._ask(window.drop("_call"), stage, store).join(window.select("request_id", "_call"), "request_id")
+            said = self.save(said, f"said_{stage}")
+            kept = stop_on_failures(said, max_consecutive, "_call", carried=streak)
+            self._stored(kept, store)
+            if kept.count() < min(size, calls - start):
+                break
+            streak = streak_after(said, "_call", streak)
+            start += size
+            size = min(start, LARGEST_WINDOW)
+        if not store.exists():
+            return self._joined(keyed.limit(0), store)
+        return self._joined(keyed.join(store.read().select("request_id"), "request_id", "left_semi"), store)
+
+    def answers_within(
+        self, requests: DataFrame, stage: str, limit: int, example: str = "ord", retry_failed: bool = False
+    ) -> DataFrame:
+        """Like :meth:`answers`, example by example in order, until prompts and replies cost more than ``limit``.
+
+        An example is asked, with all its requests, if the calls of this run before it cost ``limit`` tokens at
+        most; failed calls cost nothing. Replies are known only afterwards, so examples go out in waves: those
+        that the budget reaches if every reply has the greatest length that the settings allow, or later twice
+        that of the longest reply so far. The tokens that a wave really took are carried to the next one, and
+        waves shrink as the budget does. Should replies outgrow a wave, examples past the limit are left out
+        here; their answers are stored, so the next run takes them without another call. Only rows with
+        a stored answer are returned.
         """
-        keyed = self._keyed(requests, stage)
-        todo = self.save(self._todo(keyed, stage, retry_failed).select("request_id", place), f"todo_{stage}")
-        bounds = todo.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
-        chunks = max(self.chunks, STOP_CHUNKS)
-        if bounds["low"] is not None:
-            # numbered anew: places of this run's calls alone, so that a streak has no gaps
-            numbered = dense_order(todo, place, ["request_id"], "_call")
-            size = -(-(bounds["high"] - bounds["low"] + 1) // chunks)
-            walked = None
-            for start in range(bounds["low"], bounds["high"] + 1, size):
-                calls = numbered.filter(F.col(place).between(start, start + size - 1)).drop(place)
-                part = self.respond(keyed.join(calls.select("request_id"), "request_id", "left_semi"), stage)
-                said = self.save(part.join(calls, "request_id"), f"said_{stage}_{start}")
-                walked = said if walked is None else walked.unionByName(said)
-                kept = stop_on_failures(walked.select("request_id", "error", "_call"), max_consecutive, "_call")
-                within = said.join(kept.select("request_id"), "request_id", "left_semi")
-                stages.append_results(within, self.root, self._log(stage), self.attempt)
-                if kept.count() < walked.count():
-                    break
-        stored = stages.read_results(self.spark, self.root, self._log(stage))
-        answered = keyed.drop("messages", *PARAMS).join(stored.select("request_id"), "request_id", "left_semi")
-        return join_responses(answered, stored)
+        keyed, store = self._keyed(requests, stage), self.store(stage)
+        todo = self._todo(keyed, store, retry_failed)
+        prompt, reply = call_tokens(F.col("messages"), F.lit("")), token_estimate(F.coalesce("text", F.lit("")))
+        each = todo.groupBy(example).agg(
+            F.sum(prompt).alias("tokens"), F.count(F.lit(1)).alias("calls"), F.max(longest_reply(F.col("max_tokens"))).alias("longest")
+        )
+        sums = {f"{c}_before": ("sum", F.col(c)) for c in ("tokens", "calls")}
+        costs = self.save(earlier(each, example, sums).na.fill(0), f"costs_{stage}")
+        longest = costs.agg(F.max("longest")).first()[0] or 0
+        spent, asked_until, tokens, calls, beyond = 0, None, 0, 0, None
+        while spent <= limit:
+            left = costs if asked_until is None else costs.filter(F.col(example) > asked_until)
+            most = F.col("tokens_before") - tokens + (F.col("calls_before") - calls) * longest
+            after = F.max(F.struct(example, F.col("tokens_before") + F.col("tokens"), F.col("calls_before") + F.col("calls")))
+            reached = left.filter(most <= limit - spent).agg(after.alias("v")).first()["v"]
+            if reached is None:
+                break
+            new = F.col(example) <= reached[0]
+            new = new if asked_until is None else new & (F.col(example) > asked_until)
+            wave = self.save(todo.filter(new), f"asked_{stage}")
+            said = self.save(self._ask(wave, stage, store), f"said_{stage}")
+            self._stored(said, store)
+            paid = wave.join(said.filter("error IS NULL").select("request_id", "text"), "request_id").select(
+                example, call_tokens(F.col("messages"), F.col("text")).alias("tokens"), reply.alias("reply")
+            )
+            took, reply_most = paid.agg(F.sum("tokens"), F.max("reply")).first()
+            if spent + (took or 0) > limit:
+                past = within_budget(paid, limit=limit - spent, example=example).agg(F.max(example)).first()[0]
+                beyond = wave.filter(F.col(example) > past).select("request_id")
+            spent += took or 0
+            longest = min(longest, 2 * (reply_most or 0) + 8)
+            asked_until, tokens, calls = reached
+        if not store.exists():
+            return self._joined(keyed.limit(0), store)
+        answered = keyed.join(store.read().select("request_id"), "request_id", "left_semi")
+        if beyond is not None:
+            answered = answered.join(beyond, "request_id", "left_anti")
+        return self._joined(answered, store)

@@ -1,37 +1,17 @@
-"""Stage tables: parquet partitioned by run, written once and read back by key."""
+"""Stage tables: parquet by run, in versions that readers see once they are whole, and answers by request."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.runcontrol import one_answer
+from . import folders
+from .answers import AnswerStore
+from .folders import shared_folder  # noqa: F401
 
 # Partition columns; prefixed, as tables of scores have a seed column of their own.
 RUN = ("run_seed", "run_model", "run_dataset")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Where that is unset, a local master, whose executors are the driver, gets a folder
-    that goes when Python ends; any other master gets an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="mirrorset-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/mirrorset-{uuid.uuid4().hex}"
-
-
 def _path(root: str, stage: str) -> str:
     return f"{root.rstrip('/')}/{stage}"
 
@@ -49,54 +29,55 @@ def _run_path(root: str, stage: str, seed: int, model: str, dataset: str) -> str
 def write_stage(df: DataFrame, root: str, stage: str, seed: int, model: str, dataset: str) -> None:
     """Replace one run of a stage; other runs of the table stay.
 
-    The run is written to its partition folder as a whole, so an empty result
-    keeps its schema and leaves no older rows behind.
+    The run is written as a new version. Until its write has come to an end, readers get the
+    version before, also when the write fails; so a run may be made out of its own last version.
+    An empty result keeps its schema. The version before the last is deleted.
     """
-    df.write.mode("overwrite").parquet(_run_path(root, stage, seed, model, dataset))
+    spark, path = df.sparkSession, _run_path(root, stage, seed, model, dataset)
+    number = folders.next_version(spark, path)
+    df.write.parquet(folders.version_path(path, number))
+    folders.drop_older(spark, path, number)
 
 
 def read_stage(
     spark: SparkSession, root: str, stage: str, seed: int, model: str, dataset: str
 ) -> DataFrame:
     """One run of a stage table; fails when that run was never written."""
-    return spark.read.parquet(_run_path(root, stage, seed, model, dataset))
+    path = _run_path(root, stage, seed, model, dataset)
+    number = folders.current_version(spark, path)
+    return spark.read.parquet(folders.version_path(path, number) if number else path)
 
 
 def read_runs(spark: SparkSession, root: str, stage: str) -> DataFrame:
     """All runs of a stage, told apart by the partition columns in ``RUN``."""
-    return spark.read.parquet(_path(root, stage))
+    runs = [_path(root, stage)]
+    for column in RUN:
+        runs = [f"{run}/{name}" for run in runs for name in folders.names_in(spark, run) if name.startswith(f"{column}=")]
+    found = [(run, folders.current_version(spark, run)) for run in runs]
+    whole = [folders.version_path(run, number) for run, number in found if number]
+    return spark.read.option("basePath", _path(root, stage)).parquet(*whole).drop("v")
 
 
 def has_stage(spark: SparkSession, root: str, stage: str, seed: int, model: str, dataset: str) -> bool:
     """Whether a run of a stage was written to its end."""
-    return _finished(spark, _run_path(root, stage, seed, model, dataset))
+    return folders.current_version(spark, _run_path(root, stage, seed, model, dataset)) is not None
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    """Whether a write to the folder came to its end, by the mark that it leaves."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+def answer_store(spark: SparkSession, root: str, stage: str) -> AnswerStore:
+    """The stored answers of a stage."""
+    return AnswerStore(spark, _path(root, stage))
 
 
 def append_results(answers: DataFrame, root: str, stage: str, run: int = 0) -> None:
     """Add answers to a progress table; earlier ones are never rewritten."""
-    answers.select("request_id", "text", "error", F.lit(run).alias("run")).write.mode(
-        "append"
-    ).parquet(_path(root, stage))
+    answer_store(answers.sparkSession, root, stage).append(answers, run)
 
 
 def has_results(spark: SparkSession, root: str, stage: str) -> bool:
     """Whether answers were appended; folders without a finished append count as none."""
-    return _finished(spark, _path(root, stage))
+    return answer_store(spark, root, stage).exists()
 
 
 def read_results(spark: SparkSession, root: str, stage: str) -> DataFrame:
-    """Stored answers, one per request however often it was written.
-
-    Texts are grouped only if some request has several answers; that is found out from the ids alone.
-    """
-    stored = spark.read.parquet(_path(root, stage))
-    several = stored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return one_answer(stored, "run") if several.take(1) else stored.select("request_id", "text", "error")
-
-
+    """Stored answers, one per request however often it was written."""
+    return answer_store(spark, root, stage).read()

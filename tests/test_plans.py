@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from mirrorset.operators import model, runcontrol
 from mirrorset.plans import augmentation, scoring
 from mirrorset.plans.run import Run, client_responder
 
@@ -115,7 +117,7 @@ def test_cut_run_goes_on_by_key(setup, spark, tmp_path):
     stages.append_results(some, cut.root, "answers_generation_42_m_d")
     got = sorted((r["request_id"], r["text"], r["error"]) for r in cut.answers(asked, "generation").collect())
     assert got == want and len(got) == 10
-    assert spark.read.parquet(f"{cut.root}/answers_generation_42_m_d").count() == 10
+    assert cut.store("generation").log_rows().count() == 10
 
 
 def test_generation_stops_where_a_caller_would(setup, spark, tmp_path):
@@ -153,18 +155,49 @@ def test_failed_calls_are_asked_again_on_demand(setup):
     assert sum(r["text"] == "fixed" for r in rows) == 1 and all(r["error"] is None for r in rows)
 
 
-def test_token_budget_limits_the_plan(setup, spark):
+def test_budget_counts_prompts_and_replies(setup, spark, tmp_path):
+    """Waves end where a caller would that adds up each call's prompt and reply, example by example."""
     run, examples, _ = setup
-    from pyspark.sql import functions as F
+    patterns = run.load("patterns")
+    whole = augmentation.requests.candidate_requests(
+        augmentation.fan_out_targets(patterns, augmentation.label_domain(examples))
+    )
+    replies = whole.withColumn("text", F.concat(F.lit("alpha, beta"), F.repeat(F.lit(" word"), F.col("ord").cast("int") * 40)))
+    cost = runcontrol.call_tokens(F.col("messages"), F.col("text"))
+    each = sorted((r["ord"], r["n"]) for r in replies.groupBy("ord").agg(F.sum(cost).alias("n")).collect())
+
+    def respond(asked, stage):
+        return asked.join(replies.select("ord", "phrase_no", "target_label", "text"), ["ord", "phrase_no", "target_label"]).select(
+            "request_id", "text", F.lit(None).cast("string").alias("error")
+        )
+
+    for number, limit in enumerate((0, each[0][1], each[0][1] + 1, sum(n for _, n in each) - 1, 10**9)):
+        spent, want = 0, []
+        for ord_, n in each:
+            if spent <= limit:
+                want.append(ord_)
+                spent += n
+        fresh = Run(spark, str(tmp_path / str(number)), "m", "d", respond)
+        got = augmentation.find_candidates(fresh, patterns, examples, token_limit=limit)
+        assert sorted(r["ord"] for r in got.select("ord").distinct().collect()) == want
+        assert fresh.load("budget").first()["n_kept"] == len(want)
+
+
+def test_client_is_told_what_it_takes(spark):
+    asked = spark.createDataFrame([("r",)], "request_id string").withColumn(
+        "messages", F.array(F.struct(F.lit("user").alias("role"), F.lit("q").alias("content")))
+    )
+    asked = augmentation.requests.request_params(asked, "generation", "gpt-5-nano")
 
-    from mirrorset.operators.labels import label_domain
+    def short():
+        return lambda messages, max_tokens: f"{max_tokens}"
 
-    patterns = run.load("patterns")
-    domain = label_domain(examples)
-    ids = [r["ord"] for r in augmentation.plan_candidates(patterns, domain, 1).select("ord").distinct().collect()]
-    assert ids == [0]
-    assert augmentation.plan_candidates(patterns, domain, 10**6).count() == 10
-    assert augmentation.plan_candidates(patterns, domain).agg(F.count_distinct("request_id")).first()[0] == 10
+    def full():
+        return lambda messages, **settings: str(sorted(settings.items()))
+
+    assert model.apply_model(asked, short).first()["text"] == "1024"
+    told = model.apply_model(asked, full).first()["text"]
+    assert "('reasoning_effort', 'low')" in told and "('token_field', 'max_completion_tokens')" in told
 
 
 def test_scores(setup, spark):

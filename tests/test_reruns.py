@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mirrorset.operators import evaluation, labels, model
 from mirrorset.plans import augmentation, scoring
+from mirrorset.plans import run as run_module
 from mirrorset.plans.run import Run, client_responder
 
 from test_plans import TEXTS, talking_client
@@ -93,7 +94,7 @@ def test_a_stopped_stage_goes_on(spark, tmp_path, candidates):
     made = augmentation.generate(ill, candidates, max_consecutive=3)
     rows = {r["ori_text"]: r["counterfactual"] for r in made.collect()}
     assert rows == {f"text {i}": "" if i in (21, 22) else "fine" for i in range(23)}
-    assert ill.spark.read.parquet(f"{tmp_path}/answers_generation_42_m_d").count() == 23
+    assert ill.store("generation").log_rows().count() == 23
     well = Run(spark, str(tmp_path), "m", "d", client_responder(plain_client()), attempt=1)
     rows = {r["ori_text"]: r["counterfactual"] for r in augmentation.generate(well, candidates, 3).collect()}
     assert rows == {f"text {i}": "" if i in (21, 22) else "fine" for i in range(40)}
@@ -101,11 +102,24 @@ def test_a_stopped_stage_goes_on(spark, tmp_path, candidates):
     assert Counter(r["counterfactual"] for r in rows) == {"fine": 40}
 
 
-def test_nothing_is_sent_after_the_cut(spark, tmp_path, candidates):
-    run = Run(spark, str(tmp_path), "m", "d", client_responder(plain_client("text 0", "text 1", "text 2", "text 3")))
-    augmentation.generate(run, candidates, max_consecutive=2)
-    said = [p.name for p in tmp_path.iterdir() if p.name.startswith("said_")]
-    assert said == ["said_generation_0"]
+def test_calls_past_a_stop_are_bounded(spark, tmp_path, candidates, monkeypatch):
+    """Windows double, and a streak that goes on in the next window is seen."""
+    sent = []
+    monkeypatch.setattr(run_module, "FIRST_WINDOW", 2)
+    monkeypatch.setattr(run_module, "LARGEST_WINDOW", 8)
+    failing = {f"text {i}" for i in (0, 4, 5, 7, 14, 15, 16, 17)}
+
+    def respond(asked, stage):
+        rows = asked.select("request_id", "ori_text").collect()
+        sent.append(len(rows))
+        told = [(r["request_id"], None, "timeout") if r["ori_text"] in failing else (r["request_id"], "fine", None) for r in rows]
+        return spark.createDataFrame(told, "request_id string, text string, error string")
+
+    run = Run(spark, str(tmp_path), "m", "d", respond)
+    made = augmentation.generate(run, candidates, max_consecutive=3)
+    assert sent == [2, 2, 4, 8, 8] and made.count() == 16
+    failing.clear()
+    assert augmentation.generate(run, candidates, max_consecutive=3).count() == 40
 
 
 def test_repeated_ids_keep_their_own_texts(spark, tmp_path):
