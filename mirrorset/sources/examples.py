@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_null, let, strip
 from ..operators.order import earlier, local_rows, pinned
+from .csvblocks import CSV_OPTIONS, read_csv
 
-# The CSV dialect (doubled quotes, fields that span lines).
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+def _is_csv(path: str) -> bool:
+    return path.rstrip("/").endswith((".csv", ".csv.gz"))
 
 
 def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV file in the dialect above (by suffix), else parquet.
+    """A CSV file in this library's dialect (by suffix), else parquet.
 
-    Without ``multi_line`` fields must not span lines, and large CSV files are split.
+    Large CSV files are split, also where fields span lines. Without ``multi_line``
+    they must not, and Spark's own reader does the splitting.
     """
-    if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        return spark.read.options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
+    if _is_csv(path):
+        if multi_line:
+            return read_csv(spark, path).drop("_ord")
+        return spark.read.options(**CSV_OPTIONS).csv(path)
     return spark.read.parquet(path)
 
 
@@ -34,15 +38,16 @@ def read_examples(
     """``(id, text, label, ord)`` out of a file whose columns have other names.
 
     ``ord`` names a source column with the row order. Without one, rows are
-    numbered from 0 in file order: by row index for parquet, by task order
-    inside each file block for CSV.
+    numbered from 0 in file order: by row index for parquet, by records of each
+    file block for CSV.
     """
-    df = read_table(spark, path, multi_line)
+    by_blocks = _is_csv(path) and multi_line
+    df = read_csv(spark, path) if by_blocks else read_table(spark, path, multi_line)
     missing = [c for c in (id, text, label) if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     if ord is None:
-        df, ord = number_rows(df, by_index="csv" not in path.rsplit(".", 2)[-2:]), "_ord"
+        df, ord = df if by_blocks else number_rows(df, by_index=not _is_csv(path)), "_ord"
 
     def role(name: str) -> Column:
         return canonical_null(F.col(name).cast("string"))

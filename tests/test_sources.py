@@ -1,10 +1,13 @@
 """File scans, list text, stage tables."""
 
+import csv
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from mirrorset.sources import examples, stages
+from mirrorset.sources import csvblocks, examples, stages
 
 
 def test_csv_dialect_roles_and_order(spark, tmp_path):
@@ -105,3 +108,46 @@ def test_candidate_lists_that_do_not_parse_stay_one_phrase(spark):
     rows = spark.createDataFrame([(1, "['a', \"it's\"]"), (2, "plain words"), (3, None)], "i int, candidate_phrases string")
     got = {r["i"]: r["candidate_phrases"] for r in import_candidates(rows).collect()}
     assert got == {1: ["a", "it's"], 2: ["plain words"], 3: None}
+
+
+@pytest.fixture
+def small_blocks(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("line_break", ["\n", "\r\n"])
+def test_csv_fields_across_block_ends(spark, tmp_path, small_blocks, monkeypatch, line_break):
+    """Blocks of 300 bytes, fields of up to several blocks: the rows are those of Spark's scan of whole files."""
+    rng = random.Random(2)
+
+    def field():
+        bits = ["a", "b c", line_break, '"', ",", line_break * 2, "é", "word " * 5]
+        return "".join(rng.choice(bits) for _ in range(rng.randint(0, rng.choice([3, 60]))))
+
+    rows = [(f"{f}-{i}", field(), rng.choice(["", "p", field()])) for f in range(2) for i in range(60)]
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", "w", newline="") as out:
+            made = csv.writer(out, lineterminator=line_break)
+            made.writerows([["id", 'x"y', "z"], *rows[f * 60 : f * 60 + 60]])
+            out.write(line_break * 2 if f else "")
+    whole = spark.read.options(**csvblocks.CSV_OPTIONS, multiLine=True).csv(str(tmp_path))
+    want = sorted(map(str, whole.collect()))
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 10
+    for few in (csvblocks.local_rows, lambda df: None):
+        monkeypatch.setattr(csvblocks, "local_rows", few)
+        got = sorted(csvblocks.read_csv(spark, str(tmp_path)).collect(), key=lambda r: r["_ord"])
+        assert [r["_ord"] for r in got] == list(range(120)) and [r["id"] for r in got] == [r[0] for r in rows]
+        assert sorted(str(r) for r in spark.createDataFrame([tuple(r)[:-1] for r in got], whole.schema).collect()) == want
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n")
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv").write_text('\nid,text\n"1",\n2,"no break at the end"')
+    got = csvblocks.read_csv(spark, str(tmp_path)).orderBy("_ord").collect()
+    assert [tuple(r) for r in got] == [("1", None, 0), ("2", "no break at the end", 1)]
