@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     sample_queries,
     scan_queries,
     score_queries,
+    run_queries,  # after the others: some of its SQL is made from theirs
 )
 from .registry import ORACLES, QUERIES
 

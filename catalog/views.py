@@ -45,7 +45,13 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-view("examples", "SELECT CAST(doc_id AS VARCHAR) AS id, text, lang AS label, doc_id AS ord FROM documents")
+_ID_SQL = "CAST(doc_id AS VARCHAR) AS id"
+view("examples", f"SELECT {_ID_SQL}, text, lang AS label, doc_id AS ord FROM documents")
+
+
+def with_repeated_ids(sql: str, ids: int) -> str:
+    """A query's SQL over examples that share ``ids`` ids."""
+    return sql.replace(_ID_SQL, f"CAST(doc_id % {ids} AS VARCHAR) AS id")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ view(
     "batched",
     f"""
     SELECT *, (rn - 1) // 20 AS batch_no, (rn - 1) % 20 AS pos FROM (
-      SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', '{SEED}', id)), id) AS rn
+      SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', '{SEED}', id)), id, ord) AS rn
       FROM sentences)
     """,
     "sentences",
@@ -265,9 +271,9 @@ def normalize_sql(text: str) -> str:
 view(
     "matched",
     f"""
-    SELECT label, batch_no, strategy, pair_no, phrases, id, ori_text, tier FROM (
+    SELECT label, batch_no, strategy, pair_no, phrases, id, ori_text, ord, tier FROM (
       SELECT *, row_number() OVER (PARTITION BY label, batch_no, pair_no ORDER BY tier, pos) AS place FROM (
-        SELECT p.label, p.batch_no, p.strategy, p.pair_no, p.phrases, b.id, b.text AS ori_text, b.pos,
+        SELECT p.label, p.batch_no, p.strategy, p.pair_no, p.phrases, b.id, b.text AS ori_text, b.ord, b.pos,
           CASE WHEN p.sentence = b.text THEN 0
                WHEN p.norm = b.norm OR (length(p.norm) >= 20 AND (starts_with(b.norm, p.norm) OR starts_with(p.norm, b.norm)))
                THEN 1 END AS tier
@@ -459,8 +465,8 @@ def define_chain(prefix: str, patterns_view: str) -> None:
 define_chain("", "patterns")
 view(
     "run_patterns",
-    "SELECT m.id, m.pair_no, m.ori_text, m.label AS ori_label, m.phrases, e.ord FROM matched m JOIN examples e ON e.id = m.id",
-    "matched examples",
+    "SELECT id, pair_no, ori_text, label AS ori_label, phrases, ord FROM matched",
+    "matched",
 )
 define_chain("run_", "run_patterns")
 

@@ -19,7 +19,7 @@ from ..sources.answers import AnswerStore
 
 # Calls of the first window of a stage that stops on failures, and of a window at most. Each one is
 # as long as all before it, so calls past a stop are no more than those before it.
-FIRST_WINDOW = 32
+FIRST_WINDOW = 128
 LARGEST_WINDOW = 65_536
 
 # Requests and their stage to (request_id, text, error) rows. Scoring requests hold a query in
