@@ -9,6 +9,7 @@ from mirrorset.functions import messages as m
 from mirrorset.operators import labels, model, requests, runcontrol
 from mirrorset.plans import scoring
 from mirrorset.sources import stages
+from mirrorset.sources.answers import AnswerStore
 
 from . import doubles as d
 from . import views as v
@@ -308,9 +309,15 @@ _STORED = d.digit_sql("stored", "ord")
     "answers",
 )
 def join_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the answers of a store, whose side is not shuffled."""
     calls = _event_answers(spark, sf_dir)
-    stored = calls.filter(d.digit("stored", "ord") < "c")
-    return model.join_responses(calls.select("request_id", "ord"), stored)
+    return model.join_responses(calls.select("request_id", "ord"), _stored_answers(calls).read())
+
+
+def _stored_answers(calls: DataFrame) -> AnswerStore:
+    store = AnswerStore(calls.sparkSession, f"{stages.shared_folder(calls.sparkSession)}/answers")
+    store.append(calls.filter(d.digit("stored", "ord") < "c"))
+    return store
 
 
 @query(
@@ -349,8 +356,9 @@ def apply_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     "answers",
 )
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store does not answer, without and with its failed calls; its side is not shuffled."""
     calls = _event_answers(spark, sf_dir)
-    done = calls.filter(d.digit("stored", "ord") < "c")
+    done = _stored_answers(calls).read()
     asked = calls.select("request_id", "ord")
     first = runcontrol.pending(asked, done).withColumn("retry", F.lit(False))
     again = runcontrol.pending(asked, done, retry_failed=True).withColumn("retry", F.lit(True))
