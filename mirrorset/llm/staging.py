@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -34,8 +35,26 @@ def stage_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths that a recorded step has taken; None while nothing is recorded.
+_TAKEN: list[str] | None = None
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{stage_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _TAKEN is not None:
+        _TAKEN.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that are written meanwhile, so that they can be deleted once their reader is done."""
+    global _TAKEN
+    before, _TAKEN = _TAKEN, []
+    try:
+        yield _TAKEN
+    finally:
+        _TAKEN = before
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -309,3 +309,23 @@ def test_whole_tables(spark, name):
         for r in got:
             words = webpages.entities.unescape(webpages.re.sub("<[^>]*>", " ", pages[r["page_id"]].partition("<article>")[2].partition("</article>")[0])).split()
             assert r["text"].split() == words
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    """A stage's own tables go when the next one begins, unless its documents are still read from them."""
+    import corpus_pipeline
+    from mirrorset.llm.staging import new_path, staged
+
+    docs = spark.range(5).withColumn("text", F.lit("x"))
+    first = corpus_pipeline.tidied(lambda spark, docs, sf_dir: staged(docs, "inner"))
+    last = corpus_pipeline.tidied(lambda spark, docs, sf_dir: docs)
+    corpus_pipeline._left.clear()
+    lazy = first(spark, docs, "")
+    (held,) = corpus_pipeline._left
+    assert last(spark, lazy, "").count() == 5 and corpus_pipeline._left == [held]
+    written = str(tmp_path / "out")
+    lazy.write.parquet(written)
+    assert last(spark, spark.read.parquet(written), "").count() == 5 and corpus_pipeline._left == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(held)
+    assert new_path(spark, "other") and corpus_pipeline._left == []
