@@ -2,11 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the one before kept.
 Stages are written as Parquet in the shared folder and read again. All but the last return
-the columns of ``documents``.
+the columns of ``documents``. When a stage begins, the tables that the one before it wrote for
+itself are deleted, as its result has been written by then; tables that ``docs`` still reads stay.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mirrorset.llm import jaccard, language, packing, secrets, suffixes
 from mirrorset.llm.queries import table
-from mirrorset.llm.staging import staged
+from mirrorset.llm.staging import discard, recorded, staged
 
 #: A document is rejected below this probability of its best language.
 LEAST_SCORE = 0.3
@@ -50,12 +52,35 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Tables that finished stages wrote for themselves.
+_left: list[str] = []
+
+
+def tidied(stage: Stage) -> Stage:
+    """A stage that deletes what the stages before it have left."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        for path in [*_left]:
+            name = path.rsplit("/", 1)[1]
+            if not any(f"/{name}/" in file for file in read):
+                discard(spark, path)
+                _left.remove(path)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", known_language),
-    ("near_duplicates", one_of_alike),
-    ("repeats", without_repeats),
-    ("secrets", without_secrets),
-    ("packing", sequences),
+    ("language", tidied(known_language)),
+    ("near_duplicates", tidied(one_of_alike)),
+    ("repeats", tidied(without_repeats)),
+    ("secrets", tidied(without_secrets)),
+    ("packing", tidied(sequences)),
 ]
 
 #: Model, joins and tokenizers are beyond SQL; the stages are tested against brute force.
