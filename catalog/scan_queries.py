@@ -27,7 +27,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{stages.shared_folder(spark)}/documents.csv"
     quoted = F.concat(F.lit('"'), F.col("text"), F.lit('",'))
     rows = v.examples(spark, sf_dir).select("id", quoted.alias("example"), F.col("label").alias("Label"), "ord")
-    ordered = rows.repartitionByRange(4, "ord").sortWithinPartitions("ord").drop("ord")
+    ordered = rows.repartitionByRange("ord").sortWithinPartitions("ord").drop("ord")
     ordered.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = read_examples(spark, path, "id", "example", "Label")
     return back.withColumn("text", F.substring("text", 2, F.length("text") - 3))
