@@ -10,54 +10,67 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .staging import FORGET
 
 SPACES_MEET = re.compile(r"\s\s|^\s|\s$")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+LATIN = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
 LONGEST_KEPT = 48
 SAMPLE = ["word", "étéß", "aÿ", "thererone", "qu"]
+#: Bytes that a worker remembers words in, and what an entry takes beside its characters and ids.
+KEPT_BYTES, ENTRY_BYTES = 96 << 20, 200
 
 
-def for_letters(path: str, whole: Tokenizer) -> Tokenizer:
-    """The tokenizer without normaliser and patterns, which leave a word of small Latin letters as it is.
+def for_letters(whole: Tokenizer) -> Callable[[str], list[int]]:
+    """Ids of a word of small Latin letters, also after a space: merged by the tokenizer's model itself.
 
-    That is tried out on a few words; a tokenizer of another kind is kept whole.
+    Normaliser and patterns leave such words as they are, so only bytes are written as the model's characters.
+    That is tried out on a few words; a tokenizer of another kind is asked as a whole.
     """
-    bare = Tokenizer.from_file(path)
-    bare.normalizer = normalizers.Sequence([])
-    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    own, other = ([t.encode(w, add_special_tokens=False).ids for w in SAMPLE] for t in (whole, bare))
-    return bare if own == other else whole
+    model, written = whole.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    if hasattr(model, "_resize_cache"):
+        model._resize_cache(0)  # words are remembered here already
+    table = {ord(c): written.pre_tokenize_str(c)[0][0] for c in [" ", *LATIN]}
+
+    def merged(word: str) -> list[int]:
+        return [t.id for t in model.tokenize(word.translate(table))]
+
+    def asked(word: str) -> list[int]:
+        return whole.encode(word, add_special_tokens=False).ids
+
+    return merged if all(merged(w) == asked(w) for w in SAMPLE) else asked
 
 
 class Words(dict):
     """Packed ids by word; a new word is encoded when it is looked up.
 
     Letters and the punctuation after them are words of their own to the tokenizer, so they are put together
-    from what is known. ``kept`` bounds the new words; as many older ones are still found.
+    from what is known. ``kept`` bounds the bytes of new words; as many older ones are still found.
     """
 
-    def __init__(self, tokenizer: Tokenizer, letters: Tokenizer, lead: str, lower: bool, code: str, kept: int) -> None:
+    def __init__(self, tokenizer: Tokenizer, letters: Callable[[str], list[int]], lead: str, lower: bool, code: str, kept: int) -> None:
         self.tokenizer, self.letters = tokenizer, letters
         self.lead, self.lower, self.code, self.kept = lead, lower, code, kept
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.long: list[str] = []
+        self.held = 0
 
     def _encode(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _encode_letters(self, text: str) -> bytes:
-        return array(self.code, self.letters.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.letters(text)).tobytes()
 
     def _mark(self, text: str) -> bytes:
         if text not in self.marks:
-            if len(text) > 8:
+            if len(text) > 8 or len(self.marks) > 10_000:
                 return self._encode(text)
             self.marks[text] = self._encode(text)
         return self.marks[text]
@@ -74,31 +87,35 @@ class Words(dict):
                     letters = letters.lower()
                 ids = self._encode_letters(self.lead + letters) if letters == word else self[letters] + self._mark(marks)
         self[word] = ids
+        self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
         if len(word) > LONGEST_KEPT:
             self.long.append(word)
         return ids
 
     def age(self) -> None:
-        """Forget very long words, and the older ones once there are too many."""
+        """Forget very long words, and the older ones once the new ones take their share."""
         for word in self.long:
-            self.pop(word, None)
+            self.held -= ENTRY_BYTES + 2 * len(word) + len(self.pop(word, b""))
         self.long.clear()
-        if len(self) > self.kept:
+        if self.held > self.kept:
             self.older = dict(self)
             self.clear()
+            self.held = 0
 
 
 class WordEncoder:
     """``spaces`` says what the tokenizer does with a space: "lead" joins it to the next word, "drop" loses it."""
 
-    def __init__(self, path: str, spaces: str, kept: int = 400_000) -> None:
+    def __init__(self, path: str, spaces: str, kept: int = KEPT_BYTES) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         code = "H" if self.dtype.itemsize == 2 else "I"
         self.spaces = spaces
-        letters = for_letters(path, tokenizer)
-        self.words = Words(tokenizer, letters, "", spaces == "drop", code, kept)
-        self.led = Words(tokenizer, letters, " ", False, code, kept)
+        letters = for_letters(tokenizer)
+        # where spaces lead, most words have one; new and older words take half of a share each
+        own = kept if spaces == "drop" else kept // 4
+        self.words = Words(tokenizer, letters, "", spaces == "drop", code, own // 2)
+        self.led = Words(tokenizer, letters, " ", False, code, (kept - own) // 2)
 
     def _one(self, text: str) -> bytes:
         word, led = self.words.__getitem__, self.led.__getitem__
@@ -118,7 +135,7 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str, spaces: str) -> WordEncoder:
     return WordEncoder(path, spaces)
 

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 A model file is compiled to three machines: the normaliser (a dummy space in front, spaces
-written as U+2581), a trie of pieces whose arcs emit piece ids, and a byte fallback for
-characters that no piece holds. Composed with a text they make a lattice whose states
+written as U+2581), a deterministic machine of pieces, and a byte fallback for characters that no
+piece holds. A state of the piece machine is the longest end of the text read so far that begins a piece; its arcs
+read a character, and it emits every piece that ends there, longest first. Composed with a text they make a lattice whose states
 are (place, last piece). The best path in the tropical semiring is the encoding.
 
 Weights. In a unigram model a piece costs its negative score. A merge model does not sum
@@ -72,22 +73,32 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             yield key >> 3, struct.unpack("<f" if kind == 5 else "<d", data[at - n : at])[0]
 
 
+#: Bytes that a worker remembers words and parts of words in, and what an entry takes beside its characters and ids.
+KEPT_BYTES, ENTRY_BYTES = 64 << 20, 200
+
+
 class _Known(dict):
-    """Packed ids by word; a new word is composed when it is looked up."""
+    """Packed ids by word, within a bound of bytes; a new word is composed when it is looked up."""
 
-    def __init__(self, compose: Callable[[str], bytes]) -> None:
+    def __init__(self, compose: Callable[[str], bytes], kept: int) -> None:
         super().__init__()
-        self.compose = compose
+        self.compose, self.kept, self.held = compose, kept, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.compose(word)
         if len(word) <= LONGEST_KEPT:
+            if self.held > self.kept:
+                self.clear()
+                self.held = 0
             self[word] = ids
+            self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
         return ids
 
 
-class Transducer:
-    def __init__(self, path: str, kept: int = 250_000) -> None:
+class Model:
+    """Pieces of a model file; enough to decode."""
+
+    def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         self.pieces, self.scores, self.types = [], [], []
@@ -103,32 +114,71 @@ class Transducer:
         self.prefix = bool(normaliser.get(3, 1))
         if normaliser.get(2) or normaliser.get(4, 1) or USER_DEFINED in self.types:
             raise ValueError("the normaliser must be the identity that keeps white space, without user-defined pieces")
-        self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        self.written = [bytes([byte_of[i]]) if i in byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: pieces put together, bytes as UTF-8, the dummy space taken off."""
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+
+class Transducer(Model):
+    """The machines of a model, composed with texts; ``kept`` bounds the bytes of words it remembers."""
+
+    def __init__(self, path: str, kept: int = KEPT_BYTES) -> None:
+        super().__init__(path)
+        self.unknown = self.types.index(UNKNOWN)
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, UNUSED)}
-        self.trie: dict = {}
-        for piece, i in self.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
         self.dtype = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
-        self.kept = kept
         if any(pair[1] == SPACE != pair[0] or "\n" in pair for pair in (pair for p in self.ids for pair in zip(p, p[1:], strict=False))):
             raise ValueError("a piece reaches across a space or a line break")
-        self.pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        self.pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.weights = [1.0] * len(self.scores) if self.merges else [-x for x in self.scores]
         self.fallback_weight = 1.0 if self.merges else 10.0 - min(self.scores)
-        self.known = _Known(self._word_ids)
-        self.written = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.known_parts: dict[str, bytes] = {}
+        self.compiled()
+        self.known, self.known_parts = _Known(self._word_ids, kept // 2), _Known(self._part_ids, kept // 2)
         self.joins: dict[int, float] = {}
         self.histories: dict[int, list[tuple[float, str, str]]] = {}
 
+    def compiled(self) -> None:
+        """The piece machine: arcs by state, the state of the next shorter end, and the (piece, length) that end in a state."""
+        self.arcs: list[dict[str, int]] = [{}]
+        self.shorter, self.ending = [0], [()]
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                to = self.arcs[state].get(c)
+                if to is None:
+                    to = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.shorter.append(0)
+                    self.ending.append(())
+                state = to
+            self.ending[state] = ((i, len(piece)),)
+        layer = list(self.arcs[0].values())
+        while layer:
+            following = []
+            for state in layer:
+                self.ending[state] += self.ending[self.shorter[state]]
+                for c, to in self.arcs[state].items():
+                    self.shorter[to] = self._next(self.shorter[state], c)
+                    following.append(to)
+            layer = following
+
+    def _next(self, state: int, c: str) -> int:
+        while c not in self.arcs[state]:
+            if not state:
+                return 0
+            state = self.shorter[state]
+        return self.arcs[state][c]
+
     def history(self, i: int) -> list[tuple[float, str, str]]:
         """The merges that make a piece: score, and the leftmost and rightmost symbol after each."""
         if i not in self.histories:
+            if len(self.histories) >= 8000:
+                self.histories.clear()
             symbols, out = list(self.pieces[i]), []
             out.append((INFINITY, symbols[0], symbols[-1]))
             while len(symbols) > 1:
@@ -177,31 +227,31 @@ class Transducer:
         """Ids of the best path through the lattice of a normalised text.
 
         One state a place is enough: a unigram model does not look at the last piece, and the merges of a beginning of
-        the text are unique, so that only one last piece has a finite cost there.
+        the text are unique, so that only one last piece has a finite cost there and the first found is the best.
         """
         n = len(text)
-        cost, last, before = [INFINITY] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        joins, trie, weight = self.joins, self.trie, self.weights
-        for at in range(n):
-            here = cost[at]
-            if here == INFINITY:
-                continue
-            node, left = trie, last[at] << 20
-            for end in range(at, n):
-                node = node.get(text[end])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is not None:
-                    join = joins.get(left + piece)
-                    if join is None:
-                        join = joins[left + piece] = self.join_cost(last[at], piece)
-                    total = here + weight[piece] + join
-                    if total < cost[end + 1]:
-                        cost[end + 1], last[end + 1], before[end + 1] = total, piece, at
-            if "" not in trie.get(text[at], ()) and here + self.fallback_weight < cost[at + 1]:
-                cost[at + 1], last[at + 1], before[at + 1] = here + self.fallback_weight, -1, at
+        cost, last, before = [0.0] + [INFINITY] * n, [-1] * (n + 1), [0] * (n + 1)
+        joins, arcs, ending, weight, merges = self.joins, self.arcs, self.ending, self.weights, self.merges
+        if len(joins) > 200_000:
+            joins.clear()
+        state = 0
+        for end, c in enumerate(text, 1):
+            state = arcs[state].get(c) or self._next(state, c)
+            best = INFINITY
+            for piece, length in ending[state]:
+                at = end - length
+                key = last[at] << 20 | piece
+                join = joins.get(key)
+                if join is None:
+                    join = joins[key] = self.join_cost(last[at], piece)
+                total = cost[at] + weight[piece] + join
+                if total < best:
+                    best, last[end], before[end] = total, piece, at
+                    if merges:
+                        break
+            if c not in self.ids and cost[end - 1] + self.fallback_weight < best:
+                best, last[end], before[end] = cost[end - 1] + self.fallback_weight, -1, end - 1
+            cost[end] = best
         out, at = [], n
         while at:
             if last[at] >= 0:
@@ -211,25 +261,16 @@ class Transducer:
             at = before[at]
         return out[::-1]
 
-    def _fragments(self, word: str) -> list[str]:
-        """A word cut between neighbours that no piece holds together."""
-        cuts = [0, *(k + 1 for k, pair in enumerate(zip(word, word[1:], strict=False)) if pair not in self.pairs), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _part_ids(self, part: str) -> bytes:
+        return np.array(self.shortest_path(part), self.dtype).tobytes()
 
     def _word_ids(self, word: str) -> bytes:
-        if len(self.joins) > 2_000_000:
-            self.joins.clear()
-        out = []
-        for part in self._fragments(word):
-            ids = self.known_parts.get(part)
-            if ids is None:
-                ids = np.array(self.shortest_path(part), self.dtype).tobytes()
-                if len(self.known_parts) > self.kept:
-                    self.known_parts.clear()
-                if len(part) <= LONGEST_KEPT:
-                    self.known_parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        """A word's ids; it is cut between neighbours that no piece holds together."""
+        pairs, known = self.pairs, self.known_parts
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+        if not cuts:
+            return self._part_ids(word)
+        return b"".join([known[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
 
     def _words(self, text: str) -> list[str]:
         """The normalised text, cut where no piece reaches across."""
@@ -240,26 +281,20 @@ class Transducer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian numbers of ``dtype``."""
-        known = self.known
-        out = []
-        for text in texts:
-            out.append(b"".join(map(known.__getitem__, self._words(text))))
-            if len(known) > self.kept:
-                known.clear()
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces put together, bytes as UTF-8, the dummy space taken off."""
-        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return [b"".join(map(self.known.__getitem__, self._words(text))) for text in texts]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-FORGET.append(transducer.cache_clear)
+@functools.lru_cache(maxsize=1)
+def model_of(path: str) -> Model:
+    return Model(path)
+
+
+FORGET += [transducer.cache_clear, model_of.cache_clear]
 
 
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
@@ -280,7 +315,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """Add the decoded text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = transducer(model)
+        run = model_of(model)
         for batch in batches:
             ids = zip(batch.column("ids").to_pylist(), batch.column("id_bytes").to_pylist(), strict=True)
             texts = [run.decode(np.frombuffer(x, f"<u{w}").tolist()) for x, w in ids]
