@@ -5,8 +5,9 @@ whole pieces and one rest. The rests are dealt out evenly to groups of about ``g
 pieces, whole pieces to groups of their own, so that no task holds more. Each group is
 packed on its own: best fit, largest first, then a local search over its underfull
 bins. One-for-one swaps, two-for-one swaps and moves are made only if they raise the
-sum of squared fills, until small bins run empty and go, or the group needs no more
-bins than its tokens fill.
+sum of squared fills, until small bins run empty and go, or the group has no more bins
+than it must have: by its tokens, by items over half of the capacity, which share no bin, and by
+items over a third, of which two share one at most. Bins of equal sizes are tried once.
 
 Null text is empty (its document is the end id alone), repeated rows are packed one by
 one, an empty table gives no pieces, other columns are not read.
@@ -56,7 +57,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, gr
                             dealt += 1
                             grp = dealt % groups
                         else:
-                            grp = groups + (task << 24) + whole // WHOLE
+                            grp = groups + (task << 20) + whole // WHOLE
                             whole += 1
                         for name, x in zip(out, (doc_id, k, at // width, n, width, piece, grp), strict=True):
                             out[name].append(x)
@@ -66,6 +67,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, gr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
 
 
+def fewest(sizes: list[int], capacity: int) -> int:
+    """Bins that these sizes need at least."""
+    large = sorted((s for s in sizes if 2 * s > capacity), reverse=True)
+    middle = sorted(s for s in sizes if 3 * s > capacity >= 2 * s)
+    beside = 0  # the least room left takes the smallest of the middle items
+    for s in large:
+        if beside < len(middle) and s + middle[beside] <= capacity:
+            beside += 1
+    return max(-(-sum(sizes) // capacity), len(large) + -(-(len(middle) - beside) // 2))
+
+
 class Bins:
     """Bins of one group: item numbers by bin, their fill, and the bins in order of fill."""
 
@@ -95,14 +107,17 @@ class Bins:
 
         A step puts more into a bin that is at least as full as the source: a move of one item or two, one of the source's
         items for a smaller one, one for two that are smaller together, or two for one that is smaller. All items of both
-        bins are looked at. It ends when a round over all underfull bins changes nothing, or when there are as many bins as
-        the items need at least.
+        bins are looked at; of bins with the same sizes one stands for all. It ends when a round over all underfull bins changes
+        nothing, or when there are as many bins as the items need at least.
         """
-        least = -(-sum(self.sizes) // self.capacity)
+        least = fewest(self.sizes, self.capacity)
         used = sum(1 for x in self.fill if x)
         sets = [self._sums(b) for b in range(len(self.fill))]
         fill, low = np.array(self.fill, np.int64), np.array([min((self.sizes[i] for i in x), default=0) for x in self.items], np.int64)
         version = np.zeros(len(fill), np.int64)
+        kinds: dict[tuple[int, ...], int] = {}
+        kind = np.array([self._kind(b, kinds) for b in range(len(self.fill))], np.int64)
+        done: dict[int, int] = {}  # by kind of source: when no step was left for it
         seen: dict[int, tuple[int, int]] = {}
         clock, changed = 0, True
         while changed and used > least:
@@ -111,22 +126,29 @@ class Bins:
             for source in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist():
                 own, at = seen.get(source, (-1, -1))
                 since = at if own == version[source] else -1
-                while fill[source] and used > least:
+                while fill[source] and used > least and done.get(int(kind[source])) != clock:
                     most = sum(sorted((self.sizes[i] for i in self.items[source]))[-2:])
                     room = self.capacity - fill
                     able = (room > 0) & (fill >= fill[source]) & ((low < most) | (room >= low[source])) & (version > since)
                     able[source] = False
-                    step = next((t for t in np.flatnonzero(able)[np.argsort(fill[able], kind="stable")].tolist() if self._step(source, t, sets)), None)
+                    targets = np.flatnonzero(able)[np.argsort(fill[able], kind="stable")]
+                    firsts = np.sort(np.unique(kind[targets], return_index=True)[1])
+                    step = next((t for t in targets[firsts].tolist() if self._step(source, t, sets)), None)
                     if step is None:
+                        done[int(kind[source])] = clock
                         break
                     clock += 1
                     changed, since = True, -1
                     for b in (source, step):
-                        sets[b], fill[b], version[b] = self._sums(b), self.fill[b], clock
+                        sets[b], fill[b], version[b], kind[b] = self._sums(b), self.fill[b], clock, self._kind(b, kinds)
                         low[b] = min((self.sizes[i] for i in self.items[b]), default=0)
                     used -= not fill[source]
                 seen[source] = (int(version[source]), clock)
 
+    def _kind(self, b: int, kinds: dict[tuple[int, ...], int]) -> int:
+        """A number for the sizes in a bin."""
+        return kinds.setdefault(tuple(sorted(self.sizes[i] for i in self.items[b])), len(kinds))
+
     def _sums(self, b: int) -> tuple[list[int], int, int]:
         """Sizes in a bin, and the sums of one item and of two as bits of a number."""
         count = Counter(self.sizes[i] for i in self.items[b])

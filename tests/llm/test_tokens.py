@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -162,3 +163,30 @@ def test_unigram_weights_take_the_cheapest_path():
     tool.joins.clear()
     tool.weights = [1.0 if p in ("▁", "a", "b") else 1.5 if p == "ab" else 99.0 for p in tool.pieces]
     assert [tool.pieces[i] for i in tool.shortest_path("▁ab")] == ["▁", "ab"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(20, 100), min_size=1, max_size=9))
+def test_fewest_bins_is_a_lower_bound(sizes):
+    def fits(rest, rooms):
+        return not rest or any(r >= rest[0] and fits(rest[1:], [*rooms[:k], r - rest[0], *rooms[k + 1 :]]) for k, r in enumerate(rooms) if r not in rooms[:k])
+
+    best = next(n for n in range(1, len(sizes) + 1) if fits(sorted(sizes, reverse=True), [100] * n))
+    assert packing.fewest(sizes, 100) <= best
+
+
+def test_equal_sizes_take_no_long_search():
+    for size, each in ((1366, 2), (1000, 4), (2049, 1)):
+        start = time.process_time()
+        assert len(packing.pack([size] * 8192, 4096)) == -(-8192 // each)
+        assert time.process_time() - start < 10
+
+
+def test_remembered_words_keep_to_their_bytes():
+    tool = WordEncoder(WORDS, "drop", kept=100_000)
+    run = transducer.Transducer(PIECES, kept=100_000)
+    texts = [f"w{'abcdefghij'[i % 10]}{i:x}o, x" for i in range(5000)]
+    tool.encode(texts)
+    run.encode(texts)
+    assert tool.words.held <= 51_000 and len(tool.words.older) * 200 <= 51_000
+    assert run.known.held <= 51_000 and run.known_parts.held <= 51_000
