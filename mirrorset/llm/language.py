@@ -1,21 +1,22 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text's UTF-8 bytes are cut into pieces of ``PIECE`` bytes that run through the network side by side.
+A text's UTF-8 bytes are cut into pieces of ``PIECE`` bytes that run through the network side by side. Each runs with the
+``SIDE`` bytes before and after it, which are not scored there, so that every byte has context on both sides.
 Two gated recurrent layers, one from each end, give every byte a state; an output layer
 labels every byte with log probabilities of the languages, and a document's
 probabilities are the softmax of their mean over all its bytes. The network is
 trained in numpy by backpropagation through time, with Adam, on a bounded sample of labelled
-documents: ``PER_LABEL`` documents of each language, the first by a hash of their id, and
+documents: ``PER_LABEL`` documents of each language, the first by a hash of their id (of all but those whose hash is too
+large to be among them, told from the number of ids), and
 ``SAMPLE_BYTES`` bytes from a hashed place of each.
 
-Null texts and texts without a letter are ``und`` with score 0. Without labels to learn
+Null texts and texts without a letter (``str.isalpha``) are ``und`` with score 0. Without labels to learn
 from everything is ``und``. Repeated rows get the same label, an empty table gives an empty
 result, other columns pass through unread.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,7 @@ from .staging import chunks, tidy
 UNKNOWN = "und"
 #: Bounds of the training sample, and sizes of the network and its training.
 PER_LABEL, SAMPLE_BYTES = 400, 256
-HIDDEN, PIECE, EPOCHS, BATCH, RATE = 8, 64, 12, 128, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+HIDDEN, PIECE, SIDE, EPOCHS, BATCH, RATE = 8, 64, 16, 12, 128, 0.02
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,23 +137,31 @@ class Network:
         return loss, [g_in, g_turn, g_out, g_bias]
 
 
-def pieces_of(texts: list[bytes], size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts as columns of ``size`` steps (256 pads), and each column's text."""
+def pieces_of(texts: list[bytes], size: int = PIECE, side: int = SIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of the texts as columns of ``side + size + side`` steps (256 pads), which of them are scored, and each column's text.
+
+    Every byte is scored once: the ``side`` steps at both ends are the neighbours' bytes.
+    """
     counts = np.array([-(-len(t) // size) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
-    out = np.full((len(owner), size), 256, np.int16)
-    flat, at = out.reshape(-1), 0
+    out = np.full((len(owner), size + 2 * side), 256, np.int16)
+    at = 0
     for t, c in zip(texts, counts.tolist(), strict=True):
-        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += c * size
-    return np.ascontiguousarray(out.T), owner
+        if c:
+            line = np.full(c * size + 2 * side, 256, np.int16)
+            line[side : side + len(t)] = np.frombuffer(t, np.uint8)
+            out[at : at + c] = np.lib.stride_tricks.sliding_window_view(line, size + 2 * side)[::size]
+            at += c
+    scored = out < 256
+    scored[:, :side] = scored[:, size + side :] = False
+    return np.ascontiguousarray(out.T), np.ascontiguousarray(scored.T), owner
 
 
 def train(rows: list[tuple[bytes, str]], seed: int = 0) -> Network:
     """A network for (text, label) rows."""
     labels = sorted({label for _, label in rows})
     net = Network.fresh(labels, seed=seed)
-    pieces, owner = pieces_of([t for t, _ in rows])
+    pieces, scored, owner = pieces_of([t for t, _ in rows])
     wanted = np.array([labels.index(label) for _, label in rows], np.int64)[owner]
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(w) for w in net.weights()]
@@ -162,8 +170,7 @@ def train(rows: list[tuple[bytes, str]], seed: int = 0) -> Network:
     total = EPOCHS * -(-len(owner) // BATCH)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(owner)), max(1, -(-len(owner) // BATCH))):
-            own = pieces[:, part]
-            _, gradients = net.gradients(own, (own < 256).astype(np.float32), wanted[part])
+            _, gradients = net.gradients(pieces[:, part], scored[:, part].astype(np.float32), wanted[part])
             norm = np.sqrt(sum(float((g * g).sum()) for g in gradients))
             step += 1
             for w, g, m, v in zip(net.weights(), gradients, first, second, strict=True):
@@ -176,12 +183,12 @@ def train(rows: list[tuple[bytes, str]], seed: int = 0) -> Network:
 
 def predict(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the label and its probability for each text."""
-    pieces, owner = pieces_of(texts)
+    pieces, scored, owner = pieces_of(texts)
     sums = np.zeros((len(texts), len(net.labels)))
     for a in range(0, pieces.shape[1], 4096):
         own = np.ascontiguousarray(pieces[:, a : a + 4096])
         logs = net.log_probabilities(own)
-        logs[own == 256] = 0.0
+        logs[~scored[:, a : a + 4096]] = 0.0
         np.add.at(sums, owner[a : a + 4096], logs.sum(axis=0))
     means = sums / np.maximum(1, [len(t) for t in texts])[:, None]
     p = np.exp(means - means.max(axis=1, keepdims=True))
@@ -196,6 +203,10 @@ def training_rows(docs: DataFrame, may_train: Column) -> list[tuple[bytes, str]]
     usable = docs.where(may_train & F.col("lang").isNotNull() & text.rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length(text) - SAMPLE_BYTES)) + 1
     cut = usable.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.substring(text, place.cast("int"), F.lit(SAMPLE_BYTES)).alias("cut"))
+    # about eight times the rows wanted have a hash below the bound of their language, so few meet in its task
+    ids = usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.approx_count_distinct("doc_id").alias("n"))
+    bound = (F.lit(8.0 * PER_LABEL) / F.col("n") - 0.5) * F.lit(2.0**64)
+    cut = cut.join(F.broadcast(ids.select("lang", F.least(bound, F.lit(2.0**63)).alias("most"))), "lang").where(F.col("h") <= F.col("most"))
     order = Window.partitionBy("lang").orderBy("h", "cut")
     picked = cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LABEL)
     return [(r["cut"].encode()[:SAMPLE_BYTES], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["place"]))]
@@ -211,7 +222,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
         for batch in batches:
             for piece in chunks(batch, text):
                 texts = [t or "" for t in piece.column(text).to_pylist()]
-                fine = [i for i, t in enumerate(texts) if net and LETTER.search(t)]
+                fine = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
                 label, score = np.full(len(texts), -1), np.zeros(len(texts))
                 if fine:
                     label[fine], score[fine] = predict(net, [texts[i].encode() for i in fine])

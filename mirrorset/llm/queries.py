@@ -102,11 +102,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
-    """Shards of near equal bytes: slot sizes, a first map, and its rebalanced next version."""
+    """Shards of near equal bytes: a map that deals slots out before anything is known of them, and its next version, edited for the measured bytes."""
     rows = sharding.records(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sizes = sharding.slot_sizes(rows)
     path = new_path(spark, "slot-map")
-    first = sharding.first_map(sizes, shards)
+    first = sharding.first_map({}, shards)
     sharding.write_map(spark, path, 1, first)
     sharding.write_map(spark, path, 2, sharding.rebalanced(first, sizes, shards))
     placed = sharding.placed(rows, sharding.read_map(spark, path))

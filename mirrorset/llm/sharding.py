@@ -38,13 +38,13 @@ def slot_sizes(rows: DataFrame) -> dict[int, int]:
 
 
 def first_map(sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """Each slot, largest first, to the shard with the fewest bytes."""
-    heap = [(0, s) for s in range(shards)]
+    """Each slot, largest first, to the shard with the fewest bytes, then slots: without sizes they are dealt out in turn."""
+    heap = [(0, 0, s) for s in range(shards)]
     out = {}
     for slot in sorted(range(SLOTS), key=lambda s: (-sizes.get(s, 0), s)):
-        held, shard = heapq.heappop(heap)
+        held, slots, shard = heapq.heappop(heap)
         out[slot] = shard
-        heapq.heappush(heap, (held + sizes.get(slot, 0), shard))
+        heapq.heappush(heap, (held + sizes.get(slot, 0), slots + 1, shard))
     return out
 
 

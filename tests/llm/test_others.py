@@ -110,6 +110,10 @@ def test_shards_are_even_and_moves_few(spark, odd, none):
     assert moved < 1.2 * sum(sizes.values()) / 25
     fewer = sharding.rebalanced(grown, sizes, 20)
     assert max(fewer.values()) == 19
+    blind = sharding.first_map({}, 24)
+    assert np.bincount(list(blind.values())).tolist() == [171] * 16 + [170] * 8
+    edited = sharding.rebalanced(blind, sizes, 24)
+    assert held(edited, 24).max() / held(edited, 24).mean() < 1.01 and edited != blind
     path = new_path(spark, "test-map")
     for version, slot_map in enumerate((first, grown), 1):
         sharding.write_map(spark, path, version, slot_map)
@@ -166,6 +170,37 @@ def test_language_of_held_out_documents(spark, odd, none):
     assert language.trained_on(none) is None
 
 
+def test_every_byte_is_scored_once_with_both_sides():
+    texts = [b"", b"a", bytes(range(200)) * 2, b"x" * 64]
+    pieces, scored, owner = language.pieces_of(texts, 64, 16)
+    for k, t in enumerate(texts):
+        own = np.flatnonzero(owner == k)
+        assert pieces.T[own][scored.T[own]].astype(np.uint8).tobytes() == t
+    second = pieces.T[owner == 2][1]
+    assert second[:96].tolist() == list((bytes(range(200)) * 2)[48:144])
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    net = language.Network.fresh(["a", "b"])
+    rows = spark.createDataFrame(list(enumerate(["½ ² ① Ⅷ ৴ 12 _", "½ x", "日", None])), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(rows, net).collect()}
+    assert got[0] == got[3] == "und" and got[1] != "und" != got[2]
+
+
+def test_training_sample_with_a_hot_id(spark):
+    rows = [(1, "hot text", "x")] * 5000 + [(i, f"text {i}", "y" if i % 50 else "z") for i in range(2, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_rows(docs, F.lit(True))
+    count = {k: sum(1 for _, x in got if x == k) for k in "xyz"}
+    assert count == {"x": 400, "y": 400, "z": 179}
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, odd):
+    docs = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert kept == {1, 4, 5, 6, 7, 8, 10, None}
+
+
 def test_hadamard_rotates():
     x = np.random.default_rng(0).standard_normal((5, 16)).astype(np.float32)
     y = neighbours.hadamard(x)
