@@ -19,33 +19,40 @@ from mirrorset.llm import jaccard, language, packing, secrets, suffixes
 from mirrorset.llm.queries import table
 from mirrorset.llm.staging import discard, recorded, staged
 
-#: A document is rejected below this probability of its best language.
-LEAST_SCORE = 0.3
+#: A document is rejected if its best language is less probable than this, or than this many times chance with many languages.
+LEAST_SCORE, LEAST_OVER_CHANCE = 0.3, 1.2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that the network finds a language for."""
-    found = language.identify(docs, language.trained_on(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Documents with letters that the network finds a language for; without a label to learn from, all with letters.
+
+    Null and empty texts go, repeated rows stay together, and an empty table gives an empty one.
+    """
+    net = language.trained_on(docs)
+    if net is None:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    least = min(LEAST_SCORE, LEAST_OVER_CHANCE / len(net.labels))
+    found = language.identify(docs, net)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
 
 
 def one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of every group of near duplicates."""
+    """The smallest document of every group of near duplicates; texts without words are alike to nothing and stay."""
     return jaccard.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeat earlier matches of 100."""
+    """Texts without the bytes that repeat earlier matches of 100; null texts stay null, repeated rows lose theirs."""
     return suffixes.without_repeats(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets and linked credentials masked."""
+    """Texts with secrets and linked credentials masked; null texts stay null."""
     return secrets.masked(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, each with its place in a sequence of at most 4096 tokens."""
+    """Pieces of the documents, each with its place in a sequence of at most 4096 tokens; null texts are the end id alone."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.piece_digest(packing.pack_documents(docs.select("doc_id", "text"), tokenizer, end_id=1, capacity=4096))
 
