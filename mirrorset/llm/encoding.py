@@ -24,7 +24,7 @@ LATIN = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100))
 LONGEST_KEPT = 48
 SAMPLE = ["word", "étéß", "aÿ", "thererone", "qu"]
 #: Bytes that a worker remembers words in, and what an entry takes beside its characters and ids.
-KEPT_BYTES, ENTRY_BYTES = 96 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 160 << 20, 200
 
 
 def for_letters(whole: Tokenizer) -> Callable[[str], list[int]]:

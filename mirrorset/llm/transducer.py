@@ -74,7 +74,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 #: Bytes that a worker remembers words and parts of words in, and what an entry takes beside its characters and ids.
-KEPT_BYTES, ENTRY_BYTES = 64 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 160 << 20, 200
 
 
 class _Known(dict):
@@ -95,6 +95,18 @@ class _Known(dict):
         return ids
 
 
+class _Joins(dict):
+    """Weights of steps between pieces by ``last << 20 | piece``; a new one is worked out when it is looked up."""
+
+    def __init__(self, cost: Callable[[int, int], float]) -> None:
+        super().__init__()
+        self.cost = cost
+
+    def __missing__(self, key: int) -> float:
+        self[key] = out = self.cost(key >> 20, key & 0xFFFFF)
+        return out
+
+
 class Model:
     """Pieces of a model file; enough to decode."""
 
@@ -139,7 +151,7 @@ class Transducer(Model):
         self.fallback_weight = 1.0 if self.merges else 10.0 - min(self.scores)
         self.compiled()
         self.known, self.known_parts = _Known(self._word_ids, kept // 2), _Known(self._part_ids, kept // 2)
-        self.joins: dict[int, float] = {}
+        self.joins = _Joins(self.join_cost)
         self.histories: dict[int, list[tuple[float, str, str]]] = {}
 
     def compiled(self) -> None:
@@ -240,11 +252,7 @@ class Transducer(Model):
             best = INFINITY
             for piece, length in ending[state]:
                 at = end - length
-                key = last[at] << 20 | piece
-                join = joins.get(key)
-                if join is None:
-                    join = joins[key] = self.join_cost(last[at], piece)
-                total = cost[at] + weight[piece] + join
+                total = cost[at] + weight[piece] + joins[last[at] << 20 | piece]
                 if total < best:
                     best, last[end], before[end] = total, piece, at
                     if merges:
