@@ -159,25 +159,30 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return store.join(F.broadcast(bases), "shard")
 
 
-def read_documents(segments: DataFrame) -> DataFrame:
-    """One row per stored document: doc_id, start (ids before it in the whole store), ids (packed), id_bytes."""
+def read_documents(segments: DataFrame, at_once: int = 1024) -> DataFrame:
+    """One row per stored document: doc_id, start (ids before it in the whole store), ids (packed), id_bytes.
+
+    Boundaries are found by ``select``, ``at_once`` documents at a time; a segment's starts are never spread out.
+    """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ef = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-                starts, width = ef.all(), row["id_bytes"]
-                ends = np.append(starts[1:], row["n_ids"])
-                ids = memoryview(row["ids"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(starts + row["base"] + row["first_id"], pa.int64()),
-                        pa.array([bytes(ids[a * width : b * width]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                        pa.array(np.full(len(starts), width, np.int32)),
-                    ],
-                    ["doc_id", "start", "ids", "id_bytes"],
-                )
+                ids, width, n = memoryview(row["ids"]), row["id_bytes"], row["n_docs"]
+                for first in range(0, n, at_once):
+                    last = min(first + at_once, n)
+                    starts = [ef.select(i) for i in range(first, last)]
+                    ends = [*starts[1:], ef.select(last) if last < n else row["n_ids"]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(row["doc_ids"][first:last], pa.int64()),
+                            pa.array(np.array(starts, np.int64) + (row["base"] + row["first_id"])),
+                            pa.array([bytes(ids[a * width : b * width]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                            pa.array(np.full(last - first, width, np.int32)),
+                        ],
+                        ["doc_id", "start", "ids", "id_bytes"],
+                    )
 
     return segments.mapInArrow(documents, "doc_id long, start long, ids binary, id_bytes int")
 

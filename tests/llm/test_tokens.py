@@ -56,7 +56,7 @@ def test_store_gives_ids_in_order_of_documents(spark, odd):
     path = new_path(spark, "test-store")
     idstore.write_store(odd, path, BYTES, 2, segment_ids=50)
     store = idstore.open_store(spark, path)
-    got = idstore.id_digest(idstore.read_documents(store)).orderBy("start").collect()
+    got = idstore.id_digest(idstore.read_documents(store, at_once=3)).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in ODD), key=lambda i: (i is not None, i or 0))
     want = sorted((i or -1, len(x := tool.encode(t or "", add_special_tokens=False).ids + [2]), crc(x)) for i, t in ODD)
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in got) == want
