@@ -1,17 +1,11 @@
-"""Parsers against hand-made rows and, on random texts, against plain Python."""
+"""Parsers against hand-made rows, built replies and, on random texts, the patterns of the SQL views."""
 
 import random
 import re
 
+from catalog.views import NATURAL_SQL
 from mirrorset.functions import replies, text
 
-# The three loose spellings, as Python reads them.
-NATURAL_PATTERNS = [
-    r'(?:(?:\d+\.?\s*)?(?:sentence|text):\s*["\']*([^"\'\n]+)["\']*.*?(?:phrases?|words?|terms?):\s*([^\n]+))',
-    r'(?:(?:\d+\.?\s*)?["\']*([^"\'\n]+)["\']*.*?(?:key phrases?|phrases?|words?):\s*([^\n]+))',
-    r'(?:(?:\d+\.?\s*)?)["\']*([^"\'\n,]+)["\']*\s*[-–—]\s*([^\n]+)',
-]
-
 TOKENS = [
     "a", "b ", " ", "  ", "\n", "\n\n", ",", ";", '"', "'", ":", "-", "–", "---", "1", "12.", "3. ",
     "sentence:", "Sentence: ", "TEXT:", "phrases:", "Key Phrases: ", "word:", "Words: ", "terms:",
@@ -29,23 +23,17 @@ def pairs(result):
     return None if result is None else [(p["sentence"], list(p["phrases"])) for p in result]
 
 
-def cut(value, separators):
-    return [p.strip() for p in re.split(separators, value) if p.strip()]
-
-
-def natural(value):
-    out = []
-    for pattern in NATURAL_PATTERNS:
-        for sentence, phrases in re.findall(pattern, value, re.I | re.M):
-            if sentence.strip() and cut(phrases, "[,;]"):
-                out.append((sentence.strip(), cut(phrases, "[,;]")))
-    return out
+def matched(value):
+    """What the three loose spellings of the SQL views find, as Python reads them: matches with a sentence and a phrase."""
+    hits = [hit for pattern in NATURAL_SQL for hit in re.findall(pattern, value)]
+    split = [(sentence.strip(), [p.strip() for p in phrases.replace(";", ",").split(",")]) for sentence, phrases in hits]
+    return [(sentence, [p for p in phrases if p]) for sentence, phrases in split if sentence and any(phrases)]
 
 
 def test_natural_agrees_with_plain_regex(evaluate):
     texts = random_texts(6000, 1)
     for value, got in zip(texts, evaluate(replies.parse_natural, texts)):
-        assert pairs(got) == natural(value), repr(value)
+        assert pairs(got) == matched(value), repr(value)
 
 
 def test_natural_hand_rows(evaluate):
@@ -75,36 +63,46 @@ def test_structured(evaluate):
     assert pairs(evaluate(replies.parse_structured, [value])[0]) == [("a b", ["x", "y"]), ("d", ["z"])]
 
 
-def structured(value):
-    out = []
-    for section in value.split("---"):
-        last = {"SENTENCE:": "", "PHRASES:": ""}
-        for line in section.split("\n"):
-            for tag in last:
-                if line.strip().startswith(tag):
-                    last[tag] = line.strip()[len(tag):].strip()
-        if last["SENTENCE:"] and cut(last["PHRASES:"], ","):
-            out.append((last["SENTENCE:"], cut(last["PHRASES:"], ",")))
-    return out
-
-
-def test_structured_on_random_texts(evaluate):
-    texts = random_texts(4000, 2)
-    for value, got in zip(texts, evaluate(replies.parse_structured, texts)):
-        assert pairs(got) == structured(value), repr(value)
-
-
-def fallback(value):
-    found = zip(re.findall(r"SENTENCE:\s*(.+)", value), re.findall(r"PHRASES:\s*(.+)", value))
-    return [(s.strip(), cut(p, ",")) for s, p in found if s.strip() and cut(p, ",")]
-
-
-def test_fallback(evaluate):
-    texts = ["1. SENTENCE:\nq\nPHRASES: m\nSENTENCE: w", *random_texts(4000, 3)]
-    got = evaluate(replies.parse_fallback, texts)
-    assert pairs(got[0]) == [("q", ["m"])]
-    for value, result in zip(texts, got):
-        assert pairs(result) == fallback(value), repr(value)
+def built_section(rng):
+    """A section made from lines whose meaning is known, and the pair it stands for, or None."""
+    sentence, phrases, lines = "", [], []
+    for _ in range(rng.randint(0, 5)):
+        indent, kind = rng.choice(["", " ", "\t", "\xa0"]), rng.randint(0, 3)
+        if kind == 0:
+            sentence = rng.choice(["", "a b", "c: d", "é", "PHRASES: x", "sentence: low"])
+            lines.append(f"{indent}SENTENCE:{rng.choice(['', ' '])}{sentence} ")
+        elif kind == 1:
+            phrases = rng.sample(["x", "y z", "é;w", "SENTENCE:"], rng.randint(0, 3))
+            lines.append(f"{indent}PHRASES: {rng.choice([',', ' , ', ', ,']).join(phrases)}{rng.choice(['', ',', ' ,'])}")
+        else:
+            lines.append(indent + rng.choice(["", "noise", "1. SENTENCE: q", "sentence: q", "Phrases: q", "- -"]))
+    return "\n".join(lines), (sentence, phrases) if sentence and phrases else None
+
+
+def test_structured_on_built_replies(evaluate):
+    rng = random.Random(2)
+    built = [[built_section(rng) for _ in range(rng.randint(1, 4))] for _ in range(3000)]
+    texts = [rng.choice(["---", "\n---\n"]).join(section for section, _ in sections) for sections in built]
+    for value, sections, got in zip(texts, built, evaluate(replies.parse_structured, texts)):
+        assert pairs(got) == [pair for _, pair in sections if pair], repr(value)
+
+
+def test_fallback_hand_rows(evaluate):
+    rows = {
+        "1. SENTENCE:\nq\nPHRASES: m\nSENTENCE: w": [("q", ["m"])],
+        "SENTENCE: a PHRASES: b\nPHRASES: c": [("a PHRASES: b", ["b"])],
+        "PHRASES: early, one\nnoise\nx SENTENCE:\t late ": [("late", ["early", "one"])],
+        "SENTENCE: a\nSENTENCE: b\nPHRASES: x\nPHRASES: , y ,": [("a", ["x"]), ("b", ["y"])],
+        "SENTENCE: a\nPHRASES: ,\nSENTENCE: b\nPHRASES: y": [("b", ["y"])],
+        "SENTENCE:  \n\n é z \nPHRASES:\xa0k;l": [("é z", ["k;l"])],
+        "sentence: a\nphrases: b": [],
+        "SENTENCE: only": [],
+        "PHRASES: only": [],
+        "SENTENCE:": [],
+        "": [],
+    }
+    for (value, want), got in zip(rows.items(), evaluate(replies.parse_fallback, [*rows])):
+        assert pairs(got) == want, repr(value)
 
 
 def test_cascade_order(evaluate):
