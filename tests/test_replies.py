@@ -75,7 +75,7 @@ def built_section(rng):
             phrases = rng.sample(["x", "y z", "é;w", "SENTENCE:"], rng.randint(0, 3))
             lines.append(f"{indent}PHRASES: {rng.choice([',', ' , ', ', ,']).join(phrases)}{rng.choice(['', ',', ' ,'])}")
         else:
-            lines.append(indent + rng.choice(["", "noise", "1. SENTENCE: q", "sentence: q", "Phrases: q", "- -"]))
+            lines.append(indent + rng.choice(["", "noise", "1. SENTENCE: q", "sentence: q", "Phrases: q", "--x"]))
     return "\n".join(lines), (sentence, phrases) if sentence and phrases else None
 
 
