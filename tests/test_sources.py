@@ -3,6 +3,7 @@
 import csv
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -151,3 +152,18 @@ def test_csv_without_rows(spark, tmp_path):
     (tmp_path / "c.csv").write_text('\nid,text\n"1",\n2,"no break at the end"')
     got = csvblocks.read_csv(spark, str(tmp_path)).orderBy("_ord").collect()
     assert [tuple(r) for r in got] == [("1", None, 0), ("2", "no break at the end", 1)]
+
+
+def test_files_of_a_run_are_packed_tightly(spark, tmp_path):
+    """Stages and answers, new and merged, are written with the codec that takes least disk."""
+    rows = spark.range(50).selectExpr("CAST(id AS STRING) AS request_id", "repeat('text ', 9) AS text", "CAST(NULL AS STRING) AS error")
+    stages.write_stage(rows, str(tmp_path / "runs"), "said", 42, "m", "d")
+    store = stages.answer_store(spark, str(tmp_path / "kept"), "answers")
+    for run in (0, 1):
+        store.append(rows, run)
+    for merge in (False, True):
+        assert not merge or store.compact(pile=2)
+        files = [f for f in tmp_path.rglob("*.parquet") if f.name.startswith("part-")]
+        codecs = {pq.ParquetFile(f).metadata.row_group(0).column(1).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups}
+        assert files and codecs == {"ZSTD"}
+    assert store.read().count() == 50
