@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -190,3 +191,17 @@ def test_remembered_words_keep_to_their_bytes():
     run.encode(texts)
     assert tool.words.held <= 51_000 and len(tool.words.older) * 200 <= 51_000
     assert run.known.held <= 51_000 and run.known_parts.held <= 51_000
+
+
+def test_remembered_words_take_little_memory():
+    """Words that a worker remembers, counted as Python holds them: several workers share an executor's memory."""
+    from mirrorset.llm import encoding, transducer
+
+    kept = transducer._Known(lambda word: bytes(6), transducer.KEPT_BYTES)
+    tracemalloc.start()
+    for i in range(800_000):
+        kept[f"word{i:08}"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert encoding.KEPT_BYTES <= 96 << 20
