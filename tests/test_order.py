@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from mirrorset.operators import labels, order, runcontrol, sampling
@@ -250,3 +251,12 @@ def test_many_labels_are_numbered_by_ranges(spark, monkeypatch):
     patterns = spark.createDataFrame([(1, 0, "a", ["x"])], "ord long, pair_no int, ori_label string, phrases array<string>")
     got = labels.fan_out_targets(patterns, table).select("target_no", "target_label").collect()
     assert [r["target_label"] for r in sorted(got)] == [r["label"] for r in table.orderBy("first_ord", "label").collect()]
+
+
+def test_range_of_reads_columns_outside_of_its_lambdas(spark):
+    """A column that only a lambda mentions was looked for on the wrong side of the join in ``earlier``."""
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    placed = df.select("label", order.range_of(df, ["label"], [Row(label="b")]).alias("at"))
+    plan = placed._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert "label#" not in plan.split("lambdafunction(", 1)[1]
+    assert sorted(map(tuple, placed.collect())) == [("a", 0), ("b", 1), ("c", 1)]
