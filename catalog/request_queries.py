@@ -193,7 +193,7 @@ def scoring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = labels.known_labels(v.examples(spark, sf_dir), v.label_map(spark, sf_dir, ("es",)))
     asked = requests.scoring_requests(known, _SHOTS, (42,))
     contexts = v.staged(_contexts(spark, sf_dir), "contexts")
-    full = requests.attach_context(asked, contexts)
+    full = requests.attach_context(asked, contexts, rendered="rendered")
     return v.message_hash(full, "request_id", "seed", "shots", "test_id")
 
 

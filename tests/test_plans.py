@@ -215,3 +215,23 @@ def test_scores(setup, spark):
         roles = [m["role"] for m in c["messages"]]
         assert roles == ["system"] + ["user", "assistant"] * c["n_examples"]
         assert "concept A, concept B, concept C" in c["messages"][0]["content"]
+
+
+def test_rendered_contexts_are_the_rendered_messages(spark):
+    from mirrorset.functions import messages as m
+    from mirrorset.operators.requests import attach_context
+
+    kind = "array<struct<role:string,content:string>>"
+    contexts = spark.createDataFrame(
+        [(1, 10, [("system", "é\nx"), ("user", None), ("assistant", "")]), (1, 15, [("system", None)]), (1, 30, []), (2, 10, None)],
+        f"seed int, shots int, messages {kind}",
+    )
+    rows = [(s, k, f"{s}{k}{i}", q) for s, k in ((1, 10), (1, 15), (1, 30), (2, 10)) for i, q in enumerate(("", "ö a", None))]
+    asked = spark.createDataFrame(rows, "seed int, shots int, request_id string, query string")
+    for chars in (10_000, 0):
+        whole = attach_context(asked, contexts, chars)
+        text = m.render(F.col("messages"))
+        told = attach_context(asked, contexts, chars, rendered="r")
+        wanted = whole.select("request_id", text.alias("r"), F.length(text).alias("n")).collect()
+        assert sorted(map(str, told.select("request_id", "r", F.col("r_chars").alias("n")).collect())) == sorted(map(str, wanted))
+        assert len(wanted) == 12
