@@ -235,3 +235,12 @@ def test_rendered_contexts_are_the_rendered_messages(spark):
         wanted = whole.select("request_id", text.alias("r"), F.length(text).alias("n")).collect()
         assert sorted(map(str, told.select("request_id", "r", F.col("r_chars").alias("n")).collect())) == sorted(map(str, wanted))
         assert len(wanted) == 12
+
+
+def test_content_ids_take_queries_by_their_digest(spark):
+    from mirrorset.operators.requests import content_ids, scoring_requests
+
+    test = spark.createDataFrame([("a", 0, "x", "l"), ("b", 1, None, "l"), ("c", 2, "", "l")], "id string, ord long, text string, label string")
+    asked = scoring_requests(test, (10, 15)).withColumn("context_id", F.lit("c")).withColumn("request_id", F.lit("r"))
+    ids = {(r["test_id"], r["shots"]): r["request_id"] for r in content_ids(asked.drop("query")).collect()}
+    assert len({ids[t, 10] for t in "abc"}) == 3 and all(ids[t, 10] == ids[t, 15] for t in "abc")
