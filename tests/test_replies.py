@@ -177,3 +177,9 @@ def test_missing_values(evaluate):
 
 def test_tokens(evaluate):
     assert evaluate(text.token_estimate, ["a b c", "", " x\n", None]) == [3, 0, 1, 0]
+
+
+def test_natural_keywords_in_any_case(evaluate):
+    texts = ["a b: 'q' Key Phraſes: x", "a TERMſ: x", "Text: b ſentence WORD: y; z", "no sign here\na, b — c", "a word : b\nc words: d"]
+    for value, got in zip(texts, evaluate(replies.parse_natural, texts)):
+        assert pairs(got) == matched(value), repr(value)
