@@ -37,9 +37,11 @@ def for_letters(whole: Tokenizer) -> Callable[[str], list[int]]:
     if hasattr(model, "_resize_cache"):
         model._resize_cache(0)  # words are remembered here already
     table = {ord(c): written.pre_tokenize_str(c)[0][0] for c in [" ", *LATIN]}
+    space, tokenize = table[ord(" ")], model.tokenize
 
     def merged(word: str) -> list[int]:
-        return [t.id for t in model.tokenize(word.translate(table))]
+        # ASCII letters are written as they are
+        return [t.id for t in tokenize(word.replace(" ", space) if word.isascii() else word.translate(table))]
 
     def asked(word: str) -> list[int]:
         return whole.encode(word, add_special_tokens=False).ids
@@ -78,8 +80,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            parts = LATIN_WORD.fullmatch(word)
-            if parts is None:
+            # most new words are plain letters
+            plain = word.isascii() and word.isalpha() and not (self.lower and not word.islower())
+            if plain:
+                ids = self._encode_letters(self.lead + word)
+            elif (parts := LATIN_WORD.fullmatch(word)) is None:
                 ids = self._encode(self.lead + word)
             else:
                 letters, marks = parts.groups()
@@ -121,8 +126,9 @@ class WordEncoder:
         word, led = self.words.__getitem__, self.led.__getitem__
         if self.spaces == "drop":
             return b"".join(map(word, text.replace("\n", " ").replace("\t", " ").split(" ")))
-        # a text where white space meets white space is one line, cut at lone spaces only
-        lines = [LONE_SPACE.split(text)] if SPACES_MEET.search(text) else [line.split(" ") for line in text.split("\n")]
+        # a text where white space meets white space is one line, cut at lone spaces only; most texts are told apart without the pattern
+        apart = " ".join(text.split()) == text.replace("\n", " ") or not SPACES_MEET.search(text)
+        lines = [line.split(" ") for line in text.split("\n")] if apart else [LONE_SPACE.split(text)]
         return word("\n").join([b"".join([word(words[0]), *map(led, words[1:])]) for words in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:

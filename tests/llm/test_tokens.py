@@ -205,3 +205,30 @@ def test_remembered_words_take_little_memory():
     tracemalloc.stop()
     assert peak < 100 << 20
     assert encoding.KEPT_BYTES <= 96 << 20
+
+
+def test_plain_texts_and_words_skip_the_patterns(monkeypatch):
+    """Texts of words parted by single spaces and line ends are encoded without a search, and as the library does."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mirrorset.llm import encoding
+
+    class Unused:
+        def search(self, text):
+            raise AssertionError(text)
+
+        fullmatch = search
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, run = Tokenizer.from_file(path), encoding.WordEncoder(path, "lead")
+
+    def same(texts):
+        got = [np.frombuffer(x, run.dtype).tolist() for x in run.encode(texts)]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+    same(["", "a\nb", "a  b", " a", "a ", "a\tb", "a\xa0b", "\x1ca", "a\n\nb", "a \nb", "über, Straße", "don't x1", "a\r\nb"])
+    monkeypatch.setattr(encoding, "SPACES_MEET", Unused())
+    monkeypatch.setattr(encoding, "LATIN_WORD", Unused())
+    same(["", "Some plain\nwords stand HERE", "alone"])
