@@ -8,8 +8,8 @@ are used; everything else stays in one piece and goes to the library as it is.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
-from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -27,8 +27,8 @@ SAMPLE = ["word", "étéß", "aÿ", "thererone", "qu"]
 KEPT_BYTES, ENTRY_BYTES = 96 << 20, 200
 
 
-def for_letters(whole: Tokenizer) -> Callable[[str], list[int]]:
-    """Ids of a word of small Latin letters, also after a space: merged by the tokenizer's model itself.
+def for_letters(whole: Tokenizer, lead: str, packed: list[bytes]) -> Callable[[str], bytes]:
+    """Packed ids of a word of small Latin letters after ``lead``: merged by the tokenizer's model itself.
 
     Normaliser and patterns leave such words as they are, so only bytes are written as the model's characters.
     That is tried out on a few words; a tokenizer of another kind is asked as a whole.
@@ -37,14 +37,14 @@ def for_letters(whole: Tokenizer) -> Callable[[str], list[int]]:
     if hasattr(model, "_resize_cache"):
         model._resize_cache(0)  # words are remembered here already
     table = {ord(c): written.pre_tokenize_str(c)[0][0] for c in [" ", *LATIN]}
-    space, tokenize = table[ord(" ")], model.tokenize
+    led, tokenize = lead.translate(table), model.tokenize
 
-    def merged(word: str) -> list[int]:
+    def merged(word: str) -> bytes:
         # ASCII letters are written as they are
-        return [t.id for t in tokenize(word.replace(" ", space) if word.isascii() else word.translate(table))]
+        return b"".join([packed[t.id] for t in tokenize(led + (word if word.isascii() else word.translate(table)))])
 
-    def asked(word: str) -> list[int]:
-        return whole.encode(word, add_special_tokens=False).ids
+    def asked(word: str) -> bytes:
+        return b"".join([packed[i] for i in whole.encode(lead + word, add_special_tokens=False).ids])
 
     return merged if all(merged(w) == asked(w) for w in SAMPLE) else asked
 
@@ -56,19 +56,17 @@ class Words(dict):
     from what is known. ``kept`` bounds the bytes of new words; as many older ones are still found.
     """
 
-    def __init__(self, tokenizer: Tokenizer, letters: Callable[[str], list[int]], lead: str, lower: bool, code: str, kept: int) -> None:
-        self.tokenizer, self.letters = tokenizer, letters
-        self.lead, self.lower, self.code, self.kept = lead, lower, code, kept
+    def __init__(self, tokenizer: Tokenizer, packed: list[bytes], lead: str, lower: bool, kept: int) -> None:
+        self.tokenizer, self.packed = tokenizer, packed
+        self.letters = for_letters(tokenizer, lead, packed)
+        self.lead, self.lower, self.kept = lead, lower, kept
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.long: list[str] = []
         self.held = 0
 
     def _encode(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _encode_letters(self, text: str) -> bytes:
-        return array(self.code, self.letters(text)).tobytes()
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _mark(self, text: str) -> bytes:
         if text not in self.marks:
@@ -81,19 +79,19 @@ class Words(dict):
         ids = self.older.get(word)
         if ids is None:
             # most new words are plain letters
-            plain = word.isascii() and word.isalpha() and not (self.lower and not word.islower())
-            if plain:
-                ids = self._encode_letters(self.lead + word)
+            if word.isascii() and word.isalpha() and not (self.lower and not word.islower()):
+                ids = self.letters(word)
             elif (parts := LATIN_WORD.fullmatch(word)) is None:
                 ids = self._encode(self.lead + word)
             else:
                 letters, marks = parts.groups()
                 if self.lower:
                     letters = letters.lower()
-                ids = self._encode_letters(self.lead + letters) if letters == word else self[letters] + self._mark(marks)
+                ids = self.letters(letters) if letters == word else self[letters] + self._mark(marks)
         self[word] = ids
-        self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
-        if len(word) > LONGEST_KEPT:
+        n = len(word)
+        self.held += ENTRY_BYTES + 2 * n + len(ids)
+        if n > LONGEST_KEPT:
             self.long.append(word)
         return ids
 
@@ -114,21 +112,26 @@ class WordEncoder:
     def __init__(self, path: str, spaces: str, kept: int = KEPT_BYTES) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        code = "H" if self.dtype.itemsize == 2 else "I"
+        packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
         self.spaces = spaces
-        letters = for_letters(tokenizer)
         # where spaces lead, most words have one; new and older words take half of a share each
         own = kept if spaces == "drop" else kept // 4
-        self.words = Words(tokenizer, letters, "", spaces == "drop", code, own // 2)
-        self.led = Words(tokenizer, letters, " ", False, code, (kept - own) // 2)
+        self.words = Words(tokenizer, packed, "", spaces == "drop", own // 2)
+        self.led = Words(tokenizer, packed, " ", False, (kept - own) // 2)
 
     def _one(self, text: str) -> bytes:
         word, led = self.words.__getitem__, self.led.__getitem__
         if self.spaces == "drop":
             return b"".join(map(word, text.replace("\n", " ").replace("\t", " ").split(" ")))
         # a text where white space meets white space is one line, cut at lone spaces only; most texts are told apart without the pattern
-        apart = " ".join(text.split()) == text.replace("\n", " ") or not SPACES_MEET.search(text)
-        lines = [line.split(" ") for line in text.split("\n")] if apart else [LONE_SPACE.split(text)]
+        words = text.split() or [""]
+        if " ".join(words) == text.replace("\n", " "):
+            ends = itertools.accumulate(line.count(" ") + 1 for line in text.split("\n")) if "\n" in text else [len(words)]
+            lines = [words[a:b] for a, b in itertools.pairwise([0, *ends])]
+        elif SPACES_MEET.search(text):
+            lines = [LONE_SPACE.split(text)]
+        else:
+            lines = [line.split(" ") for line in text.split("\n")]
         return word("\n").join([b"".join([word(words[0]), *map(led, words[1:])]) for words in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -159,32 +159,32 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return store.join(F.broadcast(bases), "shard")
 
 
+def _documents(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            ef = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
+            ids, width, n = memoryview(row["ids"]), row["id_bytes"], row["n_docs"]
+            for first in range(0, n, at_once):
+                last = min(first + at_once, n)
+                starts = [ef.select(i) for i in range(first, last)]
+                ends = [*starts[1:], ef.select(last) if last < n else row["n_ids"]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["doc_ids"][first:last], pa.int64()),
+                        pa.array(np.array(starts, np.int64) + (row["base"] + row["first_id"])),
+                        pa.array([bytes(ids[a * width : b * width]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                        pa.array(np.full(last - first, width, np.int32)),
+                    ],
+                    ["doc_id", "start", "ids", "id_bytes"],
+                )
+
+
 def read_documents(segments: DataFrame, at_once: int = 1024) -> DataFrame:
     """One row per stored document: doc_id, start (ids before it in the whole store), ids (packed), id_bytes.
 
     Boundaries are found by ``select``, ``at_once`` documents at a time; a segment's starts are never spread out.
     """
-
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ef = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-                ids, width, n = memoryview(row["ids"]), row["id_bytes"], row["n_docs"]
-                for first in range(0, n, at_once):
-                    last = min(first + at_once, n)
-                    starts = [ef.select(i) for i in range(first, last)]
-                    ends = [*starts[1:], ef.select(last) if last < n else row["n_ids"]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(row["doc_ids"][first:last], pa.int64()),
-                            pa.array(np.array(starts, np.int64) + (row["base"] + row["first_id"])),
-                            pa.array([bytes(ids[a * width : b * width]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                            pa.array(np.full(last - first, width, np.int32)),
-                        ],
-                        ["doc_id", "start", "ids", "id_bytes"],
-                    )
-
-    return segments.mapInArrow(documents, "doc_id long, start long, ids binary, id_bytes int")
+    return segments.mapInArrow(lambda batches: _documents(batches, at_once), "doc_id long, start long, ids binary, id_bytes int")
 
 
 def read_at(segments: DataFrame, places: DataFrame) -> DataFrame:
@@ -206,20 +206,28 @@ def read_at(segments: DataFrame, places: DataFrame) -> DataFrame:
     return joined.mapInArrow(pick, "doc_id long, start long, ids binary")
 
 
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(x, f"<u{w}") for x, w in zip(batch.column("ids").to_pylist(), batch.column("id_bytes").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("start"),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+            ],
+            ["doc_id", "start", "n_tokens", "ids_crc32"],
+        )
+
+
 def id_digest(documents: DataFrame) -> DataFrame:
     """n_tokens and the unsigned crc32 of the ids as little-endian unsigned 32-bit numbers."""
+    return documents.mapInArrow(_digests, DIGEST)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x, f"<u{w}") for x, w in zip(batch.column("ids").to_pylist(), batch.column("id_bytes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("start"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return documents.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def stored_digest(segments: DataFrame, at_once: int = 1024) -> DataFrame:
+    """``id_digest`` of ``read_documents`` in one worker a task: the ids that are read do not go through a second one."""
+    return segments.mapInArrow(lambda batches: _digests(_documents(batches, at_once)), DIGEST)

@@ -67,6 +67,15 @@ def test_store_gives_ids_in_order_of_documents(spark, odd):
     assert ends.items() <= {r["start"]: r["doc_id"] for r in got}.items()
 
 
+def test_stored_digest_reads_in_one_step(spark, odd):
+    path = new_path(spark, "test-store")
+    idstore.write_store(odd, path, BYTES, 2, segment_ids=50)
+    store = idstore.open_store(spark, path)
+    one = idstore.stored_digest(store, at_once=3)
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, idstore.id_digest(idstore.read_documents(store)).collect()), key=str)
+
+
 def test_empty_tables(spark, none):
     path = new_path(spark, "test-store")
     idstore.write_store(none, path, BYTES, 2)
