@@ -54,7 +54,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, each with its place in a sequence of at most 4096 tokens; null texts are the end id alone."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.piece_digest(packing.pack_documents(docs.select("doc_id", "text"), tokenizer, end_id=1, capacity=4096))
+    return packing.piece_digest(packing.pack_documents(docs.select("doc_id", "text"), tokenizer, end_id=1, capacity=4096, lean=True))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

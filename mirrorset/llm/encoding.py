@@ -145,8 +145,8 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, spaces: str) -> WordEncoder:
-    return WordEncoder(path, spaces)
+def encoder(path: str, spaces: str, kept: int = KEPT_BYTES) -> WordEncoder:
+    return WordEncoder(path, spaces, kept)
 
 
 FORGET.append(encoder.cache_clear)

@@ -27,20 +27,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder
-from .staging import chunks
+from .encoding import KEPT_BYTES, encoder
+from .staging import chunks, staged, tidy
 
+#: Bytes that a lean worker remembers words in.
+LEAN_BYTES = 48 << 20
 #: Whole pieces in a group.
 WHOLE = 1024
 PIECE = "doc_id long, piece int, start long, length int, id_bytes int, ids binary, grp long"
 PLACED = "doc_id long, piece int, start long, length long, id_bytes int, ids binary, sequence_id long, offset long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, groups: int) -> DataFrame:
-    """Pieces of every document, with ids and the group that packs them."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, groups: int, lean: bool = False) -> DataFrame:
+    """Pieces of every document, with ids and the group that packs them.
+
+    An executor's tasks take turns over all of its workers, and each of them remembers words; with ``lean`` they remember fewer,
+    and none after their task.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(tokenizer, "drop")
+        run = encoder(tokenizer, "drop", LEAN_BYTES if lean else KEPT_BYTES)
         width = run.dtype.itemsize
         end = np.array([end_id], run.dtype).tobytes()
         task = TaskContext.get().partitionId()
@@ -64,7 +70,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, gr
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], list(out))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut) if lean else cut, PIECE)
 
 
 def fewest(sizes: list[int], capacity: int) -> int:
@@ -208,10 +214,15 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins.packed()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, group: int = 8192) -> DataFrame:
-    """Pieces with their ids, sequence_id and offset: a sequence is its pieces' ids in order of offset."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, group: int = 8192, lean: bool = False) -> DataFrame:
+    """Pieces with their ids, sequence_id and offset: a sequence is its pieces' ids in order of offset.
+
+    ``lean`` is for executors whose memory other stages have filled; it takes more time and disk, and gives the same pieces.
+    """
     groups = max(1, round(docs.count() / group))
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, groups)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, groups, lean)
+    if lean:  # written first: workers get small batches meanwhile
+        pieces = staged(pieces, "pieces")
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from mirrorset.llm import idstore, packing, transducer
+from mirrorset.llm import encoding, idstore, packing, staging, transducer
 from mirrorset.llm.encoding import WordEncoder
 from mirrorset.llm.staging import new_path
 
@@ -76,6 +76,20 @@ def test_stored_digest_reads_in_one_step(spark, odd):
     assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, idstore.id_digest(idstore.read_documents(store)).collect()), key=str)
 
 
+def test_lean_packing_leaves_workers_without_words(spark, odd, monkeypatch):
+    freed = []
+    monkeypatch.setattr(packing, "tidy", lambda rows: freed.append(rows) or staging.tidy(rows))
+    plain = packing.pack_documents(odd, WORDS, 1, capacity=64, group=4)
+    assert not freed
+    lean = packing.pack_documents(odd, WORDS, 1, capacity=64, group=4, lean=True)
+    assert len(freed) == 1 and "Scan parquet" in lean._jdf.queryExecution().executedPlan().toString()
+    columns = ["doc_id", "piece", "start", "length", "ids"]
+    assert sorted(map(str, lean.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    assert encoding.encoder(WORDS, "drop", packing.LEAN_BYTES).words.kept == packing.LEAN_BYTES // 2
+    staging.release_memory()
+    assert encoding.encoder.cache_info().currsize == 0
+
+
 def test_empty_tables(spark, none):
     path = new_path(spark, "test-store")
     idstore.write_store(none, path, BYTES, 2)
