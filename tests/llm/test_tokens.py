@@ -255,3 +255,27 @@ def test_plain_texts_and_words_skip_the_patterns(monkeypatch):
     monkeypatch.setattr(encoding, "SPACES_MEET", Unused())
     monkeypatch.setattr(encoding, "LATIN_WORD", Unused())
     same(["", "Some plain\nwords stand HERE", "alone"])
+
+
+def test_more_words_than_are_remembered():
+    """Words that come round again are not all merged again, and other words take over when texts change."""
+    from tokenizers import Tokenizer
+
+    from mirrorset.llm import encoding
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, tool = Tokenizer.from_file(path), encoding.WordEncoder(path, "drop", kept=60_000)
+    merged, letters = [], tool.words.letters
+    tool.words.letters = lambda word: merged.append(word) or letters(word)
+
+    def texts(first):
+        return [f"{first}{a}{b} {first}{b}{a}, x" for a in "abcdefghij" for b in "klmnopqrst"]
+
+    for _ in range(4):
+        tool.encode(texts("w"))
+    assert len(merged) < 4 * 200 * 0.8
+    for _ in range(4 * encoding.ROUNDS):
+        got = [np.frombuffer(x, tool.dtype).tolist() for x in tool.encode(texts("v"))]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts("v")]
+    assert "wak" not in tool.words and any(w.startswith("v") for w in tool.words)
+    assert tool.words.held <= 31_000 and len(tool.words) * 200 <= 31_000 and len(tool.words.older) * 200 <= 31_000
