@@ -12,8 +12,10 @@ name that different pages share marks ``RUN`` tokens as repeated; overlapping ma
 runs. Open blocks lose their repeated runs and keep the unique ones; of several articles those that
 are repeated throughout go, unless all are.
 
-Inside the one article of a page, repeated runs stay: copies of an article, quoted passages and
-licence lines repeat on a host as well, and they are main text.
+Inside the one article of a page, repeated text stays: copies of an article, quoted passages and
+licence lines repeat on a host as well, and they are main text. Menus do not: a block of links alone,
+no heading, goes when runs that different pages of the host hold around their articles cover it
+throughout. Runs of the articles themselves are no such evidence, so links that copies of an article share stay.
 
 Results that are defined here: null or empty html has no text; a null url has no host and so no
 repeats; pages with equal streams count once, so a copied page does not make itself boilerplate;
@@ -44,6 +46,7 @@ RAW = set("script style noscript template iframe svg math object textarea select
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 IN_HEAD = set("base link meta noscript script style template title".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = set("li dt dd tr td th option".split())
 CHROME = set("nav footer aside form dialog button menu fieldset head".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -63,25 +66,29 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 OPEN, MAIN, ARTICLE, DROPPED = range(4)
+#: A token that no text holds.
+BREAK = "\x00"
 
 
 @dataclass
 class Block:
-    """Text of one block: what it is, the number of its article, and where its words lie in the stream."""
+    """Text of one block: what it is, the number of its article, whether it is all links, and where its words lie in the stream or in the links."""
 
     kind: int
     article: int
     words: list[str]
+    linked: bool = False
     start: int = -1
 
 
 @dataclass
 class Page:
-    """Blocks in page order, how many articles have text, and the tokens around (or of several) articles."""
+    """Blocks in page order, how many articles have text, the tokens around (or of several) articles, and those of the links in the one article."""
 
     blocks: list[Block]
     articles: int
     stream: list[str]
+    links: list[str] = field(default_factory=list)
 
     @property
     def settled(self) -> bool:
@@ -132,19 +139,24 @@ def read_page(source: str) -> Page:
     parts: list[str | Block] = []  # element names and blocks in page order
     kind, article, articles = OPEN, -1, 0
     text: list[str] = []
+    in_link, plain = False, False  # whether text here is a link's, and whether the block has other text
 
     def end_block() -> None:
+        nonlocal plain
         words = "".join(text)
         text.clear()
         words = (entities.unescape(words) if "&" in words else words).split()
         if words:
-            parts.append(Block(kind, article, words))
+            linked = not plain and kind == ARTICLE and all(name not in HEADINGS for name, *_ in stack)
+            parts.append(Block(kind, article, words, linked))
+        plain = False
 
     at = 0
     for m in _MARKUP.finditer(source):
         if m.start() < at:  # inside of an element whose text does not count
             continue
         text.append(source[at : m.start()])
+        plain = plain or not in_link and not (text[-1].isspace() or text[-1] == "")
         at = m.end()
         closing, name = m[1], m[2]
         if name is None:
@@ -153,6 +165,8 @@ def read_page(source: str) -> Page:
         if name in INLINE:
             if name == "br" or name == "img":
                 text.append(" ")
+            elif name == "a":
+                in_link = not closing
             continue
         end_block()
         said = m[3] if m[3] is not None else m[4]
@@ -183,6 +197,7 @@ def read_page(source: str) -> Page:
             stack.append((name, *here))
         kind, article = stack[-1][1:] if stack else (OPEN, -1)
     text.append(source[at:])
+    plain = plain or not in_link and not (text[-1].isspace() or text[-1] == "")
     end_block()
     return _numbered(parts)
 
@@ -202,7 +217,23 @@ def _numbered(parts: list[str | Block]) -> Page:
         elif part.kind != ARTICLE or articles > 1:
             part.start = len(stream)
             stream += part.words
-    return Page(blocks, articles, stream)
+    return Page(blocks, articles, stream, _links(parts) if articles == 1 else [])
+
+
+def _links(parts: list[str | Block]) -> list[str]:
+    """The article's blocks of links with the element names before and between them; other text breaks them."""
+    links: list[str] = []
+    if not any(isinstance(b, Block) and b.kind == ARTICLE and b.linked for b in parts):
+        return links
+    for part in parts:
+        if isinstance(part, str):
+            links.append(part)
+        elif part.kind == ARTICLE and part.linked:
+            part.start = len(links)
+            links += part.words
+        elif links and links[-1] != BREAK:
+            links.append(BREAK)
+    return links
 
 
 def run_names(stream: list[str], host: str | None) -> np.ndarray:
@@ -227,10 +258,15 @@ def run_names(stream: list[str], host: str | None) -> np.ndarray:
     return names.view(np.int64)
 
 
-def main_text(page: Page, names_at: np.ndarray) -> str:
-    """The text that is left; ``names_at`` are places in the stream where a repeated run begins."""
+def main_text(page: Page, names_at: np.ndarray, links_at: np.ndarray | None = None) -> str:
+    """The text that is left; ``names_at`` are places in the stream where a repeated run begins, ``links_at`` those in the links."""
     if page.settled:
-        return "\n".join(" ".join(b.words) for b in page.blocks if b.kind == ARTICLE)
+        menus = repeated_tokens(len(page.links), np.zeros(0, np.int64) if links_at is None else links_at)
+
+        def menu(b: Block) -> bool:
+            return b.linked and bool(menus[b.start : b.start + len(b.words)].all())
+
+        return "\n".join(" ".join(b.words) for b in page.blocks if b.kind == ARTICLE and not (page.links and menu(b)))
     covered = repeated_tokens(len(page.stream), names_at)
 
     def repeated(b: Block) -> np.ndarray:
@@ -268,22 +304,25 @@ def _signed(data: str) -> int:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digest of each page's stream and the names of its runs."""
+    """The digest of each page's stream, and the names of the runs in it and in its links."""
     for batch in batches:
-        digests, names = [], []
+        digests, names, links = [], [], []
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            page = read_page(source or "")
-            names.append(run_names(page.stream, host_of(url)))
+            page, host = read_page(source or ""), host_of(url)
+            names.append(run_names(page.stream, host))
+            links.append(run_names(page.links, host))
             digests.append(_signed("\x00".join(page.stream)))
-        columns = [batch.column("k1"), batch.column("k2"), pa.array(digests, pa.int64()), pa.array(names, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, [*KEYS, "stream", "names"])
+        runs = [pa.array(x, pa.list_(pa.int64())) for x in (names, links)]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(digests, pa.int64()), *runs], [*KEYS, "stream", "names", "links"])
 
 
 def _told(batch: pa.RecordBatch, pages: list[Page], places: Iterator[np.ndarray]) -> pa.RecordBatch:
-    """Texts and repeats of pages, given where repeated runs begin in each."""
+    """Texts and repeats of pages, given where repeated runs begin in each: in its stream, and on from there in its links."""
     texts, repeated = [], []
     for page, at in zip(pages, places):
-        texts.append(main_text(page, at))
+        ends = max(len(page.stream) - RUN + 1, 0)
+        at, links_at = at[at < ends], at[at >= ends] - ends
+        texts.append(main_text(page, at, links_at))
         repeated.append(int(repeated_tokens(len(page.stream), at).sum()))
     columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(repeated, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_repeated"])
@@ -298,7 +337,8 @@ def _by_names(held):
         names = held.value
         for batch in batches:
             pages = _pages(batch)
-            own = [run_names(p.stream, host_of(u)) for p, u in zip(pages, batch.column("url").to_pylist())]
+            hosts = map(host_of, batch.column("url").to_pylist())
+            own = [np.concatenate([run_names(p.stream, h), run_names(p.links, h)]) if p.links else run_names(p.stream, h) for p, h in zip(pages, hosts)]
             found = (np.flatnonzero(names[np.searchsorted(names, x).clip(max=len(names) - 1)] == x) if len(names) else x[:0] for x in own)
             yield _told(batch, pages, found)
 
@@ -325,13 +365,13 @@ def extract(pages: DataFrame, held_names: int = HELD_NAMES) -> DataFrame:
     """
     spark = pages.sparkSession
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("k1"), F.xxhash64("html", "url", F.lit(1)).alias("k2"))
-    streams = staged(keyed.select(*KEYS, "url", "html").mapInArrow(tidy(_streams), "k1 bigint, k2 bigint, stream bigint, names array<bigint>"), "page-streams")
+    streams = staged(keyed.select(*KEYS, "url", "html").mapInArrow(tidy(_streams), "k1 bigint, k2 bigint, stream bigint, names array<bigint>, links array<bigint>"), "page-streams")
     repeated = staged(repeated_names(streams), "page-names")
     out = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in ("page_id", "url")) + ", text string, n_repeated bigint"
     some = repeated.limit(held_names + 1).toArrow().column("name").to_numpy()
     if len(some) <= held_names:
         held = spark.sparkContext.broadcast(np.sort(some))
         return keyed.select("page_id", "url", "html").mapInArrow(tidy(_by_names(held)), out)
-    each = streams.select(*KEYS, F.posexplode("names").alias("place", "name"))
+    each = streams.select(*KEYS, F.posexplode(F.concat("names", "links")).alias("place", "name"))
     places = each.join(repeated, "name").groupBy(*KEYS).agg(F.collect_set("place").alias("places"))
     return keyed.join(places, KEYS, "left").mapInArrow(tidy(_by_places), out)

@@ -282,6 +282,28 @@ def test_host_repeats_are_taken_out_of_open_blocks(spark):
     assert got[20] == got[21] == own[0] * 9 and got[31] == own[1]
 
 
+def test_menus_inside_the_article_are_taken_out(spark):
+    """Links that the host shows around articles are a menu inside one; headings, quoted text and the links of copies stay."""
+    tabs = ["News of the day", "Sport and more", "Weather & wind", "Culture in town"]
+    menu = "<ul>" + "".join(f"<li><a href=x>{t.replace('&', '&amp;')}</a>" for t in tabs) + "</ul>"
+    title = "<h2><a href=y>Eight words of a title that sidebars show as well</a></h2>"
+    quoted = "<p>Eight words of a quoted line that pages hold as well"
+    sources = "<ul><li><a>First source of eight words or more than these</a><li><a>Second source of eight words or more than these</a></ul>"
+    own = ["Apples grow.", "Boats float.", "Cats sleep."]
+    around = f"<nav>{menu}{title}{quoted}</nav>"
+    page = lambda k: f"<nav>Page{k}</nav>{around}<article>{title}<p>{own[k]}<div>{menu}</div>{quoted}{sources}</article>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(3)]
+    rows += [(9, "http://alone.example/", page(0)), (10, None, page(0))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = [{r["page_id"]: r["text"] for r in webpages.extract(table, held).collect()} for held in (10**6, 0)]
+    assert found[0] == found[1]
+    plain = [quoted[3:], *(x.split("</a>")[0] for x in sources.split("<a>")[1:])]
+    for k in range(3):
+        assert found[0][k].split("\n") == ["Eight words of a title that sidebars show as well", own[k], *plain]
+    alone = ["Eight words of a title that sidebars show as well", own[0], *tabs, *plain]
+    assert found[0][9].split("\n") == found[0][10].split("\n") == alone
+
+
 def test_repeats_agree_with_plain_python(spark):
     rng = random.Random(4)
     bits = [" ".join(rng.choice("abcdefg") for _ in range(12)) for _ in range(6)]
