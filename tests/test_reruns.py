@@ -1,5 +1,6 @@
 """Second runs in one folder: changed inputs, stops, repeated ids, empty replies."""
 
+import time
 from collections import Counter
 
 import pytest
@@ -9,6 +10,7 @@ from mirrorset.operators import evaluation, labels, model
 from mirrorset.plans import augmentation, scoring
 from mirrorset.plans import run as run_module
 from mirrorset.plans.run import Run, client_responder
+from mirrorset.sources import folders, stages
 
 from test_plans import TEXTS, talking_client
 
@@ -174,3 +176,39 @@ def test_budget_says_what_it_leaves_out(spark, tmp_path):
     run = Run(spark, str(tmp_path), "m", "d", client_responder(talking_client(), 2))
     augmentation.augment(run, spark.createDataFrame(TEXTS, SCHEMA), token_limit=1)
     assert run.load("budget").first().asDict() == {"n_kept": 1, "n_left_out": 4}
+
+
+def test_written_stages_leave_no_shuffle_files(spark, tmp_path):
+    """A run of many stages needs the disk of one shuffle, and the user's own setting is as before."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(folders.CLEANUP, None)
+    stages.write_stage(spark.range(10_000).repartition(7), str(tmp_path), "numbers", 1, "m", "d")
+    end = time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(folders.CLEANUP, None) == setting
+    assert stages.read_stage(spark, str(tmp_path), "numbers", 1, "m", "d").count() == 10_000
+
+
+def test_messages_are_made_after_places(spark, tmp_path, monkeypatch):
+    """What numbers the calls moves no messages, and the calls that were asked are deleted once they are answered."""
+    columns = "id string, ord long, pair_no int, phrase_no int, target_no int, ori_text string, ori_label string, target_label string, matched_phrase string, candidate_phrases array<string>"
+    rows = [(str(i), i, 0, 0, 0, f"text {i}", "a", "b", "text", ["word"]) for i in range(300)]
+    seen = []
+
+    def respond(asked, stage):
+        seen.append(asked.columns)
+        return asked.select("request_id", F.lit("reply").alias("text"), F.lit(None).cast("string").alias("error"))
+
+    placed, numbered = augmentation.dense_order, run_module.numbered
+    monkeypatch.setattr(augmentation, "dense_order", lambda df, *a: seen.append(df.columns) or placed(df, *a))
+    monkeypatch.setattr(run_module, "numbered", lambda df, *a: seen.append(df.columns) or numbered(df, *a))
+    run = Run(spark, str(tmp_path), "m", "d", respond)
+    made = augmentation.generate(run, spark.createDataFrame(rows, columns), max_consecutive=3)
+    assert made.count() == 300 and "messages" not in seen[0] + seen[1] and "messages" in seen[2]
+    assert not any(run.has(f"{held}_generation") for held in ("asked", "calls", "said"))
