@@ -260,3 +260,20 @@ def test_range_of_reads_columns_outside_of_its_lambdas(spark):
     plan = placed._jdf.queryExecution().analyzed().toString().split("\n")[0]
     assert "label#" not in plan.split("lambdafunction(", 1)[1]
     assert sorted(map(tuple, placed.collect())) == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_beside_is_a_join(spark):
+    """Like a join with equal nulls, also of repeated keys, and all rows of a group come out of one task."""
+    rng = random.Random(4)
+    wide = [(rng.choice([None, *range(6)]), rng.choice([None, "a", "b"]), i) for i in range(60)]
+    narrow = [(rng.choice([None, *range(6)]), rng.choice([None, "a", "b"]), rng.choice([None, f"t{i}"]), i) for i in range(12)]
+    left = spark.createDataFrame(wide, "g int, k string, n int").repartition(3)
+    right = spark.createDataFrame(narrow, "g int, k string, text string, m int").repartition(2)
+    for inner in (False, True):
+        joined = order.beside(left, right, ["g", "k"], "g", inner)
+        want = [(*w, *(x[2:])) for w in wide for x in narrow if w[:2] == x[:2]]
+        want += [] if inner else [(*w, None, None) for w in wide if w[:2] not in {x[:2] for x in narrow}]
+        assert joined.columns == ["g", "k", "n", "text", "m"]
+        assert sorted(map(str, map(tuple, joined.collect()))) == sorted(map(str, want))
+        parts = joined.select("g", F.spark_partition_id().alias("p")).distinct().groupBy("g").count()
+        assert {r["count"] for r in parts.collect()} == {1}

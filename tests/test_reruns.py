@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorset.operators import evaluation, labels, model
+from mirrorset.operators import evaluation, labels, model, runcontrol
 from mirrorset.plans import augmentation, scoring
 from mirrorset.plans import run as run_module
 from mirrorset.plans.run import Run, client_responder
@@ -212,3 +212,47 @@ def test_messages_are_made_after_places(spark, tmp_path, monkeypatch):
     made = augmentation.generate(run, spark.createDataFrame(rows, columns), max_consecutive=3)
     assert made.count() == 300 and "messages" not in seen[0] + seen[1] and "messages" in seen[2]
     assert not any(run.has(f"{held}_generation") for held in ("asked", "calls", "said"))
+
+
+def test_rows_of_an_example_lie_side_by_side(spark, tmp_path):
+    """Stages with an example's text in many rows hold these together, where their copies compress."""
+    rows = [(str(i), f"the {w} is nice {i}", "food" if i % 2 else "price", i) for i, w in enumerate(["soup", "menu", "bread", "wine"] * 10)]
+    run = Run(spark, str(tmp_path), "m", "d", client_responder(talking_client(), 2))
+    labelled = spark.createDataFrame([*rows, ("x", "the view is nice", "view", 99), ("y", "the staff is nice", "staff", 98)], SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        augmentation.augment(run, labelled, None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for stage in ("candidates", "counterfactuals", "filtered"):
+        table = run.load(stage).select("ord", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+        held = [(r["file"], r["ord"]) for r in table.orderBy("place").collect()]
+        changes = sum(a != b for a, b in zip(held, held[1:])) + 1
+        assert len(held) > changes == len(set(held)) == len({o for _, o in held}), stage
+
+
+def test_few_failures_are_not_walked(spark, monkeypatch):
+    """Calls are walked in order only where so many failed that they may be in a row."""
+    rows = [(i, "quota: 429" if i == 70 else "timeout" if i in (3, 4, 50, 51) else None) for i in range(90)]
+    calls = spark.createDataFrame(rows, "ord bigint, error string")
+    want = {most: runcontrol.stop_on_failures(calls, most, bucket_rows=16, carried=c).count() for most, c in ((2, 0), (3, 0))}
+    assert want == {2: 4, 3: 70} and runcontrol.stop_on_failures(calls.filter("ord > 2"), 4, carried=2).count() == 1
+    monkeypatch.setattr(runcontrol, "earlier", None)
+    assert runcontrol.stop_on_failures(calls, 6).count() == 70
+    assert runcontrol.stop_on_failures(calls.filter("ord < 60"), 9, carried=4).count() == 60
+
+
+def test_a_look_for_answers_moves_no_texts(spark, tmp_path, candidates, monkeypatch):
+    """What is compared with the stored answers are ids; answered and unanswered calls are told apart as before."""
+    seen = []
+    pending = run_module.pending
+    monkeypatch.setattr(run_module, "pending", lambda df, *a: seen.append(set(df.columns)) or pending(df, *a))
+    ill = Run(spark, str(tmp_path), "m", "d", client_responder(plain_client("text 7", "text 21")))
+    augmentation.generate(ill, candidates)
+    changed = candidates.withColumn("ori_text", F.when(F.col("ord") > 9, F.concat("ori_text", F.lit("!"))).otherwise(F.col("ori_text")))
+    for well, fails in ((False, 1), (True, 0)):
+        run = Run(spark, str(tmp_path), "m", "d", client_responder(plain_client()), attempt=1)
+        made = augmentation.generate(run, changed, retry_failed=well).collect()
+        assert Counter(r["counterfactual"] for r in made) == Counter({"fine": 40 - fails} | ({"": fails} if fails else {}))
+    assert ill.store("generation").log_rows().count() == 40 + 20 + 1
+    assert seen and all(columns <= {"ord", "request_id"} for columns in seen)
