@@ -256,3 +256,32 @@ def test_a_look_for_answers_moves_no_texts(spark, tmp_path, candidates, monkeypa
         assert Counter(r["counterfactual"] for r in made) == Counter({"fine": 40 - fails} | ({"": fails} if fails else {}))
     assert ill.store("generation").log_rows().count() == 40 + 20 + 1
     assert seen and all(columns <= {"ord", "request_id"} for columns in seen)
+
+
+def test_tokens_by_words_are_those_of_calls(spark):
+    signs = ["", " ", "a", "b c", "\n", " ", "\x1c", "dé ", " e", "a\n", "f ", "\U0001f600"]
+    rows = [([("system", s), ("user", u)], r) for s in signs[:4] for u in signs for r in [None, *signs]]
+    calls = spark.createDataFrame(rows, "messages array<struct<role:string,content:string>>, reply string")
+    words, open_ = runcontrol.prompt_words(F.col("messages"))
+    whole, parts = runcontrol.call_tokens(F.col("messages"), F.col("reply")), runcontrol.said_tokens(words, open_, F.col("reply"))
+    assert calls.filter(~whole.eqNullSafe(parts)).count() == 0
+
+
+def test_budget_goes_on_inside_an_example(spark, tmp_path):
+    """Answered calls of an example are not asked again, waves write no messages, and the rows are those of a run without a budget."""
+    columns = "id string, pair_no int, ori_text string, ori_label string, phrases array<string>, pattern string, ord bigint"
+    patterns = spark.createDataFrame([(str(i), 0, f"text {i}", "abc"[i % 3], ["text", str(i)], f"text, {i}", i) for i in range(12)], columns)
+    examples = patterns.select("id", F.col("ori_text").alias("text"), F.col("ori_label").alias("label"), "ord")
+
+    def make():
+        return lambda messages: f"1. {messages[-1]['content'][:40]} one\n2. other"
+
+    def rows(df):
+        return sorted(map(str, map(tuple, df.select("ord", "phrase_no", "target_label", "candidate_phrases").collect())))
+
+    whole = Run(spark, str(tmp_path / "w"), "m", "d", client_responder(make))
+    want = rows(augmentation.find_candidates(whole, patterns, examples))
+    cut = Run(spark, str(tmp_path / "c"), "m", "d", client_responder(make), attempt=1)
+    cut.store("candidates").append(whole.store("candidates").read().orderBy("request_id").limit(17))
+    assert rows(augmentation.find_candidates(cut, patterns, examples, token_limit=10**9)) == want and len(want) == 48
+    assert cut.store("candidates").log_rows().count() == 48 and not cut.has("asked_candidates")
